@@ -207,7 +207,7 @@ FEEDBACK_COLUMNS = [
 ]
 
 QUALITY_COLUMNS = [
-    ("id", "l_orderkey * 10 + l_linenumber"),
+    ("id", "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000"),
     ("lead_id", "o_custkey"),
     ("overall_score", "l_quantity * 2"),
     ("email_quality_score", "l_discount * 1000"),
