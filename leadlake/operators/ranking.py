@@ -44,6 +44,17 @@ def batch_rank(df: DataFrame, score: str = "score", key: str = "id", bucket: int
     }).drop("_score", "_cell", "_rn", "_offset", "_total")
 
 
+def rank_scored(scored: DataFrame, score: str = "score", key: str = "id") -> DataFrame:
+    """SCR-29: ``batch_rank`` over a computed score.
+
+    The two columns are written down first: the ranking reads them three times, and a long score expression as a join
+    key would be copied into every inferred filter of the plan.
+    """
+    from ..session import cut_lineage
+
+    return batch_rank(cut_lineage(scored.select(key, score)), score, key)
+
+
 PERCENTILES = {"p95": 0.95, "p90": 0.9, "p75": 0.75, "p50": 0.5, "p25": 0.25, "p10": 0.1}
 
 

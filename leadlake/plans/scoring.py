@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..functions import score as S
 from ..functions.record import drop_work, prepare, with_company
 from ..operators import ranking as W
+from ..session import cut_lineage
 from ..sources.bindings import AS_OF
 from .registry import query
 from .sqltext import BASE, case, ends, has, lines, lit, one_of, pts, when
@@ -203,7 +204,7 @@ def scr_28(t):
 @query("scr_29", BASE, """SELECT id, lead_score AS score, row_number() OVER (ORDER BY lead_score DESC, id) AS batch_rank,
  round((1 - (row_number() OVER (ORDER BY lead_score DESC, id) - 1)::DOUBLE / count(*) OVER ()) * 100, 1) AS percentile, lead_score >= 70 AS explained FROM scored""", X)
 def scr_29(t):
-    ranked = W.batch_rank(S.with_lead_score(nested(t), AS_OF, name="score").select("id", "score"))
+    ranked = W.rank_scored(S.with_lead_score(nested(t), AS_OF, name="score"))
     return ranked.withColumn("explained", F.col("score") >= 70)
 
 
@@ -220,7 +221,7 @@ def agg_45(t):
     from ..functions.record import w
 
     ex, tier1 = any_in(w("title"), R.EXECUTIVE_TITLES), any_in(w("co_industry"), R.INDUSTRY_TIERS["tier_1"])
-    rows = S.with_lead_score(nested(t), AS_OF, keep_parts=True).select("id", "lead_score", ex.alias("is_exec"), tier1.alias("hot"), w("methods").alias("methods"))
+    rows = cut_lineage(S.with_lead_score(nested(t), AS_OF, keep_parts=True).select("id", "lead_score", ex.alias("is_exec"), tier1.alias("hot"), w("methods").alias("methods")))
     means = rows.agg(F.avg("lead_score").alias("m"), (F.count(F.when(F.col("is_exec"), 1)) / F.count("*")).alias("execs"), F.avg("methods").alias("contacts"))
     r = W.percent_below(rows, "lead_score").crossJoin(means)
     p = F.col("percentile_rank")

@@ -15,6 +15,8 @@ def get_session(app: str = "leadlake", master: str | None = None, shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs one JVM round trip per column builder and these plans have many.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
