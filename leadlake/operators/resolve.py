@@ -5,11 +5,13 @@ later unclaimed lead whose pair score reaches the threshold. Here:
 
 * leads with the same compared fields collapse to one profile, so a mass of copies is one row;
 * without the e-mail term a pair scores at most .60, and with a merely similar e-mail and different phones at most
-  .846, so for thresholds from .85 the blocks (e-mail, phone), (e-mail, name) and (phone, e-mail piece) lose nothing;
-  lower thresholds use wider blocks, down to a floor below which the call is refused;
-* rounds elect the lowest undecided profile of all its blocks and compare it with the members of those blocks: one
-  comparison per member and round, never all pairs of a block. Each round is checkpointed and the loop runs to its
-  fix point.
+  .846, so for thresholds from .85 the blocks (e-mail, phone), (e-mail, name) and (phone, gram of the e-mail) lose
+  nothing; lower thresholds use wider blocks, down to a floor below which the call is refused;
+* first rounds elect the lowest undecided profile of all its blocks and compare it with the members of those blocks:
+  one comparison per member, never all pairs of a block, which claims masses of near copies. What is left is sparse; its
+  candidate pairs are filtered by length and edit distance, scored, and settled by rounds over the edges.
+
+Every step is checkpointed and the loops run to their fix points.
 """
 
 from __future__ import annotations
@@ -113,60 +115,78 @@ def blocks(p: DataFrame, threshold: float) -> DataFrame:
     if threshold < FLOOR:
         raise ValueError(f"thresholds below {FLOOR} have no lossless e-mail block")
     has = F.col("email") != ""
+    # A rounded ratio of 100 means equality below 200 characters in total; longer names share one key.
     long_name = F.when(F.length("name") >= 99, F.lit("*")).otherwise(F.col("name"))
-    keys = [p.where(has & (F.col("phone") != "")).select("id", F.concat_ws("\u0001", F.lit("ep"), "email", "phone").alias("key"))]
-    keys.append(p.where(has).select("id", F.concat_ws("\u0001", F.lit("e"), "email", *([] if wide else [long_name])).alias("key")))
-    # Similar e-mails: positional pieces of the whole address, within one phone for thresholds from .85.
-    scope = p.where(has)
+    by_phone = p.where(has & (F.col("phone") != "")).select("id", F.concat_ws("\u0001", F.lit("ep"), "email", "phone").alias("key"))
+    by_name = p.where(has).select("id", F.concat_ws("\u0001", F.lit("e"), "email", *([] if wide else [long_name])).alias("key"))
+    scope = p.where(has).withColumn("scope", F.lit("") if wide else F.col("phone"))
     if not wide:
-        shared = p.where(has & (F.col("phone") != "")).groupBy("phone").agg(F.count("*").alias("n")).where("n > 1").select("phone")
-        scope = scope.join(shared, "phone", "left_semi")
-    keys.append(_piece_keys(scope, not wide))
-    all_keys = keys[0].unionByName(keys[1]).unionByName(keys[2])
+        shared = scope.where("scope <> ''").groupBy("scope").agg(F.count_distinct("email").alias("n")).where("n > 1").select("scope")
+        scope = scope.join(shared, "scope", "left_semi")
+    all_keys = by_phone.unionByName(by_name).unionByName(_gram_keys(scope))
     sizes = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return all_keys.join(sizes, "key", "left_semi")
 
 
-def _piece_keys(p: DataFrame, by_phone: bool) -> DataFrame:
-    """Segment keys for similar e-mails.
+def _gram_keys(p: DataFrame) -> DataFrame:
+    """Keys for similar, unequal e-mails within one ``scope``.
 
-    For every admissible length n of the shorter address and every m = n .. n + reach, the shorter one is cut into
-    reach + 1 pieces; it publishes the pieces, the longer one publishes its substrings at offsets within reach. An exact
-    piece must agree. Addresses longer than 50 also share a key per phone and length band, which
-    covers the pairs with a side beyond 64.
+    A rounded ratio above 90 leaves at most ``reach`` = floor(.21 * shorter length) edits. If the domains agree, all of
+    them fall into the local part, and of reach + 1 disjoint grams of the shorter local part one survives as a substring
+    of the other; if they differ, the local parts differ by one edit less. Locals too short to cut, and addresses over
+    64 characters, share a key per scope and length band instead.
     """
-    n = F.length("email")
-    # reach for total length up to 2n + reach: floor(.095 * T) with T <= 2.21 n.
-    reach = F.floor(n * 0.21).cast("int")
-    rows = p.select("id", "email", F.col("phone") if by_phone else F.lit("").alias("phone"), n.alias("n"), reach.alias("r"))
-    short = rows.where("n <= 64")
-    # As the shorter address: its own pieces under its own length.
-    own = short.select("id", "phone", "email", F.col("n").alias("len"), "r", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
-    own = own.withColumns({"start": F.floor(F.col("i") * F.col("len") / (F.col("r") + 1)).cast("int"), "end": F.floor((F.col("i") + 1) * F.col("len") / (F.col("r") + 1)).cast("int")})
-    own = own.select("id", "phone", "len", "i", F.expr("substring(email, start + 1, end - start)").alias("piece"))
-    # As the longer (or equal) address: substrings where the pieces of each admissible shorter length could sit.
-    other = short.select("id", "phone", "email", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("r")), F.col("n"))).alias("len"))
-    other = other.withColumn("r", F.floor(F.col("len") * 0.21).cast("int")).where(F.col("n") - F.col("len") <= F.col("r"))
-    other = other.select("id", "phone", "email", "len", "r", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("i"))
-    other = other.withColumns({"start": F.floor(F.col("i") * F.col("len") / (F.col("r") + 1)).cast("int"), "end": F.floor((F.col("i") + 1) * F.col("len") / (F.col("r") + 1)).cast("int")})
-    other = other.select("id", "phone", "email", "len", "i", "start", "end", F.explode(F.sequence(-F.col("r"), F.col("r"))).alias("shift"))
-    other = other.where((F.col("start") + F.col("shift") >= 0) & (F.col("end") + F.col("shift") <= F.length("email")))
-    other = other.select("id", "phone", "len", "i", F.expr("substring(email, start + shift + 1, end - start)").alias("piece"))
-    # Only keys some shorter address publishes can matter.
-    k = F.concat_ws("\u0001", F.lit("p"), "phone", F.col("len").cast("string"), F.col("i").cast("string"), "piece").alias("key")
-    mine = own.select("id", k)
-    theirs = other.select("id", k).join(mine.select("key").distinct(), "key", "left_semi").select("id", "key")
-    # Lengths of similar addresses differ by less than a quarter, so they share one of two neighbouring log bands.
+    local, domain = F.split_part("email", F.lit("@"), F.lit(1)), F.regexp_replace("email", "^[^@]*", "")
+    rows = p.select("id", "scope", local.alias("local"), domain.alias("domain"), F.length("email").alias("n")).withColumns(
+        {"l": F.length("local"), "r": F.floor(F.col("n") * 0.21).cast("int")})
+    keys = []
+    for tag, cut, scope in (("d", 1, ["scope", "domain"]), ("x", 0, ["scope"])):
+        pieces = F.greatest(F.lit(1), F.col("r") + cut)
+        size = F.floor(F.col("l") / pieces).cast("int")
+        cols = [F.lit(tag), *[F.col(c) for c in scope]]
+        own = rows.withColumns({"g": size, "m": pieces}).where("g >= 1 AND n <= 64").select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("i"))
+        keys.append(own.select("id", F.concat_ws("\u0001", *cols, F.expr("substring(local, i * g + 1, g)")).alias("key")))
+        # Gram sizes any admissible partner may use: its local part is at most r longer or shorter, its reach at most 3 off.
+        low = F.greatest(F.lit(1), F.floor((F.col("l") - F.col("r")) / (pieces + 3)).cast("int"))
+        high = F.greatest(low, F.floor((F.col("l") + F.col("r")) / F.greatest(F.lit(1), pieces - 3)).cast("int"))
+        sub = rows.where("n <= 80").withColumns({"lo": low, "hi": F.least(high, F.col("l"))}).where("hi >= lo").select("*", F.explode(F.expr("sequence(lo, hi)")).alias("g"))
+        sub = sub.select("*", F.explode(F.expr("sequence(1, l - g + 1)")).alias("at")).select("id", F.concat_ws("\u0001", *cols, F.expr("substring(local, at, g)")).alias("key"))
+        keys.append(sub.join(keys[-1].select("key").distinct(), "key", "left_semi"))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
-    far = rows.where("n > 50").select("id", F.explode(F.array(band, band + 1)).alias("len"), "phone")
-    long = far.select("id", F.concat_ws("\u0001", F.lit("l"), "phone", F.col("len").cast("string")).alias("key"))
-    return mine.unionByName(theirs).distinct().unionByName(long)
+    rough = rows.where("l <= 2 * r OR n > 50").select("id", "scope", F.explode(F.array(band, band + 1)).alias("b"))
+    keys.append(rough.select("id", F.concat_ws("\u0001", F.lit("l"), "scope", F.col("b").cast("string")).alias("key")))
+    out = keys[0]
+    for k in keys[1:]:
+        out = out.unionByName(k)
+    return out.distinct()
 
 
 def _as(p: DataFrame, name: str, key: str) -> DataFrame:
     return p.select(F.col("id").alias(key), F.struct("id", *FIELDS).alias(name))
 
 
+# Rounds of one-leader-per-block comparison before the remaining pairs are listed.
+STAR_ROUNDS = 2
+
+
+def _scored(live: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    full = pairs.join(_as(live, "a", "leader"), "leader").join(_as(live, "b", "id"), "id")
+    return score_pairs(full, threshold).select("leader", "id", "score", "confidence", "matching_fields")
+
+
+def _lowest_independent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Leaders among ``nodes``: no lower neighbour is a leader. Each round settles nodes whose lower neighbours are settled."""
+    inner = cut_lineage(edges.select("leader", "id").join(nodes, "id", "left_semi"))
+    open_nodes, led = nodes, None
+    while not open_nodes.isEmpty():
+        waiting = inner.join(open_nodes.select(F.col("id").alias("leader")), "leader", "left_semi").select("id").distinct()
+        new = cut_lineage(open_nodes.join(waiting, "id", "left_anti"))
+        led = new if led is None else led.unionByName(new)
+        beaten = inner.join(new.select(F.col("id").alias("leader")), "leader", "left_semi").select("id")
+        open_nodes = cut_lineage(open_nodes.join(new, "id", "left_anti").join(beaten, "id", "left_anti"))
+    return led.select(F.col("id").alias("leader"))
+
+
 def duplicate_groups(leads: DataFrame, threshold: float = 0.85) -> DataFrame:
     """ER-2: (primary_lead_id, duplicate_lead_id, score, confidence, matching_fields), one row per claimed lead."""
     rows = cut_lineage(profiles(leads))
@@ -174,23 +194,31 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85) -> DataFrame:
     # Copies that do not reach the threshold among themselves reach it with nobody.
     live = cut_lineage(classes.where(self_score() >= threshold))
     members = cut_lineage(blocks(live, threshold))
-    undecided = members.select("id").distinct()
+    undecided = cut_lineage(members.select("id").distinct())
     claims = None
-    while True:
-        undecided = cut_lineage(undecided)
+    for _ in range(STAR_ROUNDS):
         if undecided.isEmpty():
             break
         open_members = members.join(undecided, "id", "left_semi")
         lowest = open_members.groupBy("key").agg(F.min("id").alias("low"))
         leaders = open_members.join(lowest, "key").groupBy("id").agg(F.min((F.col("low") == F.col("id")).cast("int")).alias("ok")).where("ok = 1").select(F.col("id").alias("leader"))
         leaders = cut_lineage(leaders)
-        # One leader per block and round: joining on the key yields one comparison per member.
+        # At most one leader per block and round: joining on the key yields one comparison per member.
         reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"))
         pairs = members.join(reach, "key").where("id > leader").select("leader", "id").distinct()
-        full = pairs.join(_as(live, "a", "leader"), "leader").join(_as(live, "b", "id"), "id")
-        won = cut_lineage(score_pairs(full, threshold).select("leader", "id", "score", "confidence", "matching_fields"))
+        won = cut_lineage(_scored(live, pairs, threshold))
         claims = won if claims is None else claims.unionByName(won)
-        undecided = undecided.join(leaders, F.col("id") == F.col("leader"), "left_anti").join(won.select("id"), "id", "left_anti")
+        undecided = cut_lineage(undecided.join(leaders, F.col("id") == F.col("leader"), "left_anti").join(won.select("id"), "id", "left_anti"))
+    if not undecided.isEmpty():
+        # The rest is sparse: masses of near copies were claimed above. A pair matters only if its lower side can still
+        # lead and its upper side is free or held by a later leader.
+        held = claims.groupBy("id").agg(F.min("leader").alias("held"))
+        lower = members.join(undecided, "id", "left_semi").select("key", F.col("id").alias("leader"))
+        upper = members.join(held, "id", "left")
+        pairs = upper.join(lower, "key").where("id > leader AND (held IS NULL OR leader < held)").select("leader", "id").distinct()
+        edges = cut_lineage(_scored(live, pairs, threshold))
+        led = _lowest_independent(edges, undecided)
+        claims = claims.unionByName(edges.join(led, "leader", "left_semi"))
     cls = live.select(*FIELDS, F.col("id").alias("class_id"))
     expanded = rows.join(cls, FIELDS).select(F.col("id").alias("duplicate_lead_id"), "class_id")
     own = live.where("copies > 1").select(F.col("id").alias("class_id"), self_score().alias("score"), *FIELDS)
