@@ -265,6 +265,23 @@ RUN_COLUMNS = [
 ]
 
 
+# Pages with a contact block appended whose form depends on the page.
+_HOSTNAME = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+PAGE_COLUMNS = [
+    ("page_id", "page_id"),
+    ("url", "url"),
+    (
+        "html",
+        "html || CASE page_id % 5"
+        " WHEN 0 THEN chr(10) || 'Jane Smith' || chr(10) || 'Sales Manager' || chr(10) || 'jane.smith@' || " + _HOSTNAME + " || chr(10) || 'call 555-123-4567'"
+        " WHEN 1 THEN '<p>Reach us: info@' || " + _HOSTNAME + " || ' or noreply@' || " + _HOSTNAME + " || ' (555) 987-6543, +1 555 000 1111</p><a href=\"/about/team\">Our Team</a>'"
+        " WHEN 2 THEN chr(10) || 'Springfield, IL 62704' || chr(10) || '<a href=\"https://www.acme' || page_id || '.com/x\">partner</a><a href=\"/url?q=https://shop' || page_id || '.io/a&amp;s=1\">r</a>'"
+        " WHEN 3 THEN '<div class=\"result\"><a class=\"business-name\" href=\"#\">Shop ' || page_id || '</a><div class=\"phones\">555.123.4567</div><div class=\"street-address\">12 Main Street</div></div><!--end-->'"
+        " ELSE '<p>no contact, software and data</p>' END",
+    ),
+]
+
+
 def _exprs(columns) -> list:
     return ["*" if e is None else f"{e} AS {n}" for n, e in columns]
 
@@ -324,6 +341,9 @@ class Tables:
     def models(self) -> DataFrame:
         return self.raw("part").selectExpr(*_exprs(MODEL_COLUMNS))
 
+    def pages(self) -> DataFrame:
+        return self.raw("pages").selectExpr(*_exprs(PAGE_COLUMNS))
+
     def runs(self) -> DataFrame:
         return self.raw("conversations").selectExpr(*_exprs(RUN_COLUMNS))
 
@@ -343,6 +363,7 @@ CTE = {
     "quality_scores": f"SELECT {_sql(QUALITY_COLUMNS)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "insights": f"SELECT {_sql(INSIGHT_COLUMNS)} FROM orders",
     "models": f"SELECT {_sql(MODEL_COLUMNS)} FROM part",
+    "site_pages": f"SELECT {_sql(PAGE_COLUMNS)} FROM pages",
     "runs": f"SELECT {_sql(RUN_COLUMNS)} FROM conversations",
 }
 
