@@ -11,7 +11,7 @@ from . import rules as R
 from .exprs import add, any_in, cases, clamp, compact, count_true, ends_any, lookup, points, say
 from .record import drop_work, prepare, w
 
-NULL = F.lit(None).cast("string")
+NULL = None
 
 
 def _bands(c: Column, table, otherwise: float, blank: float) -> Column:

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .exprs import add, any_in, cases, compact, count_true, points, present, say, tiers
+from .exprs import add, any_in, cases, compact, count_true, points, say, tiers
 from .record import drop_work, prepare, w
 
-NONE = F.lit
 
 
 def _usable_email() -> Column:
@@ -234,4 +233,3 @@ def business_impact() -> Column:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
-_ = present

@@ -11,7 +11,7 @@ from .exprs import add, any_in, cases, clamp, compact, count_true, points, say,
 from .record import drop_work, prepare, w
 from .similarity import ratio
 
-NULL = F.lit(None).cast("string")
+NULL = None
 ISSUE = "struct<issue_type:string,severity:string,field_name:string,description:string,suggested_fix:string,confidence:double,impact_score:double>"
 
 

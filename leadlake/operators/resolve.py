@@ -125,7 +125,15 @@ def blocks(p: DataFrame, threshold: float) -> DataFrame:
         scope = scope.join(shared, "scope", "left_semi")
     all_keys = by_phone.unionByName(by_name).unionByName(_gram_keys(scope))
     sizes = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return all_keys.join(sizes, "key", "left_semi")
+    # The address rides along, so that pairs out of edit reach are dropped inside the join.
+    return all_keys.join(sizes, "key", "left_semi").join(p.select("id", "email"), "id")
+
+
+def _near(a: str, b: str) -> Column:
+    """Unit-cost distance within the edit reach of a rounded ratio above 90; equal addresses pass."""
+    la, lb = F.length(a), F.length(b)
+    reach = F.floor((la + lb) * 0.095)
+    return (F.abs(la - lb) <= reach) & ((F.col(a) == F.col(b)) | (F.levenshtein(a, b) <= reach))
 
 
 def _gram_keys(p: DataFrame) -> DataFrame:
@@ -204,8 +212,8 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85) -> DataFrame:
         leaders = open_members.join(lowest, "key").groupBy("id").agg(F.min((F.col("low") == F.col("id")).cast("int")).alias("ok")).where("ok = 1").select(F.col("id").alias("leader"))
         leaders = cut_lineage(leaders)
         # At most one leader per block and round: joining on the key yields one comparison per member.
-        reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"))
-        pairs = members.join(reach, "key").where("id > leader").select("leader", "id").distinct()
+        reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"), F.col("email").alias("le"))
+        pairs = members.join(reach, "key").where(F.expr("id > leader") & _near("email", "le")).select("leader", "id").distinct()
         won = cut_lineage(_scored(live, pairs, threshold))
         claims = won if claims is None else claims.unionByName(won)
         undecided = cut_lineage(undecided.join(leaders, F.col("id") == F.col("leader"), "left_anti").join(won.select("id"), "id", "left_anti"))
@@ -213,9 +221,9 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85) -> DataFrame:
         # The rest is sparse: masses of near copies were claimed above. A pair matters only if its lower side can still
         # lead and its upper side is free or held by a later leader.
         held = claims.groupBy("id").agg(F.min("leader").alias("held"))
-        lower = members.join(undecided, "id", "left_semi").select("key", F.col("id").alias("leader"))
+        lower = members.join(undecided, "id", "left_semi").select("key", F.col("id").alias("leader"), F.col("email").alias("le"))
         upper = members.join(held, "id", "left")
-        pairs = upper.join(lower, "key").where("id > leader AND (held IS NULL OR leader < held)").select("leader", "id").distinct()
+        pairs = upper.join(lower, "key").where(F.expr("id > leader AND (held IS NULL OR leader < held)") & _near("email", "le")).select("leader", "id").distinct()
         edges = cut_lineage(_scored(live, pairs, threshold))
         led = _lowest_independent(edges, undecided)
         claims = claims.unionByName(edges.join(led, "leader", "left_semi"))

@@ -263,13 +263,14 @@ def agg_50(t):
     return out
 
 
-@query("set_3", [], "SELECT unnest(['part', 'users']) AS missing FROM (SELECT 1 FROM region LIMIT 1)")
+WANTED = ["linkedin", "referral", "website", "event", "purchased", "webinar", "hunter"]
+
+
+@query("set_3", ["leads"], f"SELECT owner_id, unnest(list_filter({WANTED}, lambda x: NOT list_contains(have, x))) AS missing FROM (SELECT owner_id, list(DISTINCT source) AS have FROM leads GROUP BY 1)")
 def set_3(t):
-    """Required names minus the names found in the data folder."""
-    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(t.sf_dir).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
-    need = F.array(*[F.lit(x) for x in ("orders", "customer", "users", "part")])
-    have = files.where("name <> 'part'").agg(F.collect_set("name").alias("have"))
-    return have.select(F.explode(F.array_except(need, "have")).alias("missing")).orderBy("missing")
+    """Required names minus those present, per owner; the present set is cut to the closed list before it is gathered."""
+    have = t.leads(dates=False).where(F.col("source").isin(WANTED)).groupBy("owner_id").agg(F.collect_set("source").alias("have"))
+    return have.select("owner_id", F.explode(F.array_except(F.array(*[F.lit(x) for x in WANTED]), "have")).alias("missing"))
 
 
 @query("agg_56", ["predictions", "quality_scores", "insights", "models"], """SELECT p, q, i, active_models, total_models, CASE WHEN active_models > 0 AND p > 0 THEN 'online' WHEN active_models > 0 OR p > 0 THEN 'limited' ELSE 'offline' END AS status

@@ -20,6 +20,9 @@ def get_session(app: str = "leadlake", master: str | None = None, shuffle_partit
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # A local master runs every task in the driver JVM.
+            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import present
 from ..functions.score import ScoringConfig, with_lead_score
-from .schemas import COMPANY, LEAD_IMPORT
+from .schemas import COMPANY_FIELDS, LEAD_FIELDS, LEAD_IMPORT
 
 
 def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -22,8 +22,10 @@ def read_leads(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     if fmt == "csv":
         flat = spark.read.option("header", True).csv(path)
         have = {c for c in flat.columns}
-        company = F.struct(*[(F.col(f"company_{f.name}") if f"company_{f.name}" in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in COMPANY])
-        lead = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in LEAD_IMPORT if f.name != "company"]
+        pick = lambda c, name, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(name)
+        company = F.struct(*[pick(f"company_{k}", k, v) for k, v in COMPANY_FIELDS.items() if v in ("string", "bigint")],
+                           *[F.lit(None).cast(v).alias(k) for k, v in COMPANY_FIELDS.items() if v not in ("string", "bigint")])
+        lead = [pick(k, k, v) for k, v in LEAD_FIELDS.items()]
         return flat.select(*lead, company.alias("company"))
     raise ValueError(f"unsupported format: {fmt}")
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+COMPANY_FIELDS = {"id": "bigint", **{c: "string" for c in (
+    "name", "domain", "industry", "size", "location", "website", "description", "linkedin_url", "phone", "revenue")},
+    "technologies": "array<string>", "social_media": "map<string,string>"}
+LEAD_FIELDS = {"id": "bigint", **{c: "string" for c in (
+    "first_name", "last_name", "email", "phone", "title", "linkedin_url", "twitter_url", "github_url", "facebook_url", "website", "source", "status", "notes")},
+    "created_at": "timestamp", "updated_at": "timestamp"}
+COMPANY = "struct<" + ",".join(f"{k}:{v}" for k, v in COMPANY_FIELDS.items()) + ">"
+LEAD_IMPORT = ", ".join(f"{k} {v}" for k, v in LEAD_FIELDS.items()) + f", company {COMPANY}"
 
-COMPANY = StructType.fromDDL(
-    "id bigint, name string, domain string, industry string, size string, location string, website string, description string, linkedin_url string, phone string, revenue string,"
-    " technologies array<string>, social_media map<string,string>")
-LEAD_IMPORT = StructType.fromDDL(
-    "id bigint, first_name string, last_name string, email string, phone string, title string, linkedin_url string, twitter_url string, github_url string, facebook_url string, website string,"
-    " source string, status string, notes string, created_at timestamp, updated_at timestamp").add("company", COMPANY)
-
-TABLES = {k: StructType.fromDDL(v) for k, v in {
+# Schema texts, usable wherever Spark takes a schema.
+TABLES = {
     "users": "id bigint, email string, username string, is_active boolean, is_premium boolean, created_at timestamp",
     "companies": "id bigint, name string, domain string, industry string, size string, location string, description string, website string, linkedin_url string, phone string, revenue string, technologies string, social_media string, created_at timestamp, updated_at timestamp",
     "leads": "id bigint, first_name string, last_name string, email string, phone string, title string, linkedin_url string, twitter_url string, source string, status string, score double, notes string, tags string, company_id bigint, owner_id bigint, campaign_id bigint, created_at timestamp, updated_at timestamp",
@@ -26,4 +27,4 @@ TABLES = {k: StructType.fromDDL(v) for k, v in {
     "ai_feedback": "id bigint, prediction_id bigint, insight_id bigint, user_id bigint, rating int, is_accurate boolean, is_helpful boolean, actual_outcome string, sentiment string, created_at timestamp",
     "optimal_contact_timing": "lead_id bigint, best_day_of_week string, best_hour_start int, best_hour_end int, timezone string, confidence_score double, historical_success double, last_updated timestamp",
     "enrichment_suggestions": "id bigint, lead_id bigint, missing_field string, suggested_value string, confidence_score double, priority string, estimated_impact double, status string, expires_at timestamp",
-}.items()}
+}

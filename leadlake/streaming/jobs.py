@@ -75,14 +75,16 @@ def first_within(events: DataFrame, keys, ts: str, ttl: str) -> DataFrame:
 def request_rate(events: DataFrame, key: str, ts: str, limit: int = 30, seconds: int = 60) -> DataFrame:
     """STR-6 on a table: requests of the trailing window per row, flagged above the limit.
 
-    Counted by seconds: equal seconds collapse first, then each second is sent to the seconds it counts for; both steps
-    combine map-side, so a busy key is never one ordered group.
+    Equal seconds collapse first. Each second then goes to its own window-long bucket and to the next one, so the ordered
+    groups are (key, bucket) with at most twice ``seconds`` rows, however busy the key.
     """
     sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
     per = events.groupBy(key, sec.alias("s")).agg(F.count("*").alias("n"))
-    spread = per.select(key, "n", F.explode(F.sequence(F.col("s"), F.col("s") + seconds - 1)).alias("s"))
-    total = spread.groupBy(key, "s").agg(F.sum("n").alias("trailing"))
-    return per.join(total, [key, "s"]).select(key, "s", "n", "trailing", (F.col("trailing") > limit).alias("limited"))
+    home = F.floor(F.col("s") / seconds)
+    spread = per.select(key, "s", "n", home.alias("home"), F.explode(F.array(home, home + 1)).alias("bucket"))
+    w = Window.partitionBy(key, "bucket").orderBy("s").rangeBetween(-(seconds - 1), 0)
+    total = spread.withColumn("trailing", F.sum("n").over(w)).where("home = bucket")
+    return total.select(key, "s", "n", "trailing", (F.col("trailing") > limit).alias("limited"))
 
 
 def request_rate_stream(events: DataFrame, key: str, ts: str, limit: int = 30) -> DataFrame:
@@ -122,5 +124,3 @@ def training_due(new_rows: DataFrame, key: str, ts: str, as_of: str, minimum: in
     day = F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")
     return new_rows.groupBy(key).agg(F.count(F.when(day, 1)).alias("new_rows")).withColumn("due", F.col("new_rows") >= minimum)
 
-
-_ = Window
