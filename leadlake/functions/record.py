@@ -74,7 +74,8 @@ def prepare(df: DataFrame, as_of: str | None = None) -> DataFrame:
         "website": lead("website"),
         "notes": lead("notes"),
         "source": F.lower(lead("source")),
-        "has_company": F.col("company").isNotNull(),
+        # A company without any value counts as none.
+        "has_company": F.coalesce("company.id", *[F.when(F.col(f"company.{c}").isNotNull(), 1) for c in COMPANY_TEXT]).isNotNull(),
         "co_name": company("name"),
         "co_domain": F.lower(company("domain")),
         "co_industry": F.lower(company("industry")),
