@@ -150,13 +150,23 @@ def near_name(people: DataFrame, pages: DataFrame) -> DataFrame:
     """EXT-9: people (id, first, last, domain) and pages of their domain: an address of the domain within 250 characters of
     the name; the first page and form that has one wins."""
     p = pages.select(host(F.col("url")).alias("domain"), "page_id", "html")
-    j = people.join(p, "domain")
-    around = r"(?is).{0,250}"
-    forms = [F.concat(F.lit(around), F.col("first"), F.lit(sep), F.col("last"), F.lit(".{0,250}")) for sep in (r"\s+", r"\s*")] + [F.concat(F.lit(around), F.col("last"), F.lit(r",\s*"), F.col("first"), F.lit(".{0,250}"))]
+    low = F.lower("html")
+    j = people.join(p, "domain").where(low.contains(F.col("first")) & low.contains(F.col("last")))
+    forms = [F.concat(F.lit("(?i)"), F.col("first"), F.lit(sep), F.col("last")) for sep in (r"\s+", r"\s*")] + [F.concat(F.lit("(?i)"), F.col("last"), F.lit(r",\s*"), F.col("first"))]
 
     def hit(form):
-        ctx = F.regexp_extract_all("html", form, F.lit(0))
-        return F.get(F.filter(F.flatten(F.transform(ctx, lambda c: emails(c, SKIP_CONTENT, None))), lambda e: e.contains(F.col("domain"))), F.lit(0))
+        between, names = F.split("html", form), F.regexp_extract_all("html", form, F.lit(0))
+        each = F.when(F.size(names) > 0, F.sequence(F.lit(0), F.size(names) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def total(parts, n):
+            return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+
+        def around(i):
+            start = total(between, i + 1) + total(names, i)
+            return F.substring(F.col("html"), F.greatest(start - 249, F.lit(1)), F.least(start, F.lit(250)) + F.length(names[i]) + 250)
+
+        near = F.flatten(F.transform(F.transform(each, around), lambda c: emails(c, SKIP_CONTENT, None)))
+        return F.get(F.filter(near, lambda e: e.contains(F.col("domain"))), F.lit(0))
 
     found = j.select("id", "page_id", F.coalesce(*[hit(f) for f in forms]).alias("email")).where("email IS NOT NULL")
     return found.groupBy("id").agg(F.min_by("email", "page_id").alias("email"), F.min("page_id").alias("page_id")).withColumn("confidence", F.lit(85))

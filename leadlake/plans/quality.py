@@ -9,6 +9,7 @@ from ..functions import quality as Q
 from ..functions import rules as R
 from ..functions.record import prepare, w
 from ..operators import aggregates as A
+from ..session import cut_lineage
 from ..sources.bindings import AS_OF
 from .registry import query
 from .scoring import nested
@@ -247,9 +248,9 @@ def dq_27(t):
     return r.select("id", "overall_score", *[F.col("b")[c].alias(c) for c in ("email_quality", "completeness_score", "accuracy_score")])
 
 
-@query("dq_28", BASE, "SELECT id, CASE WHEN id % 50 = 0 THEN 50.0::DOUBLE ELSE round(overall_score, 6) END AS overall_score, CASE WHEN id % 50 = 0 THEN 0.3::DOUBLE ELSE round(confidence, 6) END AS confidence FROM report", X)
+@query("dq_28", BASE, "SELECT id, CASE WHEN email = '' THEN 50.0::DOUBLE ELSE round(overall_score, 6) END AS overall_score, CASE WHEN email = '' THEN 0.3::DOUBLE ELSE round(confidence, 6) END AS confidence FROM report", X)
 def dq_28(t):
-    r = Q.assess(nested(t), AS_OF, unreadable=F.col("id") % 50 == 0)
+    r = Q.assess(nested(t), AS_OF, unreadable=F.coalesce(F.col("email"), F.lit("")) == "")
     return r.select("id", F.round("overall_score", 6).alias("overall_score"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -257,7 +258,8 @@ def dq_28(t):
  round(avg(consistency_score), 6) AS consistency, round(100 - avg(overall_score), 6) AS improvement_potential,
  array_to_string(list_sort(list_distinct(flatten(list(list_filter([{', '.join(E_ISS + P_ISS + M_ISS + A_ISS + C_ISS)}], lambda x: x IS NOT NULL)))))[1:20], ' | ') AS issues FROM report GROUP BY 1""", X)
 def agg_38(t):
-    r = assessed(t)
+    # Read twice below, so assessed once and written down.
+    r = cut_lineage(assessed(t).select("owner_id", *Q.SCORES, "issues"))
     means = r.groupBy("owner_id").agg(
         A.mean("overall_score").alias("overall_score"), A.mean("email_quality").alias("email_quality"), A.mean("completeness_score").alias("completeness"), A.mean("accuracy_score").alias("accuracy"),
         A.mean("consistency_score").alias("consistency"), A.r6(100 - F.avg("overall_score")).alias("improvement_potential"))

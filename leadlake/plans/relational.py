@@ -187,8 +187,7 @@ def jn_14(t):
 
 
 @query("jn_16", ["leads", "companies"], """
-, f AS (SELECT CASE WHEN n_nationkey % 7 = 0 THEN 'acme.com' ELSE 'novalabs.ai' END AS domain, '51-200' AS size, '$1M' AS revenue, CASE WHEN n_nationkey = 0 THEN '["spark"]' ELSE '' END AS technologies,
- 'https://linkedin.com/in/found' AS linkedin_url FROM nation WHERE n_nationkey < 2)
+, f AS (SELECT domain, max(size) AS size, max(revenue) AS revenue, max(technologies) FILTER (WHERE technologies <> '[]') AS technologies, 'https://linkedin.com/in/found' AS linkedin_url FROM companies WHERE domain <> '' GROUP BY 1)
 SELECT l.id, CASE WHEN coalesce(c.size, '') = '' AND f.size <> '' THEN f.size ELSE c.size END AS size, CASE WHEN coalesce(c.revenue, '') = '' AND f.revenue <> '' THEN f.revenue ELSE c.revenue END AS revenue,
  CASE WHEN f.technologies <> '' THEN f.technologies ELSE c.technologies END AS technologies, CASE WHEN coalesce(l.linkedin_url, '') = '' AND f.linkedin_url <> '' THEN f.linkedin_url ELSE l.linkedin_url END AS linkedin_url,
  array_to_string(list_filter([CASE WHEN coalesce(c.size, '') = '' AND f.size <> '' THEN 'company_size' END, CASE WHEN coalesce(c.revenue, '') = '' AND f.revenue <> '' THEN 'company_revenue' END,
@@ -197,9 +196,8 @@ FROM leads l JOIN companies c ON l.company_id = c.id LEFT JOIN f ON f.domain = c
 def jn_16(t):
     c = t.companies().select(F.col("id").alias("company_id"), "domain", "size", "revenue", "technologies")
     rows = t.leads(dates=False).select("id", "company_id", "linkedin_url").join(c, "company_id")
-    found = t.raw("nation").where("n_nationkey < 2").selectExpr(
-        "CASE WHEN n_nationkey % 7 = 0 THEN 'acme.com' ELSE 'novalabs.ai' END AS domain", "'51-200' AS size", "'$1M' AS revenue",
-        "CASE WHEN n_nationkey = 0 THEN '[\"spark\"]' ELSE '' END AS technologies", "'https://linkedin.com/in/found' AS linkedin_url")
+    found = t.companies().where("domain <> ''").groupBy("domain").agg(
+        F.max("size").alias("size"), F.max("revenue").alias("revenue"), F.max(F.when(F.col("technologies") != "[]", F.col("technologies"))).alias("technologies"), F.lit("https://linkedin.com/in/found").alias("linkedin_url"))
     return T.enrich(rows, found).withColumn("enriched_fields", F.array_join("enriched_fields", ","))
 
 

@@ -50,12 +50,12 @@ def src_3(t):
     return RD.read_samples(t.spark, path, ["seniority_score", "industry_relevance"])
 
 
-@query("src_4", BASE, """SELECT l.id, substring(coalesce(l.email, ''), 1, 255) AS email, 'new' AS status, (c.domain IN (SELECT domain FROM companies WHERE id < 3)) AS known_company FROM leads l JOIN companies c ON l.company_id = c.id""")
+@query("src_4", BASE, """SELECT l.id, substring(coalesce(l.email, ''), 1, 255) AS email, 'new' AS status, (c.domain IN (SELECT domain FROM companies WHERE website <> '')) AS known_company FROM leads l JOIN companies c ON l.company_id = c.id""")
 def src_4(t):
     scraped = nested(t).where("company_id IS NOT NULL").drop("company_id")
-    stored = t.companies().where("id < 3")
+    stored = t.companies().where("website <> ''")
     _, leads = RD.ingest(scraped, stored, 1, AS_OF)
-    return leads.select("id", "email", "status", (F.col("company_id") < 3).alias("known_company"))
+    return leads.select("id", "email", "status", (F.col("company_id") < 2**62).alias("known_company"))
 
 
 FLAT = """SELECT coalesce(first_name, '') AS first_name, coalesce(last_name, '') AS last_name, coalesce(email, '') AS email, coalesce(l.phone, '') AS phone, coalesce(title, '') AS title, coalesce(l.linkedin_url, '') AS linkedin_url, coalesce(source, '') AS source,
@@ -155,8 +155,9 @@ def snk_12(t):
 
 @query("snk_13", ["leads"], "SELECT primary_lead_id, id AS duplicate_lead_id FROM (SELECT id, lower(email) AS e FROM leads WHERE email <> '') JOIN (SELECT lower(email) AS e2, min(id) AS primary_lead_id FROM leads WHERE email <> '' GROUP BY 1) ON e = e2 WHERE id <> primary_lead_id")
 def snk_13(t):
-    d = cut_lineage(duplicates(t).select("primary_lead_id", "duplicate_lead_id"))
-    return SK.insert_absent(d.where(F.col("duplicate_lead_id") % 2 == 0), d, ["primary_lead_id", "duplicate_lead_id"])
+    d = cut_lineage(duplicates(t).select("primary_lead_id", "duplicate_lead_id", "status"))
+    pair = ["primary_lead_id", "duplicate_lead_id"]
+    return SK.insert_absent(d.where("status = 'merged'").select(*pair), d.select(*pair), ["primary_lead_id", "duplicate_lead_id"])
 
 
 @query("snk_14", ["leads", "predictions", "insights"], """SELECT 'predictions' AS t, count(*) AS n FROM predictions WHERE lead_id NOT IN (SELECT id FROM leads WHERE status = 'rejected') UNION ALL SELECT 'insights', count(*) FROM insights WHERE lead_id NOT IN (SELECT id FROM leads WHERE status = 'rejected')
@@ -199,9 +200,9 @@ def snk_20(t):
     return SK.log_rows(t.leads(dates=False), "score", AS_OF, [F.col("score")]).select("entity_id", "operation_type", "details")
 
 
-@query("snk_21", ["feedback", "predictions"], "SELECT id, CASE WHEN rating >= 4 THEN 'positive' WHEN rating <= 2 THEN 'negative' ELSE 'neutral' END AS sentiment FROM feedback WHERE prediction_id IN (SELECT id FROM predictions WHERE lead_id < 100)")
+@query("snk_21", ["feedback", "predictions"], "SELECT id, CASE WHEN rating >= 4 THEN 'positive' WHEN rating <= 2 THEN 'negative' ELSE 'neutral' END AS sentiment FROM feedback WHERE prediction_id IN (SELECT id FROM predictions WHERE model_type = 'purchase')")
 def snk_21(t):
-    return SK.feedback_rows(t.feedback(), t.predictions().where("lead_id < 100"))[0].select("id", "sentiment")
+    return SK.feedback_rows(t.feedback(), t.predictions().where("model_type = 'purchase'"))[0].select("id", "sentiment")
 
 
 @query("snk_22", BASE, "SELECT id, lead_score FROM scored", SX)
