@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +28,21 @@ def get_session(app: str = "leadlake", master: str | None = None, shuffle_partit
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names; a folder of our own is set only where none is."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, only a local master - one machine by definition - gets a folder of its own; a cluster is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+        if named is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leadlake-checkpoint-"))
+        sc.setCheckpointDir(named or f"{Path.cwd() / 'spark-warehouse'}/checkpoints")
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; what builds on it no longer depends on how it was made."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
