@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 
 # Executors may lack this package: functions that run in tasks travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,6 +50,20 @@ def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return dealt.withColumn(key, part).join(F.broadcast(counts), key).withColumn(name, (F.col(before) + (F.col(at) % F.lit(1 << 33))).cast("long")).drop(at, key, before)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path. Unlike a checkpoint the plan keeps nothing of how it was made,
+    so that loops plan each round from scratch; the caller drops tables that are no longer read.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node that an edge (a, b) touches; the root is the smallest node it can reach.
 
@@ -56,20 +71,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     costs one row per neighbour. Nodes are longs. A null or an edge from a node to itself is ignored. Each round is
     written to the shared checkpoint folder; the driver sees one count and one checksum a round.
     """
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    spark = edges.sparkSession
+    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large, between = written(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        then, next_path = written(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        drop(spark, between)
+        drop(spark, path)
+        now, path = then, next_path
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = seen
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-
