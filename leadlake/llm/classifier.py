@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .base import free_name, whole_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -142,14 +143,18 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list:
-    """Up to ``sample`` labelled rows (text, quality) outside the held-out part, those with the smallest hash of their id.
+    """About ``sample`` labelled rows (text, quality) outside the held-out part, or all if there are fewer.
 
-    Ids with two different labels and labels other than 0 and 1 are left out, and so are texts over SAMPLE_CHARS characters:
-    both bounds keep the fit small whatever the tables hold.
+    Ids are chosen from the labels alone, by their hash, at the rate that gives ``sample`` of them; only the texts of chosen
+    ids are read out, one of each. Ids with two different labels and labels other than 0 and 1 are left out, and so are
+    texts over SAMPLE_CHARS characters: both bounds keep the fit small whatever the tables hold.
     """
-    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_key")).agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most")
-    rows = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("x")).where(~held_out("_id") & (F.length("x") <= SAMPLE_CHARS)).join(known, F.col("_id") == F.col("_key"))
-    return rows.orderBy(F.xxhash64("_id"), F.xxhash64("x")).select("x", "y").limit(sample).collect()
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").alias("_key")).agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most")
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = cut_lineage(known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("_key", "y"))
+    # Some ``sample`` rows of an id and a label, so their size is bounded.
+    rows = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("x")).where(F.length("x") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
+    return rows.groupBy("_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy(F.xxhash64("_id")).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:

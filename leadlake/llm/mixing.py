@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import WORD, free_name, whole_text
+from .base import WORD, free_name, whole_text, written
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
@@ -78,7 +78,8 @@ def plan(docs: DataFrame, power: float | dict[str, float] = TEMPER, targets: dic
     powers = power if isinstance(power, dict) else dict.fromkeys(MARGINS, power)
     raked = rake(cells, {m: tempered(cells, m, powers[m]) if g is None else g for m, g in goals.items()}, rounds)
     top = raked.where("tokens > 0").agg(F.max("factor")).first()[0]
-    return raked.withColumn("probability", F.least(F.lit(1.0), F.col("factor") / F.lit(float(top or 1.0))))
+    # As a table its size is known, so the planner itself broadcasts it below its threshold and no text is shuffled.
+    return written(raked.withColumn("probability", F.least(F.lit(1.0), F.col("factor") / F.lit(float(top or 1.0)))))[0]
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
