@@ -151,7 +151,7 @@ def regression_metrics(pred: DataFrame, cfg: TrainingConfig, spark: SparkSession
     y, g = F.col("label__x"), F.col("prediction")
     err = y - g
     return pred.agg(F.count("*").alias("n_test"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-                    (1 - F.sum(err * err) / (F.var_pop(y) * F.count("*"))).alias("r2_score")).withColumns({"purpose": F.lit(cfg.purpose), "algorithm": F.lit(cfg.algorithm)})
+                    (1 - F.sum(err * err) / F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0))).alias("r2_score")).withColumns({"purpose": F.lit(cfg.purpose), "algorithm": F.lit(cfg.algorithm)})
 
 
 def labels_of(model: PipelineModel) -> list[str]:

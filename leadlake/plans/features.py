@@ -278,22 +278,30 @@ def sim_1(t):
     return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), ratio(n("a"), n("b")).alias("ratio"))
 
 
+def _filled(side: str, column: str):
+    return F.trim(F.lower(F.coalesce(F.col(f"{side}.{column}"), F.lit(""))))
+
+
+def text_similarity(a, b):
+    """The ratio of two texts; 0 if either is blank."""
+    return F.when((a != "") & (b != ""), sequence_ratio(a, b)).otherwise(F.lit(0.0))
+
+
 @query("sim_2")
 def sim_2(t):
     p = adjacent_pairs(numbered(t))
-    g = lambda s, c: F.lower(F.coalesce(F.col(f"{s}.{c}"), F.lit("")))
-    return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), *[sequence_ratio(g("a", c), g("b", c)).alias(f"{c}_similarity") for c in ("email", "company_name", "title", "location")])
+    return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), *[text_similarity(_filled("a", c), _filled("b", c)).alias(f"{c}_similarity") for c in ("email", "company_name", "title", "location")])
 
 
 @query("sim_7")
 def sim_7(t):
     p = adjacent_pairs(numbered(t))
-    g = lambda s, c: F.lower(F.coalesce(F.col(f"{s}.{c}"), F.lit("")))
-    nm = lambda s: F.concat_ws(" ", g(s, "first_name"), g(s, "last_name"))
-    f = p.select(F.col("a.id").alias("lead1_id"), F.col("b.id").alias("lead2_id"), sequence_ratio(nm("a"), nm("b")).alias("name_similarity"), sequence_ratio(g("a", "email"), g("b", "email")).alias("email_similarity"),
-                 sequence_ratio(g("a", "company_name"), g("b", "company_name")).alias("company_similarity"), sequence_ratio(g("a", "title"), g("b", "title")).alias("title_similarity"),
-                 sequence_ratio(g("a", "location"), g("b", "location")).alias("location_similarity"), (g("a", "industry") == g("b", "industry")).alias("industry_match"), (g("a", "domain") == g("b", "domain")).alias("same_company_domain"))
-    s = F.col("name_similarity") * 0.3 + F.col("email_similarity") * 0.3 + F.col("company_similarity") * 0.2 + F.col("title_similarity") * 0.2
+    nm = lambda s: F.trim(F.concat_ws(" ", _filled(s, "first_name"), _filled(s, "last_name")))
+    alike = lambda c: text_similarity(_filled("a", c), _filled("b", c))
+    f = p.select(F.col("a.id").alias("lead1_id"), F.col("b.id").alias("lead2_id"), text_similarity(nm("a"), nm("b")).alias("name_similarity"), alike("email").alias("email_similarity"),
+                 alike("company_name").alias("company_similarity"), alike("title").alias("title_similarity"), alike("location").alias("location_similarity"),
+                 (_filled("a", "industry") == _filled("b", "industry")).alias("industry_match"), ((_filled("a", "domain") == _filled("b", "domain")) & (_filled("a", "domain") != "")).alias("same_company_domain"))
+    s = F.col("name_similarity") * 0.3 + F.col("email_similarity") * 0.2 + F.col("company_similarity") * 0.3 + F.col("title_similarity") * 0.2
     return f.withColumn("similarity_score", s).withColumn("label", F.when(F.col("similarity_score") > 0.7, "similar").otherwise("different"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from ..functions.quality import ensemble
 from ..functions.record import prepare
 from ..operators import aggregates as A
 from ..operators import ml as ML
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sources.bindings import AS_OF
 from .registry import query
 from .scoring import nested
@@ -309,10 +309,8 @@ def ml_13(t):
 
 
 def scratch(t) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{base}/run-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="leadlake-run-")
+    """A folder of its own for one run, below the one that driver and executors share."""
+    return f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex}"
 
 
 @query("ml_14")

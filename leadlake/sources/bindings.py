@@ -319,7 +319,7 @@ class Tables:
         return self.raw("nation").selectExpr(*_exprs(COMPANY_COLUMNS))
 
     def campaigns(self) -> DataFrame:
-        return self.raw("nation").where("n_nationkey < 12").selectExpr(*_exprs(CAMPAIGN_COLUMNS))
+        return self.raw("nation").selectExpr(*_exprs(CAMPAIGN_COLUMNS))
 
     def predictions(self) -> DataFrame:
         return self.raw("events").selectExpr(*_exprs(PREDICTION_COLUMNS))
@@ -328,7 +328,7 @@ class Tables:
         return self.raw("events").selectExpr(*_exprs(LOG_COLUMNS))
 
     def feedback(self) -> DataFrame:
-        return self.raw("events").where("event_type IN ('purchase', 'signup')").selectExpr(*_exprs(FEEDBACK_COLUMNS))
+        return self.raw("events").selectExpr(*_exprs(FEEDBACK_COLUMNS))
 
     def quality_scores(self) -> DataFrame:
         orders = self.raw("orders").select("o_orderkey", "o_custkey")
@@ -356,10 +356,10 @@ CTE = {
         " min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at FROM orders GROUP BY o_custkey) d ON s.id = d.k"
     ),
     "companies": f"SELECT {_sql(COMPANY_COLUMNS)} FROM nation",
-    "campaigns": f"SELECT {_sql(CAMPAIGN_COLUMNS)} FROM nation WHERE n_nationkey < 12",
+    "campaigns": f"SELECT {_sql(CAMPAIGN_COLUMNS)} FROM nation",
     "predictions": f"SELECT {_sql(PREDICTION_COLUMNS)} FROM events",
     "processing_log": f"SELECT {_sql(LOG_COLUMNS)} FROM events",
-    "feedback": f"SELECT {_sql(FEEDBACK_COLUMNS)} FROM events WHERE event_type IN ('purchase', 'signup')",
+    "feedback": f"SELECT {_sql(FEEDBACK_COLUMNS)} FROM events",
     "quality_scores": f"SELECT {_sql(QUALITY_COLUMNS)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "insights": f"SELECT {_sql(INSIGHT_COLUMNS)} FROM orders",
     "models": f"SELECT {_sql(MODEL_COLUMNS)} FROM part",
