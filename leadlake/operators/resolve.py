@@ -40,10 +40,11 @@ def _norm(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^\s+|\s+$", "")
 
 
-def profiles(leads: DataFrame) -> DataFrame:
-    """Compared fields, normalised; null counts as ''."""
+def profiles(leads: DataFrame, tenant: str | None = None) -> DataFrame:
+    """Compared fields, normalised; null counts as ''. ``tenant`` names a column whose values are never paired across."""
+    owner = F.coalesce(F.col(tenant).cast("string"), F.lit("")) if tenant else F.lit("")
     name = F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("last_name", F.lit("")))
-    return leads.select("id", _norm(F.col("email")).alias("email"), _norm(name).alias("name"), match_phone(F.col("phone")).alias("phone"),
+    return leads.select("id", owner.alias("tenant"), _norm(F.col("email")).alias("email"), _norm(name).alias("name"), match_phone(F.col("phone")).alias("phone"),
                         _norm(F.col("linkedin_url")).alias("linkedin"), _norm(F.col("company.name")).alias("company"), _norm(F.col("title")).alias("title"))
 
 
@@ -117,11 +118,11 @@ def blocks(p: DataFrame, threshold: float) -> DataFrame:
     has = F.col("email") != ""
     # A rounded ratio of 100 means equality below 200 characters in total; longer names share one key.
     long_name = F.when(F.length("name") >= 99, F.lit("*")).otherwise(F.col("name"))
-    by_phone = p.where(has & (F.col("phone") != "")).select("id", F.concat_ws("\u0001", F.lit("ep"), "email", "phone").alias("key"))
-    by_name = p.where(has).select("id", F.concat_ws("\u0001", F.lit("e"), "email", *([] if wide else [long_name])).alias("key"))
-    scope = p.where(has).withColumn("scope", F.lit("") if wide else F.col("phone"))
+    by_phone = p.where(has & (F.col("phone") != "")).select("id", F.concat_ws("\u0001", F.lit("ep"), "tenant", "email", "phone").alias("key"))
+    by_name = p.where(has).select("id", F.concat_ws("\u0001", F.lit("e"), "tenant", "email", *([] if wide else [long_name])).alias("key"))
+    scope = p.where(has).withColumn("scope", F.col("tenant") if wide else F.concat_ws("\u0001", "tenant", "phone"))
     if not wide:
-        shared = scope.where("scope <> ''").groupBy("scope").agg(F.count_distinct("email").alias("n")).where("n > 1").select("scope")
+        shared = scope.where("phone <> ''").groupBy("scope").agg(F.count_distinct("email").alias("n")).where("n > 1").select("scope")
         scope = scope.join(shared, "scope", "left_semi")
     all_keys = by_phone.unionByName(by_name).unionByName(_gram_keys(scope))
     sizes = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -195,10 +196,13 @@ def _lowest_independent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return led.select(F.col("id").alias("leader"))
 
 
-def duplicate_groups(leads: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """ER-2: (primary_lead_id, duplicate_lead_id, score, confidence, matching_fields), one row per claimed lead."""
-    rows = cut_lineage(profiles(leads))
-    classes = rows.groupBy(*FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | None = None) -> DataFrame:
+    """ER-2: (primary_lead_id, duplicate_lead_id, score, confidence, matching_fields), one row per claimed lead.
+
+    With ``tenant`` the scan runs over the leads of each of its values by themselves, all in the same job.
+    """
+    rows = cut_lineage(profiles(leads, tenant))
+    classes = rows.groupBy("tenant", *FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # Copies that do not reach the threshold among themselves reach it with nobody.
     live = cut_lineage(classes.where(self_score() >= threshold))
     members = cut_lineage(blocks(live, threshold))
@@ -227,8 +231,8 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85) -> DataFrame:
         edges = cut_lineage(_scored(live, pairs, threshold))
         led = _lowest_independent(edges, undecided)
         claims = claims.unionByName(edges.join(led, "leader", "left_semi"))
-    cls = live.select(*FIELDS, F.col("id").alias("class_id"))
-    expanded = rows.join(cls, FIELDS).select(F.col("id").alias("duplicate_lead_id"), "class_id")
+    cls = live.select("tenant", *FIELDS, F.col("id").alias("class_id"))
+    expanded = rows.join(cls, ["tenant", *FIELDS]).select(F.col("id").alias("duplicate_lead_id"), "class_id")
     own = live.where("copies > 1").select(F.col("id").alias("class_id"), self_score().alias("score"), *FIELDS)
     own = own.select("class_id", F.col("class_id").alias("primary_lead_id"), "score", F.least(F.lit(0.95), sum((F.when(F.col(f) != "", 1).otherwise(0) for f in FIELDS), F.lit(0)) / 6.0 * F.col("score")).alias("confidence"),
                      compact(*[say(F.col(f) != "", f) for f in FIELDS]).alias("matching_fields"))

@@ -309,7 +309,7 @@ def sim_7(t):
 
 
 def groups(t, threshold=0.85):
-    return ER.duplicate_groups(nested(t), threshold)
+    return ER.duplicate_groups(nested(t), threshold, "owner_id")
 
 
 @query("er_1")

@@ -9,6 +9,7 @@ from ..functions import quality as Q
 from ..functions import rules as R
 from ..functions.record import prepare, w
 from ..operators import aggregates as A
+from ..operators.ranking import top_per_key
 from ..session import cut_lineage
 from ..sources.bindings import AS_OF
 from .registry import query
@@ -256,17 +257,21 @@ def dq_28(t):
 
 @query("agg_38", BASE, f"""SELECT owner_id, round(avg(overall_score), 6) AS overall_score, round(avg(email_quality), 6) AS email_quality, round(avg(completeness_score), 6) AS completeness, round(avg(accuracy_score), 6) AS accuracy,
  round(avg(consistency_score), 6) AS consistency, round(100 - avg(overall_score), 6) AS improvement_potential,
- array_to_string(list_sort(list_distinct(flatten(list(list_filter([{', '.join(E_ISS + P_ISS + M_ISS + A_ISS + C_ISS)}], lambda x: x IS NOT NULL)))))[1:20], ' | ') AS issues FROM report GROUP BY 1""", X)
+ array_to_string(list_sort(list_distinct(flatten(list(list_filter([{', '.join(ALL)}], lambda x: x IS NOT NULL)))))[1:20], ' | ') AS issues,
+ array_to_string(list_sort(list_distinct(flatten(list(list_filter([{', '.join(SUGS)}], lambda x: x IS NOT NULL)))))[1:10], ' | ') AS suggestions FROM report GROUP BY 1""", X)
 def agg_38(t):
     # Read twice below, so assessed once and written down.
-    r = cut_lineage(assessed(t).select("owner_id", *Q.SCORES, "issues"))
+    r = cut_lineage(assessed(t).select("owner_id", *Q.SCORES, F.transform("issues", lambda i: i.description).alias("issues"), "suggestions"))
     means = r.groupBy("owner_id").agg(
         A.mean("overall_score").alias("overall_score"), A.mean("email_quality").alias("email_quality"), A.mean("completeness_score").alias("completeness"), A.mean("accuracy_score").alias("accuracy"),
         A.mean("consistency_score").alias("consistency"), A.r6(100 - F.avg("overall_score")).alias("improvement_potential"))
-    # Issue texts with a day count are left out: the remaining ones form a closed list, so the set is bounded.
-    texts = r.select("owner_id", F.explode("issues").alias("i")).where("i.issue_type <> 'outdated_data'").select("owner_id", F.col("i.description").alias("d")).distinct()
-    top = texts.groupBy("owner_id").agg(F.array_join(F.slice(F.sort_array(F.collect_set("d")), 1, 20), " | ").alias("issues"))
-    return means.join(top, "owner_id", "left")
+    out = means
+    # Texts with a day count are many, so texts are ranked as rows and only the first few of an owner are gathered.
+    for name, k in (("issues", 20), ("suggestions", 10)):
+        texts = r.select("owner_id", F.explode(name).alias("d")).distinct()
+        first = top_per_key(texts, ["owner_id"], [F.col("d")], k)
+        out = out.join(first.groupBy("owner_id").agg(F.array_join(F.sort_array(F.collect_list("d")), " | ").alias(name)), "owner_id", "left")
+    return out.na.fill("", ["issues", "suggestions"])
 
 
 @query("agg_46", BASE, """SELECT count(*) AS total_leads, round(avg(s), 6) AS average_score, round(quantile_cont(s, 0.5), 6) AS median_score, round(stddev_pop(s), 6) AS std_score, min(s) AS min_score, max(s) AS max_score,

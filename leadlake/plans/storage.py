@@ -50,9 +50,9 @@ def src_3(t):
     return RD.read_samples(t.spark, path, ["seniority_score", "industry_relevance"])
 
 
-@query("src_4", BASE, """SELECT l.id, substring(coalesce(l.email, ''), 1, 255) AS email, 'new' AS status, (c.domain IN (SELECT domain FROM companies WHERE website <> '')) AS known_company FROM leads l JOIN companies c ON l.company_id = c.id""")
+@query("src_4", BASE, """SELECT l.id, substring(coalesce(l.email, ''), 1, 255) AS email, 'new' AS status, (c.domain IN (SELECT domain FROM companies WHERE website <> '')) AS known_company FROM leads l LEFT JOIN companies c ON l.company_id = c.id""")
 def src_4(t):
-    scraped = nested(t).where("company_id IS NOT NULL").drop("company_id")
+    scraped = nested(t).drop("company_id")
     stored = t.companies().where("website <> ''")
     _, leads = RD.ingest(scraped, stored, 1, AS_OF)
     return leads.select("id", "email", "status", (F.col("company_id") < 2**62).alias("known_company"))
@@ -103,11 +103,11 @@ def snk_5(t):
     return rows.select("id", F.col("company.name").alias("company_name")).join(p, "id", "left").join(q, "id", "left")
 
 
-@query("snk_6", BASE, "SELECT l.id, c.name AS company_name FROM leads l JOIN companies c ON l.company_id = c.id")
+@query("snk_6", BASE, "SELECT l.id, coalesce(l.email, '') AS email, coalesce(l.title, '') AS title, coalesce(l.status, '') AS status, coalesce(c.name, '') AS company_name, coalesce(c.domain, '') AS company_domain FROM leads l LEFT JOIN companies c ON l.company_id = c.id")
 def snk_6(t):
     path = f"{scratch(t)}/dataset"
-    SK.save_dataset(nested(t).where("company_id IS NOT NULL").select("id", "email", "company"), path, "csv")
-    return csv_back(t, path).select(F.col("id").cast("bigint").alias("id"), "company_name")
+    SK.save_dataset(nested(t), path, "csv")
+    return csv_back(t, path).select(F.col("id").cast("bigint").alias("id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("email", "title", "status", "company_name", "company_domain")])
 
 
 @query("snk_7", BASE, "SELECT l.id, c.name AS company_name, c.size AS company_size, array_to_string(from_json(c.technologies, '[\"VARCHAR\"]'), ', ') AS company_technologies FROM leads l LEFT JOIN companies c ON l.company_id = c.id")
@@ -200,9 +200,9 @@ def snk_20(t):
     return SK.log_rows(t.leads(dates=False), "score", AS_OF, [F.col("score")]).select("entity_id", "operation_type", "details")
 
 
-@query("snk_21", ["feedback", "predictions"], "SELECT id, CASE WHEN rating >= 4 THEN 'positive' WHEN rating <= 2 THEN 'negative' ELSE 'neutral' END AS sentiment FROM feedback WHERE prediction_id IN (SELECT id FROM predictions WHERE model_type = 'purchase')")
+@query("snk_21", ["feedback", "predictions"], "SELECT id, CASE WHEN rating >= 4 THEN 'positive' WHEN rating <= 2 THEN 'negative' ELSE 'neutral' END AS sentiment FROM feedback WHERE prediction_id IN (SELECT id FROM predictions)")
 def snk_21(t):
-    return SK.feedback_rows(t.feedback(), t.predictions().where("model_type = 'purchase'"))[0].select("id", "sentiment")
+    return SK.feedback_rows(t.feedback(), t.predictions())[0].select("id", "sentiment")
 
 
 @query("snk_22", BASE, "SELECT id, lead_score FROM scored", SX)
@@ -329,8 +329,8 @@ def str_3(t):
     rows.where("created_at >= TIMESTAMP_NTZ '1996-01-01 00:00:00'").write.parquet(f"{path}/in")
     rows.where("created_at IS NULL OR created_at < TIMESTAMP_NTZ '1996-01-01 00:00:00'").write.parquet(f"{path}/old")
     stored = t.spark.read.parquet(f"{path}/old")
-    ST.duplicates_of_new(ST.read_table(t.spark, f"{path}/in", stored.schema), stored, f"{path}/out", AS_OF, f"{path}/cp").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select("primary_lead_id", "duplicate_lead_id", "match_score")
+    ST.duplicates_of_new(ST.read_table(t.spark, f"{path}/in", stored.schema), stored, f"{path}/out", AS_OF, f"{path}/cp", tenant="owner_id").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out/pairs").select("primary_lead_id", "duplicate_lead_id", "match_score")
 
 
 def event_stream(t):
@@ -342,22 +342,26 @@ def event_stream(t):
 
 
 def sunk(t, df, path, mode="append"):
-    """Run a stream to its end into parquet; a last empty day lets the watermark close every window."""
+    """Run a stream to its end into parquet."""
     df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-@query("str_4", [], """SELECT ts::DATE::TIMESTAMP AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE ts::DATE < (SELECT max(ts) - INTERVAL 1 DAY FROM events)::DATE GROUP BY ALL""")
+@query("str_4", [], """SELECT ts::DATE::TIMESTAMP AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""")
 def str_4(t):
     path, stream = event_stream(t)
     m = ST.rolling_metrics(stream, "ts", ["event_type"], "1 day", None, F.count("*").alias("n"), F.avg("value").alias("mean_value"))
-    return sunk(t, m, path).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    ST.upsert_changes(m, f"{path}/out", f"{path}/cp").awaitTermination()
+    return ST.latest(t.spark, f"{path}/out", ["window", "event_type"]).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
-@query("str_5")
+@query("str_5", [], """WITH RECURSIVE r AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
+UNION ALL SELECT r.user_id, r.event_type, min(e.ts) FROM r JOIN events e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.ts >= r.ts + INTERVAL 1 HOUR GROUP BY 1, 2) SELECT * FROM r""")
 def str_5(t):
     path, stream = event_stream(t)
-    return sunk(t, ST.first_within(stream.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "1 hour"), path)
+    keys = ["user_id", "event_type"]
+    ST.first_within(stream, keys, "ts", 3600, f"{path}/out", f"{path}/cp").awaitTermination()
+    return ST.latest(t.spark, f"{path}/out/results", keys).select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 RATE = """SELECT user_id, s, n, (SELECT sum(n) FROM per q WHERE q.user_id = p.user_id AND q.s BETWEEN p.s - 59 AND p.s)::BIGINT AS trailing, (SELECT sum(n) FROM per q WHERE q.user_id = p.user_id AND q.s BETWEEN p.s - 59 AND p.s) > 30 AS limited FROM per p"""

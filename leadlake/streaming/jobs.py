@@ -6,8 +6,9 @@ Sinks write one folder per micro-batch with overwrite, so a replayed batch repla
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,23 +40,30 @@ def analyze_changes(changes: DataFrame, out: str, as_of: str, checkpoint: str) -
     """STR-1/STR-2: score, prioritise and assess each micro-batch of lead rows (with nested company)."""
     def handle(batch: DataFrame, n: int) -> None:
         batch.persist()
-        scored = with_priority(with_lead_score(batch, as_of), as_of)
+        scored = with_priority(with_lead_score(batch, as_of), as_of).persist()
         for name, rows in (("scores", scored.select("id", "lead_score", "priority_score")), ("predictions", prediction_rows(scored, as_of)), ("insights", insight_rows(scored, as_of)), ("quality", quality_rows(assess(batch, as_of), as_of))):
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={n}")
+        scored.unpersist()
         batch.unpersist()
 
     return run_batches(changes, handle, checkpoint)
 
 
-def duplicates_of_new(changes: DataFrame, existing: DataFrame, out: str, as_of: str, checkpoint: str, threshold: float = 0.85) -> StreamingQuery:
-    """STR-3: groups over stored plus new leads; pairs with a new lead that are not stored yet are appended."""
+def duplicates_of_new(changes: DataFrame, existing: DataFrame, out: str, as_of: str, checkpoint: str, threshold: float = 0.85, tenant: str | None = None) -> StreamingQuery:
+    """STR-3: groups over stored leads, leads of earlier batches and new ones; pairs with a new lead that are not stored yet
+    are written to ``out``/pairs. Leads of every batch are kept in ``out``/leads, so later batches meet them.
+    """
     def handle(batch: DataFrame, n: int) -> None:
-        both = existing.unionByName(batch)
-        found = duplicate_records(duplicate_groups(both, threshold), as_of)
-        ids = batch.select("id")
-        fresh = found.join(ids.withColumnRenamed("id", "duplicate_lead_id"), "duplicate_lead_id", "left_semi").unionByName(
-            found.join(ids.withColumnRenamed("id", "primary_lead_id"), "primary_lead_id", "left_semi")).dropDuplicates(["primary_lead_id", "duplicate_lead_id"])
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        spark, pair = batch.sparkSession, ["primary_lead_id", "duplicate_lead_id"]
+        batch.write.mode("overwrite").parquet(f"{out}/leads/batch={n}")
+        seen = spark.read.parquet(f"{out}/leads").where(F.col("batch") <= n)
+        ids = seen.where(F.col("batch") == n).select("id")
+        found = duplicate_records(duplicate_groups(existing.unionByName(seen.drop("batch")), threshold, tenant), as_of)
+        fresh = found.join(ids.withColumnRenamed("id", pair[1]), pair[1], "left_semi").unionByName(
+            found.join(ids.withColumnRenamed("id", pair[0]), pair[0], "left_semi")).dropDuplicates(pair)
+        if n:
+            fresh = fresh.join(spark.read.parquet(f"{out}/pairs").where(F.col("batch") < n).select(*pair), pair, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/pairs/batch={n}")
 
     return run_batches(changes, handle, checkpoint)
 
@@ -67,9 +75,66 @@ def rolling_metrics(events: DataFrame, ts: str, keys, width: str = "1 day", slid
     return frame.groupBy(win, *keys).agg(*aggs)
 
 
-def first_within(events: DataFrame, keys, ts: str, ttl: str) -> DataFrame:
-    """STR-5: later rows of a key inside the time-to-live reuse the first result."""
-    return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
+def upsert_changes(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Groups of an aggregated stream that changed in a micro-batch, one folder each; :func:`latest` reads the table."""
+    def handle(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return changes.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str, keys) -> DataFrame:
+    """Rows of the last batch that wrote each key."""
+    last = F.max("batch").over(Window.partitionBy(*keys))
+    return spark.read.parquet(out).withColumn("_last", last).where("batch = _last").drop("batch", "_last")
+
+
+def starts(events: DataFrame, keys, ts: str, seconds: int) -> DataFrame:
+    """Rows (keys, ts) that compute a result: the first of a key, then each first one ``seconds`` or more after the last result.
+
+    Rows of a key are sorted in their partition and read once; a task holds one batch and one time. Equal rows collapse
+    before the shuffle; null times are left out.
+    """
+    width = seconds * 1_000_000
+    rows = events.where(F.col(ts).isNotNull()).select(*keys, ts).distinct()
+    schema = rows.schema
+    marked = rows.withColumns({"_key": F.to_json(F.struct(*keys)), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for pdf in batches:
+            k, t, keep = pdf["_key"].to_numpy(), pdf["_us"].to_numpy(), []
+            edges = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else []
+            for s, e in zip(edges, [*edges[1:], len(k)], strict=True):
+                i = s + np.searchsorted(t[s:e], last + width) if k[s] == key else s
+                key = k[s]
+                while i < e:
+                    keep.append(i)
+                    last = t[i]
+                    i = s + np.searchsorted(t[s:e], last + width)
+            yield pdf.iloc[keep].drop(columns=["_key", "_us"])
+
+    return marked.repartition("_key").sortWithinPartitions("_key", "_us").mapInPandas(step, schema)
+
+
+def first_within(events: DataFrame, keys, ts: str, seconds: int, out: str, checkpoint: str) -> StreamingQuery:
+    """STR-5: a result is reused for ``seconds``; later rows of its key then compute the next one.
+
+    The times of each batch are kept in ``out``/events and the keys of the batch settled again over all of theirs, so late
+    rows and the cut into files do not change the outcome. ``latest(spark, out + "/results", keys)`` reads it.
+    """
+    keys = list(keys)
+
+    def handle(batch: DataFrame, n: int) -> None:
+        batch.select(*keys, ts).distinct().write.mode("overwrite").parquet(f"{out}/events/batch={n}")
+        seen = batch.sparkSession.read.parquet(f"{out}/events").where(F.col("batch") <= n)
+        now = seen.where(F.col("batch") == n).select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        starts(seen.drop("batch").join(now, same, "left_semi"), keys, ts, seconds).write.mode("overwrite").parquet(f"{out}/results/batch={n}")
+
+    return run_batches(events, handle, checkpoint)
 
 
 def request_rate(events: DataFrame, key: str, ts: str, limit: int = 30, seconds: int = 60) -> DataFrame:

@@ -2,13 +2,14 @@
 
 import itertools
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from leadlake.functions.rules import PAIR_WEIGHTS
-from leadlake.functions.similarity import indel_ratio, lcs_length
+from leadlake.functions.similarity import block_ratio, indel_ratio, lcs_length
 from leadlake.operators import resolve as ER
 from leadlake.sources.bindings import Tables
 from leadlake.functions.record import with_company
@@ -124,3 +125,21 @@ def test_top_pairs_equal_brute_force(spark, tile_rows):
     want = sorted(((-s[i, j], i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.7))[:20]
     got = [(-r.score, r.id1, r.id2) for r in ER.top_similar_pairs(df, 20, 0.7, tile_rows).collect()]
     assert [(i, j) for _, i, j in got] == [(i, j) for _, i, j in want]
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.8])
+def test_groups_of_each_tenant_equal_its_own_scan(spark, threshold):
+    rows = make_rows(4)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("owner", F.col("id") % 3)
+    got = {r.duplicate_lead_id: r.primary_lead_id for r in ER.duplicate_groups(df, threshold, "owner").collect()}
+    want = {}
+    for o in range(3):
+        want |= brute_groups([r for r in rows if r["id"] % 3 == o], threshold)
+    assert want and got == want
+
+
+def test_block_ratio_is_the_matching_block_ratio():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc.") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        assert block_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()

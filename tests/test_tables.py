@@ -58,6 +58,47 @@ def test_request_rate_matches_brute_force(spark):
     assert got == want
 
 
+def files(df, path, parts):
+    """``df`` in ``parts`` files of mixed times."""
+    for k in range(parts):
+        df.where(F.pmod(F.hash("event_id"), F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_reuse_and_windows_do_not_depend_on_files(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = sorted((r.user_id, r.event_type, r.ts) for r in events.select("user_id", "event_type", "ts").collect())
+    want, last = [], {}
+    for u, e, ts in rows:
+        if (u, e) not in last or (ts - last[u, e]).total_seconds() >= 7 * 86400:
+            want.append((u, e, ts))
+            last[u, e] = ts
+    assert len(want) < len(rows)
+    for parts in (1, 6):
+        p = str(tmp_path / str(parts))
+        files(events, f"{p}/in", parts)
+        stream = ST.read_table(spark, f"{p}/in", events.schema, 2)
+        ST.first_within(stream, ["user_id", "event_type"], "ts", 7 * 86400, f"{p}/out", f"{p}/cp").awaitTermination()
+        got = ST.latest(spark, f"{p}/out/results", ["user_id", "event_type"]).select("user_id", "event_type", "ts").collect()
+        assert sorted(map(tuple, got)) == want
+        n = F.count("*").alias("n")
+        ST.upsert_changes(ST.rolling_metrics(ST.read_table(spark, f"{p}/in", events.schema), "ts", ["event_type"], "24 hours", "12 hours", n), f"{p}/win", f"{p}/cp2").awaitTermination()
+        slid = ST.latest(spark, f"{p}/win", ["window", "event_type"]).select("window.start", "event_type", "n")
+        batch = ST.rolling_metrics(events, "ts", ["event_type"], "24 hours", "12 hours", n).select("window.start", "event_type", "n")
+        assert sorted(map(tuple, slid.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_new_leads_meet_those_of_earlier_batches(spark, tmp_path):
+    schema = "id long, owner_id long, first_name string, last_name string, email string, phone string, linkedin_url string, title string, company struct<name:string>"
+    row = lambda i, o=1, mail="ann.lee@acme.com": (i, o, "Ann", "Lee", mail, "555-987-1234", "https://linkedin.com/in/ann-lee", "CEO", ("Acme",))
+    p = str(tmp_path)
+    stored = spark.createDataFrame([row(1, mail="joe@nova.ai"), row(2, 2)], schema)
+    for ids in ([row(3)], [row(4)], [row(5), row(6, 2)]):
+        spark.createDataFrame(ids, schema).coalesce(1).write.mode("append").parquet(f"{p}/in")
+    ST.duplicates_of_new(ST.read_table(spark, f"{p}/in", stored.schema, 1), stored, f"{p}/out", AS_OF, f"{p}/cp", tenant="owner_id").awaitTermination()
+    pairs = spark.read.parquet(f"{p}/out/pairs").select("primary_lead_id", "duplicate_lead_id").collect()
+    assert sorted(map(tuple, pairs)) == [(2, 6), (3, 4), (3, 5)]
+
+
 def test_validate_rows(spark):
     df = spark.createDataFrame([(1, 50.0), (2, 150.0), (3, None)], "id long, score double")
     got = {r.id: r.valid for r in T.validate_rows(df, {"score": F.col("score").between(0, 100)}).collect()}
