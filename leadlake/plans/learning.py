@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import training as TR
-from ..functions.quality import ensemble
+from ..functions.quality import DIM_WEIGHTS, ensemble, six_dimensions
 from ..functions.record import prepare
 from ..operators import aggregates as A
 from ..operators import ml as ML
@@ -161,7 +161,10 @@ def agg_52(t):
 
 # ---- training ---------------------------------------------------------------------------------------------------
 
-SMALL = {"numTrees": 20, "maxDepth": 6}
+# The fixed defaults of forests and logistic regression. Boosting runs few rounds here: its rounds are many small jobs each.
+FOREST = ML.DEFAULTS["priority"].params
+FEW_ROUNDS, QUALITY_FOREST = {"maxIter": 5, "maxDepth": 4}, {"numTrees": 50, "maxDepth": 8}
+LOGISTIC = {"maxIter": 1000}
 
 
 def training_table(t):
@@ -175,7 +178,7 @@ def tidy(m):
 
 
 def run(t, algorithm="random_forest", params=None, purpose="priority", balanced=False, data=None):
-    cfg = ML.TrainingConfig(purpose, algorithm, params=params or SMALL, balanced=balanced)
+    cfg = ML.TrainingConfig(purpose, algorithm, params=params or FOREST, balanced=balanced)
     return ML.train(data or training_table(t), TR.CLASSIFIER_COLUMNS, cfg)
 
 
@@ -199,7 +202,7 @@ def ml_2(t):
 def ml_3(t):
     data = training_table(t)
     out = None
-    for algorithm, params in [("random_forest", SMALL), ("gradient_boosting", {"maxIter": 5, "maxDepth": 3}), ("logistic_regression", {"maxIter": 20}), ("svm", {"maxIter": 10})]:
+    for algorithm, params in [("random_forest", FOREST), ("gradient_boosting", FEW_ROUNDS), ("logistic_regression", LOGISTIC), ("svm", {"maxIter": 10})]:
         m = tidy(run(t, algorithm, params, data=data)[1])
         out = m if out is None else out.unionByName(m)
     return out
@@ -222,23 +225,21 @@ def ml_5(t):
 def ml_6(t):
     r = TR.training_features(nested(t), AS_OF).join(TR.label_rules(nested(t), AS_OF).select("id", "priority", F.col("label_score").cast("double").alias("label_score")), "id")
     r = cut_lineage(r.select("id", "priority", "label_score", *TR.PRIORITY_SET, *[c for c in TR.QUALITY_SET if c not in TR.PRIORITY_SET]))
-    a = ML.train(r, TR.PRIORITY_SET, ML.TrainingConfig("priority", "random_forest", label="priority", params=SMALL))[1]
-    q = ML.train(r, TR.QUALITY_SET, ML.TrainingConfig("quality", "gradient_boosting", "regression", "label_score", {"maxIter": 5, "maxDepth": 4}))[1]
+    a = ML.train(r, TR.PRIORITY_SET, ML.TrainingConfig("priority", "random_forest", label="priority", params=FOREST))[1]
+    q = ML.train(r, TR.QUALITY_SET, ML.TrainingConfig("quality", "gradient_boosting", "regression", "label_score", FEW_ROUNDS))[1]
     return a.select("purpose", "algorithm", "n_test", F.round("accuracy", 6).alias("metric")).unionByName(q.select("purpose", "algorithm", "n_test", F.round("r2_score", 6).alias("metric")))
 
 
 def quality_table(t):
-    from ..functions.quality import six_dimensions
-
     f = TR.quality_features(nested(t), AS_OF).select("id", *TR.QUALITY_COLUMNS)
-    return cut_lineage(f.join(six_dimensions(nested(t), AS_OF).select("id", "overall_score", "completeness", "accuracy"), "id"))
+    return cut_lineage(f.join(six_dimensions(nested(t), AS_OF).select("id", "overall_score", *DIM_WEIGHTS), "id"))
 
 
 @query("ml_7")
 def ml_7(t):
     d = quality_table(t)
     out = None
-    for label, algorithm, params in [("overall_score", "gradient_boosting", {"maxIter": 5, "maxDepth": 4}), ("completeness", "random_forest", SMALL), ("accuracy", "random_forest", SMALL)]:
+    for label, algorithm, params in [("overall_score", "gradient_boosting", FEW_ROUNDS), *((d, "random_forest", QUALITY_FOREST) for d in DIM_WEIGHTS)]:
         m = ML.train(d, TR.QUALITY_COLUMNS, ML.TrainingConfig(label, algorithm, "regression", label, params))[1]
         out = m if out is None else out.unionByName(m)
     return out.select("purpose", "algorithm", "n_test", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2_score")])
@@ -247,7 +248,7 @@ def ml_7(t):
 @query("dq_25")
 def dq_25(t):
     d = quality_table(t)
-    models = {n: ML.train(d, TR.QUALITY_COLUMNS, ML.TrainingConfig("quality", n, "regression", "overall_score", p))[0] for n, p in (("gradient_boosting", {"maxIter": 5, "maxDepth": 4}), ("random_forest", SMALL))}
+    models = {n: ML.train(d, TR.QUALITY_COLUMNS, ML.TrainingConfig("quality", n, "regression", "overall_score", p))[0] for n, p in (("gradient_boosting", FEW_ROUNDS), ("random_forest", QUALITY_FOREST))}
     out = d.select("id", F.col("overall_score").alias("rule_based"), *TR.QUALITY_COLUMNS)
     for n, m in models.items():
         out = m.transform(out).withColumnRenamed("prediction", n).select("id", "rule_based", *[c for c in ("gradient_boosting", "random_forest") if c == n or c in out.columns], *TR.QUALITY_COLUMNS)
@@ -261,7 +262,7 @@ def dq_25(t):
 @query("ml_8")
 def ml_8(t):
     data = training_table(t)
-    models = [run(t, a, p, data=data)[0] for a, p in (("random_forest", SMALL), ("logistic_regression", {"maxIter": 20}))]
+    models = [run(t, a, p, data=data)[0] for a, p in (("random_forest", FOREST), ("logistic_regression", LOGISTIC))]
     return ML.soft_vote(models, data).select("id", "predicted_class", F.round("confidence", 6).alias("confidence"))
 
 
@@ -290,7 +291,7 @@ def ml_11(t):
 @query("ml_12", BASE, None)
 def ml_12(t):
     data = quality_table(t)
-    model = ML.train(data, TR.QUALITY_COLUMNS, ML.TrainingConfig("quality", "random_forest", "regression", "overall_score", SMALL))[0]
+    model = ML.train(data, TR.QUALITY_COLUMNS, ML.TrainingConfig("quality", "random_forest", "regression", "overall_score", QUALITY_FOREST))[0]
     # Rows without an e-mail get no model value and so fall back to the rule.
     scored = model.transform(data).select("id", F.when(F.col("has_email") == 1, F.col("prediction")).alias("model_quality"))
     rows = nested(t).join(scored, "id", "left")
@@ -301,7 +302,7 @@ def ml_12(t):
 def ml_13(t):
     data = training_table(t)
     out = None
-    for a, p in (("random_forest", SMALL), ("logistic_regression", {"maxIter": 20})):
+    for a, p in (("random_forest", FOREST), ("logistic_regression", LOGISTIC)):
         m = run(t, a, p, data=data)[0]
         e = ML.evaluate(m, data, ML.TrainingConfig("priority", a))
         out = e if out is None else out.unionByName(e)
@@ -344,7 +345,7 @@ def ml_16(t):
     d = data.join(enough, "owner_id", "left_semi").withColumn("owner", F.col("owner_id").cast("string"))
     if d.isEmpty():
         return t.spark.createDataFrame([], "purpose string, algorithm string, n_test bigint, accuracy double, precision double, recall double, f1_score double")
-    m = ML.train(d, TR.CLASSIFIER_COLUMNS + ["owner"], ML.TrainingConfig("priority", params=SMALL))[1]
+    m = ML.train(d, TR.CLASSIFIER_COLUMNS + ["owner"], ML.TrainingConfig("priority", params=FOREST))[1]
     return tidy(m)
 
 
@@ -383,6 +384,6 @@ def ml_21(t):
     fb = t.feedback().join(p, "prediction_id").select(F.col("id").alias("fid"), "lead_id", X.outcome_score(F.col("actual_outcome"), F.col("rating")).alias("score"))
     f = X.with_features(nested(t), AS_OF).select(F.col("id").alias("lead_id"), *[F.col(c).cast("double").alias(c) for c in X.VECTOR])
     d = cut_lineage(fb.join(f, "lead_id").withColumnRenamed("fid", "id").withColumn("label", F.when(F.col("score") > 70, "yes").otherwise("no")))
-    a = ML.train(d, X.VECTOR, ML.TrainingConfig("priority", "random_forest", params=SMALL, balanced=True))[1]
-    q = ML.train(d, X.VECTOR, ML.TrainingConfig("quality", "gradient_boosting", "regression", "score", {"maxIter": 5, "maxDepth": 4}))[1]
+    a = ML.train(d, X.VECTOR, ML.TrainingConfig("priority", "random_forest", params=FOREST, balanced=True))[1]
+    q = ML.train(d, X.VECTOR, ML.TrainingConfig("quality", "gradient_boosting", "regression", "score", FEW_ROUNDS))[1]
     return a.select("purpose", "algorithm", "n_test", F.round("accuracy", 6).alias("metric")).unionByName(q.select("purpose", "algorithm", "n_test", F.round("mae", 6).alias("metric")))
