@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..session import cut_lineage
-from .base import components
+from .base import components, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -62,18 +63,22 @@ def postings(classes: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim = {p.shape[1]: p for p in shared.value}
         for batch in batches:
-            near = []
-            for v in batch.column("v"):
-                x = np.array(v.as_py(), dtype=np.float64)
-                p = by_dim.get(len(x))
+            v = batch.column("v")
+            dims = v.value_lengths().to_numpy()
+            near = [[-1, -1]] * len(dims)
+            for dim in np.unique(dims):
+                p = by_dim.get(int(dim))
                 if p is None or len(p) < SHARED:
-                    near.append([-1, -1])
-                else:
-                    s = p @ x
-                    near.append(np.sort(np.lexsort((np.arange(len(s)), -s))[:NEAREST]).tolist())
+                    continue
+                at = np.flatnonzero(dims == dim)
+                x = v.take(pa.array(at)).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+                closest = np.sort(np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :NEAREST], axis=1)
+                for i, places in zip(at, closest.tolist(), strict=True):
+                    near[i] = places
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], schema=batch.schema.append(pa.field("near", pa.list_(pa.int32()))))
 
-    described = classes.mapInArrow(describe, "node long, label string, copies long, v array<double>, near array<int>")
+    # As a table: the lists are counted and then read, and both must see the same nearest pivots.
+    described, _ = written(classes.mapInArrow(describe, StructType([*classes.schema, StructField("near", ArrayType(IntegerType()))])))
     n = F.size("near")
     # near is sorted; a list's key is a pair of places in it.
     places = [F.when(n > j, F.struct(F.element_at("near", i + 1).alias("first"), F.element_at("near", j + 1).alias("second"))) for i, j in combinations(range(NEAREST), SHARED)]
@@ -155,7 +160,7 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
                 part = t.filter(pa.compute.equal(t.column("dim"), dim)).combine_chunks()
                 flat = lambda name: part.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
                 g = {k: part.column(k).to_numpy() for k in ("first", "second", "left", "right", "own", "node", "copies")}
-                g["v"] = flat("v").reshape(-1, dim)
+                g["v"] = flat("v").reshape(-1, dim).astype(np.float64)
                 near = part.column("near").to_pylist()
                 g["near"] = np.array([r + [-1] * (NEAREST - len(r)) for r in near], dtype=np.int32)
                 g["bounds"] = _bounds(part)
@@ -202,7 +207,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     two vectors share fewer pivots. Lists are compared in blocks, links are summed per block, never emitted as pairs.
     """
     ok = usable(vector, label, vec_id)
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(ok, F.col(vector).cast("array<double>")).alias("v"), F.when(ok, F.col(label).cast("string")).alias("label"))
+    # Single-precision vectors travel as they are, in half the bytes, and are widened where they are compared.
+    single = vectors.select(vector).dtypes[0][1] == "array<float>"
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(ok, F.col(vector) if single else F.col(vector).cast("array<double>")).alias("v"), F.when(ok, F.col(label).cast("string")).alias("label"))
     classes = cut_lineage(rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("copies")).select("node", "label", "copies", "v"))
     pivots = choose_pivots(classes, classes.count())
     found = cut_lineage(verified(blocked(postings(classes, pivots)), threshold))
