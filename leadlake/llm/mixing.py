@@ -67,16 +67,64 @@ def uniform(doc_id: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def plan(docs: DataFrame, power: float | dict[str, float] = TEMPER, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tokens: Column | None = None, topics: Column | None = None) -> DataFrame:
+def level(rows: DataFrame, most: Column, want: Column, goal: float) -> float:
+    """The factor c at which the sum of least(most, c * want) over ``rows`` is ``goal``; enough to reach every ``most`` if it is more.
+
+    Newton's steps on a concave function from below: what is full stays full, the rest is raised to what is missing. Each step
+    is one aggregate, and there are at most as many as rows, mostly a few.
+    """
+    rows = cut_lineage(rows.select(most.cast("double").alias("most"), want.cast("double").alias("want")).where("most > 0 AND want > 0"))
+    all_, total, top = rows.agg(F.sum("want"), F.sum("most"), F.max(F.col("most") / F.col("want"))).first()
+    if not all_:
+        return 1.0
+    if goal >= total:
+        return float(top)
+    c = goal / all_
+    while True:
+        full = F.lit(c) * F.col("want") >= F.col("most")
+        fixed, free = rows.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("want")))).first()
+        if not free or (goal - fixed) / free <= c * (1 + 1e-12):
+            return c
+        c = (goal - fixed) / free
+
+
+def kept_share(cells: DataFrame, goals: dict[str, DataFrame], rounds: int, keep: float) -> DataFrame:
+    """``cells`` (the margins' columns, tokens) with factor and probability = least(1, factor), of which the expected tokens
+    are ``keep`` of all.
+
+    Raking as in :func:`rake`, but of the tokens that stay: a cell at probability 1 is full and the rest of its category is
+    raised instead. A category that cannot reach its target stays whole, and what it lacks goes to the others in proportion.
+    """
+    goal = keep * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now = cells.withColumn("factor", F.lit(float(keep)))
+    for m, want in goals.items():
+        have = cut_lineage(cells.groupBy(m).agg(F.sum("tokens").alias("most")).join(want.select(F.col("value").alias(m), F.col("target").alias("want")), m))
+        c = level(have, F.col("most"), F.col("want"), goal)
+        now = now.join(have.select(m, F.least("most", F.col("want") * F.lit(c)).alias(f"goal_{m}")), m, "left")
+    now = cut_lineage(now)
+    for _ in range(rounds):
+        for m in goals:
+            mass = F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor"))).over(Window.partitionBy(m))
+            now = now.withColumn("factor", F.col("factor") * F.when((mass > 0) & F.col(f"goal_{m}").isNotNull(), F.col(f"goal_{m}") / mass).otherwise(F.lit(1.0)))
+        now = cut_lineage(now)
+    c = level(now, F.col("tokens"), F.col("tokens") * F.col("factor"), goal)
+    return now.select(*goals, "tokens", (F.col("factor") * F.lit(c)).alias("factor")).withColumn("probability", F.least(F.lit(1.0), F.col("factor")))
+
+
+def plan(docs: DataFrame, power: float | dict[str, float] = TEMPER, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, tokens: Column | None = None, topics: Column | None = None, keep: float | None = None) -> DataFrame:
     """One row for each cell (source, lang, topic): tokens, factor, probability.
 
-    The probability is proportional to the factor, and 1 where the factor is largest: so every cell is sampled at exactly its
-    raked rate and the expected tokens of every margin stand in the target proportions.
+    Without ``keep`` the probability is proportional to the factor, and 1 where the factor is largest: so every cell is sampled
+    at exactly its raked rate and the expected tokens of every margin stand in the target proportions, but one rare cell sets
+    the rate of all. With ``keep`` the expected tokens are that share of all tokens (see :func:`kept_share`).
     """
     cells = cut_lineage(docs.select(named("source").alias("source"), named("lang").alias("lang"), (topic() if topics is None else topics).alias("topic"), (n_words() if tokens is None else tokens).alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     goals = {m: (targets or {}).get(m) for m in MARGINS}
     powers = power if isinstance(power, dict) else dict.fromkeys(MARGINS, power)
-    raked = rake(cells, {m: tempered(cells, m, powers[m]) if g is None else g for m, g in goals.items()}, rounds)
+    goals = {m: tempered(cells, m, powers[m]) if g is None else g for m, g in goals.items()}
+    if keep is not None:
+        return written(kept_share(cells, goals, rounds, keep))[0]
+    raked = rake(cells, goals, rounds)
     top = raked.where("tokens > 0").agg(F.max("factor")).first()[0]
     # As a table its size is known, so the planner itself broadcasts it below its threshold and no text is shuffled.
     return written(raked.withColumn("probability", F.least(F.lit(1.0), F.col("factor") / F.lit(float(top or 1.0)))))[0]
