@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, licenses, mixing, pivots, rules, shards, simhash, tokens, urls
+from . import bpe, classifier, licenses, mixing, pivots, rules, shards, simhash, spelling, tokens, urls
 from .base import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -75,11 +75,20 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Misspellings: where 97 divides the checksum of document and run, one code point is left out.
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    h, size = F.crc32(F.concat("doc", F.lit(":"), "run")), F.length("run")
+    gap = (h % size).cast("int")
+    word = F.when(h % 97 == 0, F.concat(F.substring("run", F.lit(1), gap), F.substring("run", gap + 2, size))).otherwise(F.col("run"))
+    return spelling.grouped(spelling.counted(runs, word))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe_codec, op3_license_scan, op4_mixing, op5_sharding, op6_quality_classifier, op7_url_filter, op8_simhash,
-        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup,
+        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup, op11_spelling,
     )
 }
 
@@ -148,12 +157,29 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\
 """
 _LEDGER_SQL += "led AS (SELECT *, (" + " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END" for i, (_, fails) in enumerate(rules.RULES)) + ")::BIGINT AS failed FROM m)"
 
+# crc32 over the bytes of a text, by a table of its 256 one-byte remainders; 3988292384 is the reversed polynomial.
+_SPELLING_SQL = r"""
+WITH RECURSIVE rem AS MATERIALIZED (SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS r FROM range(256) AS u(i))),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+d AS MATERIALIZED (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM (SELECT doc_id, run, count(*) AS c FROM o WHERE length(run) >= 5 GROUP BY ALL)),
+h AS MATERIALIZED (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM d, rem),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM w, unnest(range(length(word))) AS u(i)),
+e AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.rest = w.word UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.rest = w.word),
+b AS MATERIALIZED (SELECT word, count(*) AS n_near, min({'m': -near_n, 'w': near}) AS best FROM e GROUP BY word),
+k AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS last, 0 AS step FROM k UNION ALL SELECT r.word, k.form, step + 1 FROM r JOIN k ON k.word = r.last WHERE k.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM k JOIN (SELECT word, max_by(last, step) AS root FROM r GROUP BY word) USING (word)"""
+
 CHECKS: dict[str, str] = {
     "op3_license_scan": _license_sql(),
     "op4_mixing": _mixing_sql(),
     "op7_url_filter": _URL_SQL,
     "op9_quality_rules": f"WITH {_LEDGER_SQL.strip()} SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed = 0 AS kept FROM led",
     "op9_rule_ablations": f"WITH {_LEDGER_SQL.strip()} " + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (WHERE failed & {1 << i} <> 0) AS n_failed, count(*) FILTER (WHERE failed = {1 << i}) AS n_only FROM led" for i, (name, _) in enumerate(rules.RULES)),
+    "op11_spelling": _SPELLING_SQL,
     "op10_embedding_near_dedup": """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 k AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
