@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, licenses, mixing, pivots, rules, shards, simhash, spelling, tokens, urls
+from . import bpe, classifier, licenses, mixing, pivots, rules, shards, simhash, spelling, tokens, urls, whitening
 from .base import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -84,11 +84,15 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(spelling.counted(runs, word))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), 4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe_codec, op3_license_scan, op4_mixing, op5_sharding, op6_quality_classifier, op7_url_filter, op8_simhash,
-        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup, op11_spelling,
+        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup, op11_spelling, op12_whitening,
     )
 }
 
