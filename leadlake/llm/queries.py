@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, licenses, mixing, pivots, rules, shards, simhash, spelling, tokens, urls, whitening
+from . import bpe, classifier, licenses, mixing, pii, pivots, rules, shards, simhash, spelling, tokens, urls, whitening
 from .base import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -88,11 +88,21 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"), 4)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the base spans, n_added counts what the field adds to them."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    of = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long") for k in pii.KINDS}
+    rows = found.withColumns({**of, "base_sha256": F.sha2(joined(base), 256), "n_added": (F.size("spans") - F.size(base)).cast("long")})
+    return rows.select("doc_id", *of, "base_sha256", joined(F.col("spans")).alias("spans"), "n_added")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe_codec, op3_license_scan, op4_mixing, op5_sharding, op6_quality_classifier, op7_url_filter, op8_simhash,
-        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup, op11_spelling, op12_whitening,
+        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup, op11_spelling, op12_whitening, op13_pii,
     )
 }
 
