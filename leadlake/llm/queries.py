@@ -93,7 +93,8 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    of = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long") for k in pii.KINDS}
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    of = {f"n_{k}": count(k) for k in pii.KINDS}
     rows = found.withColumns({**of, "base_sha256": F.sha2(joined(base), 256), "n_added": (F.size("spans") - F.size(base)).cast("long")})
     return rows.select("doc_id", *of, "base_sha256", joined(F.col("spans")).alias("spans"), "n_added")
 
