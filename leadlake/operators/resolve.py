@@ -4,12 +4,13 @@ Duplicate groups follow the sequential scan: in id order, a lead not yet claimed
 later unclaimed lead whose pair score reaches the threshold. Here:
 
 * leads with the same compared fields collapse to one profile, so a mass of copies is one row;
-* without the e-mail term a pair scores at most .60, and with a merely similar e-mail and different phones at most
-  .846, so for thresholds from .85 the blocks (e-mail, phone), (e-mail, name) and (phone, gram of the e-mail) lose
-  nothing; lower thresholds use wider blocks, down to a floor below which the call is refused;
-* first rounds elect the lowest undecided profile of all its blocks and compare it with the members of those blocks:
-  one comparison per member, never all pairs of a block, which claims masses of near copies. What is left is sparse; its
-  candidate pairs are filtered by length and edit distance, scored, and settled by rounds over the edges.
+* without the e-mail term a pair scores at most .60, so e-mails must be equal or of a rounded ratio above .9; without equal
+  phones at most .85 is left, so between .75 and .85 the names must be near as well. Similar values are found once for each
+  pair of distinct ones, by an exact partition index for edit distance, and only inside such a scope (phone, name or pair of
+  near names); below .75 the scope is the tenant, down to a floor below which the call is refused;
+* where blocks are dense, first rounds elect the lowest undecided profile of all its blocks and compare it with the members of
+  those blocks: one comparison per member, never all pairs of a block, which claims masses of near copies. What is left is
+  sparse; its candidate pairs are filtered by length and edit distance, scored, and settled by rounds over the edges.
 
 Every step is checkpointed and the loops run to their fix points.
 """
@@ -17,6 +18,7 @@ Every step is checkpointed and the loops run to their fix points.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,72 +112,164 @@ def self_score() -> Column:
     return total
 
 
-def blocks(p: DataFrame, threshold: float) -> DataFrame:
-    """(key, id) memberships; keys of a single member are dropped."""
-    wide = threshold < 0.85
-    if threshold < FLOOR:
-        raise ValueError(f"thresholds below {FLOOR} have no lossless e-mail block")
-    has = F.col("email") != ""
-    # A rounded ratio of 100 means equality below 200 characters in total; longer names share one key.
-    long_name = F.when(F.length("name") >= 99, F.lit("*")).otherwise(F.col("name"))
-    by_phone = p.where(has & (F.col("phone") != "")).select("id", F.concat_ws("\u0001", F.lit("ep"), "tenant", "email", "phone").alias("key"))
-    by_name = p.where(has).select("id", F.concat_ws("\u0001", F.lit("e"), "tenant", "email", *([] if wide else [long_name])).alias("key"))
-    scope = p.where(has).withColumn("scope", F.col("tenant") if wide else F.concat_ws("\u0001", "tenant", "phone"))
-    if not wide:
-        shared = scope.where("phone <> ''").groupBy("scope").agg(F.count_distinct("email").alias("n")).where("n > 1").select("scope")
-        scope = scope.join(shared, "scope", "left_semi")
-    all_keys = by_phone.unionByName(by_name).unionByName(_gram_keys(scope))
-    sizes = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # The address rides along, so that pairs out of edit reach are dropped inside the join.
-    return all_keys.join(sizes, "key", "left_semi").join(p.select("id", "email"), "id")
-
-
-def _near(a: str, b: str) -> Column:
-    """Unit-cost distance within the edit reach of a rounded ratio above 90; equal addresses pass."""
-    la, lb = F.length(a), F.length(b)
-    reach = F.floor((la + lb) * 0.095)
-    return (F.abs(la - lb) <= reach) & ((F.col(a) == F.col(b)) | (F.levenshtein(a, b) <= reach))
+#: Rounded ratios: a sum of insertions and deletions above this share of both lengths rules an e-mail pair out.
+EMAIL_CUT = 0.095
+#: Up to so many distinct values of a scope are compared with each other - about as many comparisons as a value has probes -
+#: more of them go through the partition index.
+SMALL_SCOPE = 256
+#: Longer values share a key per length band instead of being cut.
+LONGEST_CUT = 64
+
+
+def _start(i: Column, l: Column, pieces: Column) -> Column:
+    """Where segment ``i`` of ``pieces`` even ones of a text of length ``l`` starts; the last ones are one longer."""
+    return i * F.floor(l / pieces) + F.greatest(F.lit(0), i - (pieces - l % pieces))
+
+
+def _size(i: Column, l: Column, pieces: Column) -> Column:
+    return F.floor(l / pieces) + (i >= pieces - l % pieces).cast("int")
+
+
+def _key(*parts: Column) -> Column:
+    return F.concat_ws("\u0001", *[c.cast("string") for c in parts])
+
+
+def _probe_starts(p: Column, size: Column, l: Column, edits: Column, longer: Column) -> Column:
+    """Where a segment that started at ``p`` can start in a text of length ``l``, ``longer`` than the one it is from."""
+    low = F.greatest(F.lit(0).cast("long"), p - F.floor((edits - longer) / 2))
+    high = F.least((l - size).cast("long"), p + F.floor((edits + longer) / 2))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
+
 
+def _segments(rows: DataFrame, edits: Column, name: list[Column], text: str) -> DataFrame:
+    """(key, scope, value): each ``text`` cut into e + 1 segments for each e of the array ``edits``, if it is long enough."""
+    l, e, i = F.length(text), F.col("e"), F.col("i")
+    cuts = rows.withColumn("e", F.explode(F.filter(edits, lambda x: (x >= 0) & (x < l)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), e)))
+    return cuts.select(_key(*name, l, e, i, F.substring(text, (_start(i, l, e + 1) + 1).cast("int"), _size(i, l, e + 1).cast("int"))).alias("key"), "scope", "value")
 
-def _gram_keys(p: DataFrame) -> DataFrame:
-    """Keys for similar, unequal e-mails within one ``scope``.
 
-    A rounded ratio above 90 leaves at most ``reach`` = floor(.21 * shorter length) edits. If the domains agree, all of
-    them fall into the local part, and of reach + 1 disjoint grams of the shorter local part one survives as a substring
-    of the other; if they differ, the local parts differ by one edit less. Locals too short to cut, and addresses over
-    64 characters, share a key per scope and length band instead.
+def _probes(rows: DataFrame, name: list[Column], text: str) -> DataFrame:
+    """(key, scope, value): where the segments of partners could be in each ``text``; ``rows`` has a row for each number of edits
+    ``e`` and each length ``longer`` by which the text may be longer than its partner's.
     """
-    local, domain = F.split_part("email", F.lit("@"), F.lit(1)), F.regexp_replace("email", "^[^@]*", "")
-    rows = p.select("id", "scope", local.alias("local"), domain.alias("domain"), F.length("email").alias("n")).withColumns(
-        {"l": F.length("local"), "r": F.floor(F.col("n") * 0.21).cast("int")})
-    keys = []
-    for tag, cut, scope in (("d", 1, ["scope", "domain"]), ("x", 0, ["scope"])):
-        pieces = F.greatest(F.lit(1), F.col("r") + cut)
-        size = F.floor(F.col("l") / pieces).cast("int")
-        cols = [F.lit(tag), *[F.col(c) for c in scope]]
-        own = rows.withColumns({"g": size, "m": pieces}).where("g >= 1 AND n <= 64").select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("i"))
-        keys.append(own.select("id", F.concat_ws("\u0001", *cols, F.expr("substring(local, i * g + 1, g)")).alias("key")))
-        # Gram sizes any admissible partner may use: its local part is at most r longer or shorter, its reach at most 3 off.
-        low = F.greatest(F.lit(1), F.floor((F.col("l") - F.col("r")) / (pieces + 3)).cast("int"))
-        high = F.greatest(low, F.floor((F.col("l") + F.col("r")) / F.greatest(F.lit(1), pieces - 3)).cast("int"))
-        sub = rows.where("n <= 80").withColumns({"lo": low, "hi": F.least(high, F.col("l"))}).where("hi >= lo").select("*", F.explode(F.expr("sequence(lo, hi)")).alias("g"))
-        sub = sub.select("*", F.explode(F.expr("sequence(1, l - g + 1)")).alias("at")).select("id", F.concat_ws("\u0001", *cols, F.expr("substring(local, at, g)")).alias("key"))
-        keys.append(sub.join(keys[-1].select("key").distinct(), "key", "left_semi"))
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
-    rough = rows.where("l <= 2 * r OR n > 50").select("id", "scope", F.explode(F.array(band, band + 1)).alias("b"))
-    keys.append(rough.select("id", F.concat_ws("\u0001", F.lit("l"), "scope", F.col("b").cast("string")).alias("key")))
+    l, e, i = F.length(text), F.col("e"), F.col("i")
+    met = rows.withColumn("of", l - F.col("longer")).where("e >= 0 AND e < of AND abs(longer) <= e").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), e)))
+    met = met.withColumns({"p": _start(i, F.col("of"), e + 1), "g": _size(i, F.col("of"), e + 1)})
+    met = met.withColumn("at", F.explode(_probe_starts(F.col("p"), F.col("g"), l, e, F.col("longer"))))
+    return met.select(_key(*name, F.col("of"), e, i, F.substring(text, (F.col("at") + 1).cast("int"), F.col("g").cast("int"))).alias("key"), "scope", "value")
+
+
+def partition_keys(values: DataFrame, cut: float, split: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, scope, value) of segments and of probes, so that two values of a scope within floor(cut * both lengths) insertions
+    and deletions meet: one by a segment, the other by a probe.
+
+    A value with e edits to spare is cut into e + 1 segments, one of which survives as a substring, moved by no more than the
+    edits; segments carry length, edits and number in their key and probes look only where they can be.
+
+    With ``split`` values are addresses, whose domains would make the same segments of all. Of two with one @ each the signs
+    are taken to correspond: with the same domain the local parts take all edits (d), with two domains one edit less (x), and
+    only local parts are cut. Addresses with no @ or more are cut whole, and all probe for them (o).
+    """
+    f = 2 * cut / (1 - cut)
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    rows = values.select("scope", "value", F.length("value").alias("n"))
+    head, tail = (F.split_part("value", F.lit("@"), F.lit(1)), F.regexp_replace("value", "^[^@]*", "")) if split else (F.col("value"), F.lit(""))
+    # The shorter of two near values bounds the other's length.
+    rows = rows.withColumns({"head": head, "tail": tail, "r": F.floor(n * f), "one": F.lit(True) if not split else F.length(F.translate("value", "@", "")) == n - 1})
+    short, r = rows.where(n <= LONGEST_CUT), F.col("r")
+    plain = short.where("one")
+    more = F.sequence(zero, r)
+    edits = lambda deltas, sign, spared: F.array_distinct(F.transform(deltas, lambda d: F.floor((2 * n + sign * d) * cut) - spared))
+    name = [F.lit("d"), F.col("scope"), F.col("tail")]
+    own = [_segments(plain, edits(more, 1, 0), name, "head")]
+    probes = [_probes(plain.withColumn("longer", F.explode(more)).withColumn("e", F.floor((2 * n - F.col("longer")) * cut)), name, "head")]
+    rough = n > LONGEST_CUT / (1 + f) - 1
+    if split:
+        name = [F.lit("x"), F.col("scope")]
+        own.append(_segments(plain, edits(more, 1, 1), name, "head"))
+        spared = plain.withColumn("e", F.explode(edits(more, -1, 1))).where("e >= 0")
+        probes.append(_probes(spared.withColumn("longer", F.explode(F.sequence(-F.col("e"), F.col("e")))), name, "head"))
+        odd, either, name = short.where("NOT one"), F.sequence(-r, r), [F.lit("o"), F.col("scope")]
+        own.append(_segments(odd, edits(either, 1, 0), name, "value"))
+        met = short.join(odd.select("scope").distinct(), "scope", "left_semi").withColumn("longer", F.explode(either))
+        probes.append(_probes(met.withColumn("e", F.floor((2 * n - F.col("longer")) * cut)), name, "value"))
+        rough = rough | (F.length("head") <= 2 * r)
+    # What cannot be cut: long values, and local parts no longer than the edits, with all that such a value could be near.
+    band = F.floor(F.log(n) / F.log(F.lit(1.04 + f)))
+    rest = rows.where(rough).select(F.explode(F.array(_key(F.lit("b"), F.col("scope"), band), _key(F.lit("b"), F.col("scope"), band + 1))).alias("key"), "scope", "value")
+    return tuple(reduce(DataFrame.unionByName, [*parts, rest]).distinct() for parts in (own, probes))
+
+
+def near_values(values: DataFrame, cut: float, split: bool) -> DataFrame:
+    """(scope, a, b), a < b: the pairs of ``values`` (scope, value), each given once, whose edit distance is at most
+    floor(cut * both lengths). A scope of up to SMALL_SCOPE values is compared throughout, a larger one by :func:`partition_keys`.
+    """
+    sizes = values.groupBy("scope").agg(F.count("*").alias("of")).where("of > 1")
+    sized = cut_lineage(values.join(sizes, "scope"))
+    few, many = sized.where(F.col("of") <= SMALL_SCOPE), sized.where(F.col("of") > SMALL_SCOPE)
+    reach = F.floor((F.length("a") + F.length("b")) * cut)
+    near = (F.abs(F.length("a") - F.length("b")) <= reach) & (F.levenshtein("a", "b") <= reach)
+    pairs = few.select("scope", F.col("value").alias("a")).join(few.select("scope", F.col("value").alias("b")), "scope").where((F.col("a") < F.col("b")) & near)
+    if many.isEmpty():
+        return pairs
+    own, probes = partition_keys(many.select("scope", "value"), cut, split)
+    met = own.select("key", "scope", F.col("value").alias("x")).join(probes.select("key", F.col("value").alias("y")), "key").where("x <> y")
+    met = met.select("scope", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(near).distinct()
+    return pairs.unionByName(met)
+
+
+def _scopes(p: DataFrame, threshold: float) -> DataFrame:
+    """(id, email, scope): within which leads their e-mails can be equal or similar for the pair to reach ``threshold``.
+
+    Without equal phones at most .85 - threshold may be lost on the rest. If that is less than .1, the names are given and of a
+    rounded ratio of 1 - loss / .25 or more: such pairs share a name or a pair of near names. If it is more, the tenant is all
+    they share; if there is none, they share their phone (or, see :func:`blocks`, e-mail and name).
+    """
+    keys = [p.where("phone <> ''").select("id", "email", _key(F.lit("p"), F.col("tenant"), F.col("phone")).alias("scope"))]
+    loss = 1 - PAIR_WEIGHTS["phone"] - threshold
+    if loss > 1e-9 and loss < 0.1:
+        named = p.where("name <> ''")
+        keys.append(named.select("id", "email", _key(F.lit("n"), F.col("tenant"), F.col("name")).alias("scope")))
+        # A ratio rounds up by at most half a percent.
+        near = near_values(named.select(F.col("tenant").alias("scope"), F.col("name").alias("value")).distinct(), loss / PAIR_WEIGHTS["name"] + 0.005 + 1e-9, False)
+        near = cut_lineage(near.select(F.col("scope").alias("tenant"), _key(F.lit("m"), F.col("scope"), F.col("a"), F.col("b")).alias("scope"), F.explode(F.array("a", "b")).alias("name")))
+        keys.append(named.join(near, ["tenant", "name"]).select("id", "email", "scope"))
+    elif loss > 1e-9:
+        keys.append(p.select("id", "email", _key(F.lit("t"), F.col("tenant")).alias("scope")))
     out = keys[0]
     for k in keys[1:]:
         out = out.unionByName(k)
-    return out.distinct()
+    return out
+
+
+def blocks(p: DataFrame, threshold: float) -> DataFrame:
+    """(key, id) memberships; keys of a single member are dropped. Any two that reach ``threshold`` share a key, and all that
+    share a key have equal or similar e-mails, found once for each pair of distinct addresses of a scope.
+    """
+    if threshold < FLOOR:
+        raise ValueError(f"thresholds below {FLOOR} have no lossless e-mail block")
+    given = p.where("email <> ''")
+    scoped = _scopes(given, threshold)
+    # Scopes of one lead pair nobody.
+    shared = cut_lineage(scoped.join(scoped.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1").select("scope"), "scope", "left_semi"))
+    equal = shared.select("id", _key(F.lit("e"), F.col("scope"), F.col("email")).alias("key"))
+    if threshold >= 1 - PAIR_WEIGHTS["phone"] - 1e-9:
+        # A rounded ratio of 100 means equality below 200 characters in total; longer names share one key.
+        long_name = F.when(F.length("name") >= 99, F.lit("*")).otherwise(F.col("name"))
+        equal = equal.unionByName(given.select("id", _key(F.lit("a"), F.col("tenant"), F.col("email"), long_name).alias("key")))
+    near = near_values(shared.select("scope", F.col("email").alias("value")).distinct(), EMAIL_CUT, True)
+    near = near.select("scope", _key(F.lit("s"), F.col("scope"), F.col("a"), F.col("b")).alias("key"), F.explode(F.array("a", "b")).alias("email"))
+    sizes = equal.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return equal.join(sizes, "key", "left_semi").unionByName(shared.join(near, ["scope", "email"]).select("id", "key")).select("key", "id")
 
 
 def _as(p: DataFrame, name: str, key: str) -> DataFrame:
     return p.select(F.col("id").alias(key), F.struct("id", *FIELDS).alias(name))
 
 
-# Rounds of one-leader-per-block comparison before the remaining pairs are listed.
+# Rounds of one-leader-per-block comparison before the remaining pairs are listed, where blocks hold more pairs than SPARSE a member.
 STAR_ROUNDS = 2
+SPARSE = 16
 
 
 def _scored(live: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -208,7 +302,8 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | No
     members = cut_lineage(blocks(live, threshold))
     undecided = cut_lineage(members.select("id").distinct())
     claims = None
-    for _ in range(STAR_ROUNDS):
+    size = members.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.expr("CAST(n AS DOUBLE) * (n - 1) / 2")).alias("pairs")).first()
+    for _ in range(STAR_ROUNDS if size.n and size.pairs > SPARSE * size.n else 0):
         if undecided.isEmpty():
             break
         open_members = members.join(undecided, "id", "left_semi")
@@ -216,21 +311,23 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | No
         leaders = open_members.join(lowest, "key").groupBy("id").agg(F.min((F.col("low") == F.col("id")).cast("int")).alias("ok")).where("ok = 1").select(F.col("id").alias("leader"))
         leaders = cut_lineage(leaders)
         # At most one leader per block and round: joining on the key yields one comparison per member.
-        reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"), F.col("email").alias("le"))
-        pairs = members.join(reach, "key").where(F.expr("id > leader") & _near("email", "le")).select("leader", "id").distinct()
+        reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"))
+        pairs = members.join(reach, "key").where("id > leader").select("leader", "id").distinct()
         won = cut_lineage(_scored(live, pairs, threshold))
         claims = won if claims is None else claims.unionByName(won)
         undecided = cut_lineage(undecided.join(leaders, F.col("id") == F.col("leader"), "left_anti").join(won.select("id"), "id", "left_anti"))
     if not undecided.isEmpty():
         # The rest is sparse: masses of near copies were claimed above. A pair matters only if its lower side can still
         # lead and its upper side is free or held by a later leader.
-        held = claims.groupBy("id").agg(F.min("leader").alias("held"))
-        lower = members.join(undecided, "id", "left_semi").select("key", F.col("id").alias("leader"), F.col("email").alias("le"))
-        upper = members.join(held, "id", "left")
-        pairs = upper.join(lower, "key").where(F.expr("id > leader AND (held IS NULL OR leader < held)") & _near("email", "le")).select("leader", "id").distinct()
+        lower = members.join(undecided, "id", "left_semi").select("key", F.col("id").alias("leader"))
+        upper = members
+        if claims is not None:
+            upper = members.join(claims.groupBy("id").agg(F.min("leader").alias("held")), "id", "left")
+        pairs = upper.join(lower, "key").where("id > leader" + ("" if claims is None else " AND (held IS NULL OR leader < held)")).select("leader", "id").distinct()
         edges = cut_lineage(_scored(live, pairs, threshold))
         led = _lowest_independent(edges, undecided)
-        claims = claims.unionByName(edges.join(led, "leader", "left_semi"))
+        settled = edges.join(led, "leader", "left_semi")
+        claims = settled if claims is None else claims.unionByName(settled)
     cls = live.select("tenant", *FIELDS, F.col("id").alias("class_id"))
     expanded = rows.join(cls, ["tenant", *FIELDS]).select(F.col("id").alias("duplicate_lead_id"), "class_id")
     own = live.where("copies > 1").select(F.col("id").alias("class_id"), self_score().alias("score"), *FIELDS)

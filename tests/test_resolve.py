@@ -143,3 +143,77 @@ def test_block_ratio_is_the_matching_block_ratio():
     for _ in range(400):
         a, b = ("".join(rng.choice("abc.") for _ in range(rng.randint(0, 14))) for _ in range(2))
         assert block_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+@pytest.mark.parametrize("split,cut", [(True, ER.EMAIL_CUT), (False, 0.205)])
+def test_partition_index_finds_every_near_pair(spark, split, cut, monkeypatch):
+    rng = random.Random(11)
+    def value():
+        head = "".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 6, 9, 12, 20, 40, 70])))
+        return head + rng.choice(["@ab.co", "@ab.com", "@example.org", "@x", ""]) if split else head
+    values = {(s, v) for s in ("p", "q") for v in (value() for _ in range(150))}
+    for s, v in list(values):
+        w = list(v)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w) + 1)
+            w[k:k + rng.randrange(2)] = rng.choice(["", "a", "z"])
+        if w:
+            values.add((s, "".join(w)))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    def reach(a, b):
+        return int((len(a) + len(b)) * cut)
+
+    df = spark.createDataFrame(sorted(values), "scope string, value string")
+    monkeypatch.setattr(ER, "SMALL_SCOPE", 1)
+    got = [tuple(r) for r in ER.near_values(df, cut, split).collect()]
+    pairs = [(s, a, b) for s, a in values for t, b in values if s == t and a < b]
+    # Insertions and deletions are what counts; the index may find pairs within as many edits of any kind as well.
+    def corresponds(a, b):
+        """Of two addresses with one @ each the signs are taken to correspond."""
+        (h, t), (i, u) = ((x.split("@")[0], x[len(x.split("@")[0]):]) for x in (a, b))
+        return not split or a.count("@") != 1 or b.count("@") != 1 or t == u or edits(h, i) < reach(a, b)
+
+    must = {(s, a, b) for s, a, b in pairs if len(a) + len(b) - 2 * lcs_length(a, b) <= reach(a, b) and corresponds(a, b)}
+    may = {(s, a, b) for s, a, b in pairs if abs(len(a) - len(b)) <= reach(a, b) and edits(a, b) <= reach(a, b)}
+    assert len(got) == len(set(got)) and must <= set(got) <= may and len(must) > 100
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.8])
+def test_two_thousand_leads_with_one_phone(spark, threshold):
+    """One placeholder phone, so that one scope holds all e-mails and goes through the partition index."""
+    rng = random.Random(12)
+    firsts, lasts = ["Anna", "Jon", "Maria", "Wei", "Olga", "Hanna", "Jonas", "Mario"], ["Smith", "Smyth", "Doe", "Garcia", "Chen", "Novak", "Novack", "Do"]
+    rows = []
+    for i in range(2000):
+        f, l = rng.choice(firsts), rng.choice(lasts)
+        local = "".join(c if rng.random() > 0.03 else rng.choice("aeiou1") for c in f"{f}.{l}{rng.randrange(400):03}".lower())
+        rows.append({"id": i, "first_name": f, "last_name": l, "email": f"{local}@{rng.choice(['acme-widgets.com', 'acme-widgets.org', 'novalabs.ai'])}", "phone": "1111111111",
+                     "linkedin_url": rng.choice(["", f"https://linkedin.com/in/{f}-{l}".lower()]), "title": rng.choice(["CEO", "CTO", "Sales Manager", ""]), "company": {"name": rng.choice(["Acme", "Acme Corp", "Nova"])}})
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.duplicate_lead_id: r.primary_lead_id for r in ER.duplicate_groups(df, threshold).collect()}
+    # Without similar e-mails no pair reaches .61, so brute force asks for those first.
+    near = {}
+    for e1, e2 in itertools.combinations(sorted({r["email"] for r in rows}), 2):
+        if (len(e1) + len(e2)) * 0.095 >= abs(len(e1) - len(e2)) and indel_ratio(e1, e2) > 90:
+            near.setdefault(e1, set()).add(e2)
+            near.setdefault(e2, set()).add(e1)
+    by_email = {}
+    for r in rows:
+        by_email.setdefault(r["email"], []).append(r)
+    want = {}
+    for a in rows:
+        if a["id"] in want:
+            continue
+        for e in {a["email"], *near.get(a["email"], ())}:
+            for b in by_email[e]:
+                if b["id"] > a["id"] and b["id"] not in want and brute_score(a, b) >= threshold:
+                    want[b["id"]] = a["id"]
+    assert len(want) > 300 and got == want
