@@ -28,7 +28,7 @@ NONE = 1 << 60
 def merge(symbol: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
     """The symbols of a word after all merges, lowest rank first and leftmost among equals.
 
-    Leaf i of the tree holds rank << 24 | i of the pair that starts at i, or NONE, so the root is the next merge. A merge
+    Leaf i of the tree holds rank << 32 | i of the pair that starts at i, or NONE, so the root is the next merge. A merge
     changes three leaves, each in as many steps as the tree is high.
     """
     n = len(symbol)
@@ -40,7 +40,7 @@ def merge(symbol: list[int], ranks: dict[int, int], made: list[int]) -> list[int
     for i in range(n - 1):
         r = get(symbol[i] << 20 | symbol[i + 1])
         if r is not None:
-            tree[width + i] = r << 24 | i
+            tree[width + i] = r << 32 | i
     for k in range(width - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
@@ -58,8 +58,8 @@ def merge(symbol: list[int], ranks: dict[int, int], made: list[int]) -> list[int
             tree[k] = value = low
 
     while (top := tree[1]) != NONE:
-        i = top & 0xFFFFFF
-        symbol[i] = merged = made[top >> 24]
+        i = top & 0xFFFFFFFF
+        symbol[i] = merged = made[top >> 32]
         j = after[i]
         k = after[i] = after[j]
         if j < n - 1:
@@ -68,11 +68,11 @@ def merge(symbol: list[int], ranks: dict[int, int], made: list[int]) -> list[int
         if k < n:
             before[k] = i
             r = get(merged << 20 | symbol[k])
-        put(i, NONE if r is None else r << 24 | i)
+        put(i, NONE if r is None else r << 32 | i)
         p = before[i]
         if p >= 0:
             r = get(symbol[p] << 20 | merged)
-            put(p, NONE if r is None else r << 24 | p)
+            put(p, NONE if r is None else r << 32 | p)
     out, i = [], 0
     while i < n:
         out.append(symbol[i])

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -23,8 +23,8 @@ TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 #: Stand-ins for words outside the vocabulary: by shape, for the first time in a text and again.
 SHAPES = ["low", "title", "upper", "mixed", "digit", "mark"]
 DIM, NONZERO, REACH, HIDDEN = 48, 4, 2, 16
-#: Bounds of what is fitted on: labelled rows and characters of a row; and of the vocabulary.
-SAMPLE, SAMPLE_CHARS, WORDS = 4000, 100_000, 20_000
+#: Bounds of what is fitted on: labelled rows and the characters of all of them; and of the vocabulary.
+SAMPLE, SAMPLE_CHARS, WORDS = 4000, 32_000_000, 20_000
 
 
 def shape(token: str) -> int:
@@ -142,19 +142,24 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list:
     """About ``sample`` labelled rows (text, quality) outside the held-out part, or all if there are fewer.
 
-    Ids are chosen from the labels alone, by their hash, at the rate that gives ``sample`` of them; only the texts of chosen
-    ids are read out, one of each. Ids with two different labels and labels other than 0 and 1 are left out, and so are
-    texts over SAMPLE_CHARS characters: both bounds keep the fit small whatever the tables hold.
+    Ids are chosen from the labels alone, by their hash, at the rate that gives ``sample`` of them, whatever their texts; only
+    the texts of chosen ids are read out, one of each. Ids with two different labels and labels other than 0 and 1 are left
+    out. Texts are taken in the order of the hash up to ``chars`` characters in all, which bounds the fit on the driver; a
+    text that does not fit in what is left ends the sample, and one over ``chars`` by itself is passed over.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy(F.col("doc_id").alias("_key")).agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most")
     share = min(1.0, sample / max(1, known.count()))
     chosen = cut_lineage(known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("_key", "y"))
     # Some ``sample`` rows of an id and a label, so their size is bounded.
-    rows = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("x")).where(F.length("x") <= SAMPLE_CHARS).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
-    return rows.groupBy("_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy(F.xxhash64("_id")).collect()
+    rows = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("x")).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
+    rows = cut_lineage(rows.groupBy("_id").agg(F.min("x").alias("x"), F.min("y").alias("y")))
+    # One length for each chosen id goes through the window.
+    total = F.sum("n").over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    taken = rows.select("_id", F.length("x").cast("long").alias("n")).where(F.col("n") <= chars).withColumn("total", total).where(F.col("total") <= chars).select("_id")
+    return rows.join(F.broadcast(taken), "_id").orderBy(F.xxhash64("_id"), "_id").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:

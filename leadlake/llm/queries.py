@@ -67,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-def op9_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
 
 
@@ -103,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe_codec, op3_license_scan, op4_mixing, op5_sharding, op6_quality_classifier, op7_url_filter, op8_simhash,
-        op9_quality_rules, op9_rule_ablations, op10_embedding_near_dedup, op11_spelling, op12_whitening, op13_pii,
+        op9_quality_rules, rule_ablations, op10_embedding_near_dedup, op11_spelling, op12_whitening, op13_pii,
     )
 }
 
@@ -193,7 +193,7 @@ CHECKS: dict[str, str] = {
     "op4_mixing": _mixing_sql(),
     "op7_url_filter": _URL_SQL,
     "op9_quality_rules": f"WITH {_LEDGER_SQL.strip()} SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed = 0 AS kept FROM led",
-    "op9_rule_ablations": f"WITH {_LEDGER_SQL.strip()} " + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (WHERE failed & {1 << i} <> 0) AS n_failed, count(*) FILTER (WHERE failed = {1 << i}) AS n_only FROM led" for i, (name, _) in enumerate(rules.RULES)),
+    "rule_ablations": f"WITH {_LEDGER_SQL.strip()} " + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER (WHERE failed & {1 << i} <> 0) AS n_failed, count(*) FILTER (WHERE failed = {1 << i}) AS n_only FROM led" for i, (name, _) in enumerate(rules.RULES)),
     "op11_spelling": _SPELLING_SQL,
     "op10_embedding_near_dedup": """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),

@@ -1,93 +1,211 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles (built-in functions only)."""
+"""Near-duplicates by the Jaccard similarity of five-word shingles.
+
+Sets of a similarity of 4/5 or more differ in at most a ninth of their joint size. Cut into more parts than that by hash, two
+such sets agree in a whole part, so every pair meets under the signature of a part, without any cap. Parts of about four
+shingles agree by chance or through a shared passage far more seldom than single shingles do.
+"""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import components, free_name, whole_text, written
+from .base import components, drop, free_name, whole_text, written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 5
 #: Similarity from which two texts are near copies: 4 / 5.
 PART, WHOLE = 4, 5
-#: A text is found by at most so many of its smallest shingle hashes; with so many on both sides, at least AGREE agree.
-SKETCH, AGREE = 24, 6
-#: Up to so many texts that meet under a hash are compared pair by pair, more of them with two of theirs.
-CROWD = 64
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Crowds whose open pairs are more than this many a member are first compared with one member at a time.
+SPARSE = 256
+#: Rounds of that before all open pairs are compared.
+ROUNDS = 4
+U = np.uint64
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits to 64 bits, one to one, each bit of the result depending on all."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
-def hashes(text: Column) -> Column:
+def hashes(text: str) -> np.ndarray:
     """The sorted distinct hashes of the word shingles of ``text``; with fewer words the whole sequence is one shingle."""
-    words = F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+"), "")
-    many = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH))))
-    return let(words, lambda w: F.when(F.size(w) >= WIDTH, F.sort_array(F.array_distinct(many(w)))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>")))
+    # Of bytes, lower() changes A-Z only and split() cuts at space, tab, and the four line and page marks: 0x20, 0x09-0x0D.
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=U, count=len(words))
+    width = min(WIDTH, len(w))
+    if not width:
+        return w
+    n = len(w) - width + 1
+    out = np.full(n, width, dtype=U)
+    for k in range(width):
+        out = mixed(out * U(0x9E3779B97F4A7C15) + w[k : k + n])
+    return np.unique(out)
+
 
+def identity(h: np.ndarray) -> int:
+    """One signed long for a set of shingles; texts with the same set are copies."""
+    total = mixed(h ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(h))
+    return int(mixed(np.array([total], dtype=U)).view(np.int64)[0])
 
-def identity(h: Column) -> Column:
-    """One long for a set of shingles; texts with the same set are copies."""
-    return F.xxhash64(h)
 
+def _identities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([identity(hashes(t)) for t in texts], dtype="int64")
 
-def sketch(text: Column) -> Column:
-    """(sid, n, low) of a text: its set's identity and size, and the smallest hashes by which it is found.
 
-    Sets of a similarity of 4/5 share one of their n - ceil(4n/5) + 1 smallest hashes, whatever the hashes are. Longer lists
-    are cut to SKETCH: two such texts are missed only if the SKETCH smallest hashes of both hold none in common, 0.2 ** 24.
+def meetings(n: int) -> list[tuple[int, int, int]]:
+    """(class, parts, most parts that can differ) under which sets of size ``n`` meet others: their own size class and the one below.
+
+    A class ends where the next size is over a quarter more than its first, so of two sets with a similarity of 4/5 the larger
+    one is in the smaller one's class or the next. They differ in at most a quarter of the smaller one's size.
+    """
+    number, low = 0, 1
+    sizes = [low]
+    while n > low * WHOLE // PART:
+        number, low = number + 1, low * WHOLE // PART + 1
+        sizes.append(low)
+    out = []
+    for c in (number, number - 1):
+        if c >= 0:
+            differ = sizes[c] * WHOLE // PART // 4
+            # Some parts are empty; with these more than ``differ`` are usually not.
+            out.append((c, differ + differ // 8 + 3, differ))
+    return out
+
+
+def signatures(h: np.ndarray, known: dict[int, list[tuple[int, int, int]]]) -> np.ndarray:
+    """The keys of a set: one for each part that is not empty, in each of its :func:`meetings`.
+
+    Empty parts agree with everybody's, so they have no key as long as more parts than can differ are not empty; a set with
+    fewer has keys for its empty parts too, and meets under them the sets that have as few.
     """
-    prefix = lambda h: F.size(h) - F.ceil(F.size(h) * F.lit(PART) / F.lit(WHOLE)).cast("int") + 1
-    return let(hashes(text), lambda h: F.struct(identity(h).alias("sid"), F.size(h).alias("n"), F.slice(h, 1, F.least(F.lit(SKETCH), prefix(h))).alias("low")))
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, of ``sets`` (sid, n, low) that share a hash and may reach the similarity by sizes and sketches."""
-    posts = sets.select("sid", F.explode("low").alias("h"))
-    crowds = posts.groupBy("h").agg(F.count("*").alias("c"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("c > 1")
-    met = cut_lineage(posts.join(crowds, "h"))
-    few = met.where(F.col("c") <= CROWD).groupBy("h").agg(F.collect_list("sid").alias("all"))
-    few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
-    lead = met.where(F.col("c") > CROWD).select("sid", F.explode(F.array("lo", "hi")).alias("o")).select(F.greatest("sid", "o").alias("a"), F.least("sid", "o").alias("b"))
-    pairs = few.unionByName(lead).where("a > b").distinct()
+    if len(h) not in known:
+        known[len(h)] = meetings(len(h))
+    out = []
+    for c, count, differ in known[len(h)]:
+        own, none = mixed(np.array([2 * c + 1, 2 * c + 2], dtype=U))
+        # h is sorted: the parts are stretches of it, by the upper half of the hash.
+        at = ((h >> U(32)) * U(count)) >> U(32)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        whole = np.add.reduceat(mixed(h ^ own), first)
+        out.append(mixed(whole ^ mixed(at[first] ^ own)))
+        if len(first) <= differ:
+            empty = np.setdiff1d(np.arange(count, dtype=U), at[first], assume_unique=True)
+            out.append(mixed(empty ^ none))
+    return np.concatenate(out)
+
+
+def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sid, n, keys, h) of each row: its set's identity (64 bits), size, keys and hashes."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple[int, int, int]]] = {}
+        for batch in batches:
+            texts = batch.column("text")
+            # Fewer rows at once where texts are long.
+            step = max(1, min(512, (1 << 24) * len(texts) // (texts.nbytes + 1)))
+            for s in range(0, len(texts), step):
+                sets = [hashes(t) for t in texts.slice(s, step).to_pylist()]
+                keys = [signatures(h, known) if len(h) else h for h in sets]
+                lists = lambda of: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, dtype=U)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, step), pa.array([identity(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), lists(keys), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "sid", "n", "keys", "h"])
+
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sid long, n int, keys array<long>, h binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sets have a Jaccard similarity of 4/5 or more, checked on the whole sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    own = sets.join(wanted, "sid", "left_semi").select("sid", "n", "h").dropDuplicates(["sid"])
+    sizes = own.select("sid", "n")
     for k in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}")), k)
-    long = (F.size("low_a") == SKETCH) & (F.size("low_b") == SKETCH)
-    alike = F.size(F.array_intersect("low_a", "low_b")) >= F.when(long, AGREE).otherwise(1)
-    return pairs.where((F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * PART) & alike).select("a", "b")
+        pairs = pairs.join(sizes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}")), k)
+    pairs = pairs.where(F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * PART)
+    for k in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared * WHOLE >= (len(both) - shared) * PART)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "h_a", "h_b").mapInArrow(check, "a long, b long")
 
 
-def edges(docs: DataFrame, prints: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Pairs (a, b) of sids whose sets have a Jaccard similarity of 4/5 or more, checked on the whole sets."""
-    sets = cut_lineage(prints.groupBy("sid").agg(F.min("n").alias("n"), F.max("low").alias("low"), F.min("doc_id").alias("first")))
-    pairs = cut_lineage(candidates(sets))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets, "sid").select("sid", "first")
-    # The texts of one document for each set; a repeated doc_id is told apart by its set.
-    rows = docs.select(F.col(doc_id).alias("first_"), whole_text(text).alias("text")).join(wanted, F.col("first_").eqNullSafe(F.col("first"))).select("sid", hashes(F.col("text")).alias("h"))
-    whole = written(rows.where(identity(F.col("h")) == F.col("sid")).dropDuplicates(["sid"]))[0]
-    both = pairs.join(whole.select(F.col("sid").alias("b"), F.col("h").alias("h_b")), "b").join(whole.select(F.col("sid").alias("a"), F.col("h").alias("h_a")), "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("h_a", "h_b")).alias("i"), (F.size("h_a") + F.size("h_b")).alias("n"))
-    return shared.where(F.col("i") * WHOLE >= (F.col("n") - F.col("i")) * PART).select("a", "b")
+def linked(table: DataFrame) -> DataFrame:
+    """(node, root) of every sid of ``table`` (sid, n, keys, h) that is linked to another; root is the smallest it can reach.
+
+    Sets that meet under a key are compared with the smallest of them. A key whose members are then not all in one component
+    is open, and only members of different components still need comparing: a few rounds with one more member each where that
+    leaves many pairs, then all of them. So no link between components goes unseen, and a crowd of near copies costs one
+    comparison a member.
+    """
+    spark = table.sparkSession
+    posts = table.select("sid", F.explode("keys").alias("key"))
+    crowds = posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    crowds, crowds_at = written(crowds)
+    members, members_at = written(posts.join(crowds.where("c > 2").select("key", "lo"), "key").select("key", "sid", "lo").distinct())
+    pairs = crowds.where("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(members.where("sid > lo").select(F.col("sid").alias("a"), F.col("lo").alias("b"))).distinct()
+    edges, path = written(verified(pairs, table))
+    paths = [crowds_at, members_at, path]
+    roots = cut_lineage(components(edges))
+    for k in range(ROUNDS + 1):
+        now = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+        ends = now.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("c"), F.max(F.struct("root", "sid")).alias("lead")).where("first < last")
+        open_, path = written(now.join(ends, "key").select("key", "sid", "root", "c", "lead"))
+        paths.append(path)
+        size = open_.agg(F.count("*").alias("n"), F.sum(F.col("c").cast("double")).alias("pairs")).first()
+        if not size.n:
+            break
+        if k < ROUNDS and size.pairs > SPARSE * size.n:
+            met = open_.where("root < lead.root").select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
+        else:
+            other = open_.select("key", F.col("sid").alias("y"), F.col("root").alias("of"))
+            met = open_.select("key", F.col("sid").alias("x"), "root").join(other, "key").where("root < of").select("x", "y")
+        more, path = written(verified(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), table))
+        paths.append(path)
+        edges = edges.unionByName(more)
+        roots = cut_lineage(components(edges))
+        if k == ROUNDS or size.pairs <= SPARSE * size.n:
+            break
+    for path in paths:
+        drop(spark, path)
+    return roots
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row each; all columns as they were.
 
-    Words are lower-cased (A-Z); texts link at a Jaccard similarity of 0.8 or more of their sets of five-word shingles, and
-    texts without words are copies of each other. Copies collapse to their set before any pairing. Over CROWD texts that meet
-    under one hash are compared with two of them and not with each other, so in such a crowd a pair may go unseen; every link
-    is checked on the whole sets. A component without any doc_id keeps one of its rows, and of repeated rows one stays.
+    Words are lower-cased (A-Z); texts link at a Jaccard similarity of 0.8 or more of their sets of five-word shingles, null,
+    empty and blank texts are copies of each other. Very long texts are read whole. Equal sets are told by 64 bits, links are
+    checked on the whole sets. A component without any doc_id keeps one of its rows, and of repeated rows one stays; an empty
+    table gives no rows.
     """
-    s = sketch(whole_text(text))
-    prints = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), s.alias("s")).select("doc_id", "s.*"))
-    roots = components(edges(docs, prints, doc_id, text))
-    tied = cut_lineage(prints.select("doc_id", "sid").join(roots, prints["sid"] == roots["node"], "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root")))
+    table, path = written(prints(docs, doc_id, text))
+    roots = linked(table.select("sid", "n", "keys", "h"))
+    tied = cut_lineage(table.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root")))
+    drop(docs.sparkSession, path)
     first = tied.groupBy("root").agg(F.min("doc_id").alias("first"))
     repeated = tied.groupBy("doc_id").agg(F.count("*").alias("rows"))
     stay = tied.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "sid", "root").distinct()
@@ -100,5 +218,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     many = stay.where(F.col(names["rows"]) > 1)
     if many.isEmpty():
         return once
-    more = docs.join(many, same).where(identity(hashes(whole_text(text))) == F.col(names["sid"])).dropDuplicates([names["root"]]).select(*columns)
+    # Several rows have this id: the set tells which of them it was.
+    sid = F.pandas_udf(_identities, "long")(whole_text(text))
+    more = docs.join(many, same).where(sid == F.col(names["sid"])).dropDuplicates([names["root"]]).select(*columns)
     return reduce(DataFrame.unionByName, [once, more])

@@ -4,6 +4,8 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leadlake.llm import shingles
@@ -53,6 +55,43 @@ def test_large_crowd_of_near_copies(spark):
     assert sorted(r.doc_id for r in shingles.one_of_each(df).collect()) == brute_kept(df.collect())
 
 
+@pytest.mark.parametrize("size", [100, 300, 1000])
+def test_crowds_in_which_no_text_links_to_all(spark, size):
+    """Texts of 13 of 16 shared paragraphs, among them no leader to whom all link."""
+    rng = random.Random(size)
+    paragraphs = [[f"p{k}_{rng.random()}" for _ in range(25)] for k in range(16)]
+    rows = [(k, " ".join(w for p in sorted(rng.sample(range(16), 13)) for w in paragraphs[p])) for k in range(size)]
+    # The same passage in texts that are otherwise their own.
+    rows += [(5000 + k, " ".join([*paragraphs[0], *paragraphs[1], *(f"y{k}_{i}" for i in range(300))])) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.one_of_each(df).collect()) == brute_kept(df.collect())
+
+
+def test_every_near_pair_shares_a_key():
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        n = int(rng.integers(1, 120))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = list(x)
+        for _ in range(int(rng.integers(0, 2 + len(x) // 4))):
+            if rng.random() < 0.5 and y:
+                y.pop(int(rng.integers(len(y))))
+            else:
+                y.append(np.uint64(rng.integers(0, 1 << 63)))
+        y = np.unique(np.array(y, dtype=np.uint64))
+        shared = len(np.intersect1d(x, y))
+        if len(y) and shared * 5 >= (len(x) + len(y) - shared) * 4:
+            assert len(np.intersect1d(shingles.signatures(x, {}), shingles.signatures(y, {}))), (len(x), len(y), shared)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(120_000)]
+    changed = [*words]
+    changed[::60] = ["x"] * len(changed[::60])
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:60_000]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.one_of_each(df).collect()) == brute_kept(df.collect()) == [1, 3]
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "x y z"), (1, "x y z"), (1, "other words here"), (2, "x  Y z"), (None, "p q r")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, sid int")
