@@ -364,12 +364,20 @@ def str_5(t):
     return ST.latest(t.spark, f"{path}/out/results", keys).select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-RATE = """SELECT user_id, s, n, (SELECT sum(n) FROM per q WHERE q.user_id = p.user_id AND q.s BETWEEN p.s - 59 AND p.s)::BIGINT AS trailing, (SELECT sum(n) FROM per q WHERE q.user_id = p.user_id AND q.s BETWEEN p.s - 59 AND p.s) > 30 AS limited FROM per p"""
+# Requests of a user one after the other; the list holds the times of the last accepted ones.
+RATE = """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts IS NOT NULL),
+r AS (SELECT user_id, event_id, ts, rn, true AS accepted, true AS accepted_long, [ts] AS a, [ts] AS b FROM o WHERE rn = 1
+UNION ALL SELECT o.user_id, o.event_id, o.ts, o.rn, x, y, CASE WHEN x THEN list_append(a, o.ts) ELSE a END, CASE WHEN y THEN list_append(b, o.ts) ELSE b END FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1,
+LATERAL (SELECT len(list_filter(a, lambda z: o.ts - z < INTERVAL 60 SECOND)) < 30 AS x, len(list_filter(b, lambda z: o.ts - z < INTERVAL 864000 SECOND)) < 3 AS y))
+SELECT user_id, event_id, ts, accepted, accepted_long FROM r"""
 
 
-@query("str_6", [], RATE, {"per": "SELECT user_id, floor(epoch(ts))::BIGINT AS s, count(*) AS n FROM events GROUP BY ALL"})
+@query("str_6", [], RATE)
 def str_6(t):
-    return ST.request_rate(t.raw("events"), "user_id", "ts")
+    """Thirty requests a minute, and three in ten days, which the test events do exceed."""
+    events = t.raw("events")
+    slow = ST.admitted(events, "user_id", "ts", "event_id", 3, 864_000).select("event_id", F.col("accepted").alias("accepted_long"))
+    return ST.admitted(events, "user_id", "ts", "event_id").join(slow, "event_id").select("user_id", "event_id", "ts", "accepted", "accepted_long")
 
 
 @query("str_7", ["runs"], """, r AS (SELECT purpose, run_id, accuracy, row_number() OVER w AS rn, lag(accuracy, 4) OVER w AS a4 FROM runs WINDOW w AS (PARTITION BY purpose ORDER BY run_id))

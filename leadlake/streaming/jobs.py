@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.quality import assess
 from ..functions.priority import with_priority
@@ -138,7 +139,7 @@ def first_within(events: DataFrame, keys, ts: str, seconds: int, out: str, check
 
 
 def request_rate(events: DataFrame, key: str, ts: str, limit: int = 30, seconds: int = 60) -> DataFrame:
-    """STR-6 on a table: requests of the trailing window per row, flagged above the limit.
+    """Requests made in the trailing window, accepted or not, per second of a key, flagged above the limit.
 
     Equal seconds collapse first. Each second then goes to its own window-long bucket and to the next one, so the ordered
     groups are (key, bucket) with at most twice ``seconds`` rows, however busy the key.
@@ -152,10 +153,77 @@ def request_rate(events: DataFrame, key: str, ts: str, limit: int = 30, seconds:
     return total.select(key, "s", "n", "trailing", (F.col("trailing") > limit).alias("limited"))
 
 
-def request_rate_stream(events: DataFrame, key: str, ts: str, limit: int = 30) -> DataFrame:
-    """STR-6 on a stream: sliding one-minute windows above the limit."""
-    w = events.withWatermark(ts, LATE).groupBy(F.window(ts, "60 seconds", "10 seconds"), key).agg(F.count("*").alias("n"))
-    return w.where(F.col("n") > limit)
+def admit(times: np.ndarray, last: list[int], limit: int, width: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the sorted ``times`` are accepted, and the last ``limit`` accepted ones: a request is refused while ``limit``
+    accepted ones are less than ``width`` old. Refused requests do not count. One step for each accepted request.
+    """
+    keep, last, i = np.zeros(len(times), dtype=bool), list(last), 0
+    while i < len(times):
+        if len(last) >= limit:
+            i = max(i, int(np.searchsorted(times, last[-limit] + width)))
+            if i == len(times):
+                break
+        keep[i] = True
+        last = [*last, int(times[i])][-limit:]
+        i += 1
+    return keep, last
+
+
+def admitted(events: DataFrame, key: str, ts: str, order: str, limit: int = 30, seconds: int = 60) -> DataFrame:
+    """STR-6 on a table: ``events`` (key, ts, order) with ``accepted``, at most ``limit`` accepted in any ``seconds`` of a key.
+
+    ``order`` settles equal times. Rows of a key are sorted in their partition and read once with the last accepted times as
+    all there is to remember; rows without a time are left out, a null key is a key.
+    """
+    width = seconds * 1_000_000
+    rows = events.where(F.col(ts).isNotNull()).select(key, ts, order)
+    marked = rows.withColumns({"_key": F.to_json(F.struct(key)), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, []
+        for pdf in batches:
+            k, t, keep = pdf["_key"].to_numpy(), pdf["_us"].to_numpy(), np.zeros(len(pdf), dtype=bool)
+            edges = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else []
+            for s, e in zip(edges, [*edges[1:], len(k)], strict=True):
+                if k[s] != now:
+                    now, last = k[s], []
+                keep[s:e], last = admit(t[s:e], last, limit, width)
+            yield pdf.drop(columns=["_key", "_us"]).assign(accepted=keep)
+
+    schema = StructType([*rows.schema, StructField("accepted", BooleanType())])
+    return marked.repartition("_key").sortWithinPartitions("_key", "_us", order).mapInPandas(step, schema)
+
+
+ADMIT_STATE = "ids array<bigint>, times array<bigint>, last array<bigint>"
+
+
+def admitted_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = 30, seconds: int = 60, late: str = LATE) -> DataFrame:
+    """STR-6 on a stream: the rows of :func:`admitted`, each once the watermark has passed its time.
+
+    State of a key is what still waits for the watermark, and the last accepted times; a timer at the first waiting time lets
+    them go without new rows. Rows later than ``late`` are dropped by the engine, so the cut into files does not matter.
+    """
+    width = seconds * 1_000_000
+    rows = events.select(F.col(key), F.col(ts), F.col(order).cast("long").alias(order)).withWatermark(ts, late)
+
+    def step(k, batches, state):
+        ids, times, last = (list(x) for x in state.get) if state.exists else ([], [], [])
+        for pdf in batches:
+            # Microseconds, as pandas may hold any unit.
+            times += pd.to_datetime(pdf[ts]).to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            ids += pdf[order].tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        by = np.lexsort((ids, times))
+        t, i = np.array(times, dtype=np.int64)[by], np.array(ids, dtype=np.int64)[by]
+        due = int(np.searchsorted(t, mark, side="right"))
+        keep, last = admit(t[:due], last, limit, width)
+        state.update((i[due:].tolist(), t[due:].tolist(), last))
+        if due < len(t):
+            state.setTimeoutTimestamp(max(int(t[due]) // 1000, mark // 1000) + 1)
+        yield pd.DataFrame({key: [k[0]] * due, ts: t[:due].astype("datetime64[us]"), order: i[:due], "accepted": keep})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, {order} bigint, accepted boolean", ADMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 HISTORY = 100

@@ -1,5 +1,8 @@
 """Rankings, statistics, sinks and streams; registered queries against their check SQL on the smallest tables."""
 
+import random
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +194,34 @@ def test_query_equals_check_sql(spark, sf_dir, key):
 def test_registry_is_complete():
     q, o = entry.queries(), entry.oracle_sql()
     assert len(q) >= 343 and set(o) <= set(q)
+
+
+def test_admission_counts_accepted_requests_only(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        key = rng.choice([1, 1, 1, 2, 3, None])
+        rows.append((i, key, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(6 * 86400) // 40 * 40)))
+    last = datetime(2024, 2, 1)
+    rows += [(1000 + k, k, last) for k in (1, 2, 3, 99)]
+    want = {}
+    for key in {r[1] for r in rows}:
+        taken = []
+        for i, _, t in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            taken = [x for x in taken if (t - x).total_seconds() < 7200]
+            want[i] = len(taken) < 3
+            taken += [t] if want[i] else []
+    assert {True, False} == set(want.values())
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(5)
+    assert {r.event_id: r.accepted for r in ST.admitted(df, "user_id", "ts", "event_id", 3, 7200).collect()} == want
+    # Whatever the cut into files, as long as no row is later than the watermark allows.
+    for files in (1, 6):
+        path = f"{tmp_path}/{files}"
+        ordered = df.withColumn("part", F.when(F.col("ts") == F.lit(last), files - 1).otherwise(F.pmod(F.hash("event_id"), F.lit(files))))
+        for k in range(files):
+            ordered.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = ST.read_table(spark, f"{path}/in", df.schema, 1)
+        out = ST.admitted_stream(stream, "user_id", "ts", "event_id", 3, 7200, "10 days")
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+        got = {r.event_id: r.accepted for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()}
+        assert got == {i: a for i, a in want.items() if i < 1000}
