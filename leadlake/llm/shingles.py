@@ -1,8 +1,9 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
-Sets of a similarity of 4/5 or more differ in at most a ninth of their joint size. Cut into more parts than that by hash, two
-such sets agree in a whole part, so every pair meets under the signature of a part, without any cap. Parts of about four
-shingles agree by chance or through a shared passage far more seldom than single shingles do.
+Sets of a similarity of 4/5 or more share one of their smallest hashes, a fifth of each set and one more: most pairs meet there.
+Under a hash that many sets have, mostly from a passage they share, its sets are not compared; they meet again by parts. Such
+two sets differ in at most a ninth of their joint size, so cut into more parts than that by hash they agree in a whole part.
+Parts of about four shingles agree by a shared passage far more seldom than single shingles do. No pair is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 5
 #: Similarity from which two texts are near copies: 4 / 5.
 PART, WHOLE = 4, 5
+#: A hash of more than this many rows brings its sets to the second meeting, by parts.
+CROWD = 64
 #: Crowds whose open pairs are more than this many a member are first compared with one member at a time.
 SPARSE = 256
 #: Rounds of that before all open pairs are compared.
@@ -109,42 +112,61 @@ def signatures(h: np.ndarray, known: dict[int, list[tuple[int, int, int]]]) -> n
     return np.concatenate(out)
 
 
+def _lists(of: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, dtype=U)]).view(np.int64)))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches and the sets of their texts, fewer rows at once where texts are long."""
+    for batch in batches:
+        step = max(1, min(512, (1 << 24) * batch.num_rows // (batch.column("text").nbytes + 1)))
+        for s in range(0, batch.num_rows, step):
+            part = batch.slice(s, step)
+            yield part, [hashes(t) for t in part.column("text").to_pylist()]
+
+
 def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sid, n, keys, h) of each row: its set's identity (64 bits), size, keys and hashes."""
+    """(doc_id, sid, low) of each row: its set's identity (64 bits) and the smallest hashes by which it is found."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _slices(batches):
+            low = [h[: len(h) - -(-len(h) * PART // WHOLE) + 1] for h in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([identity(h) for h in sets], pa.int64()), _lists(low)], names=["doc_id", "sid", "low"])
+
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sid long, low array<long>")
+
+
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """(sid, n, h, keys) of the rows of ``texts`` (sid, text, by_parts) whose text has that identity: the whole set as bytes, and
+    the keys of its parts if ``by_parts`` asks for them.
+    """
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[tuple[int, int, int]]] = {}
-        for batch in batches:
-            texts = batch.column("text")
-            # Fewer rows at once where texts are long.
-            step = max(1, min(512, (1 << 24) * len(texts) // (texts.nbytes + 1)))
-            for s in range(0, len(texts), step):
-                sets = [hashes(t) for t in texts.slice(s, step).to_pylist()]
-                keys = [signatures(h, known) if len(h) else h for h in sets]
-                lists = lambda of: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, dtype=U)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s, step), pa.array([identity(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), lists(keys), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "sid", "n", "keys", "h"])
+        for part, sets in _slices(batches):
+            own = pa.array([identity(h) for h in sets], pa.int64())
+            keys = [signatures(h, known) if len(h) and asked else h[:0] for h, asked in zip(sets, part.column("by_parts").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([own, pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary()), _lists(keys)], names=["sid", "n", "h", "keys"])
+            yield out.filter(pa.compute.equal(own, part.column("sid")))
 
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sid long, n int, keys array<long>, h binary")
+    return texts.select("sid", "text", "by_parts").mapInArrow(scan, "sid long, n int, h binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets have a Jaccard similarity of 4/5 or more, checked on the whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    own = sets.join(wanted, "sid", "left_semi").select("sid", "n", "h").dropDuplicates(["sid"])
-    sizes = own.select("sid", "n")
+    """The rows of ``pairs`` (a, b) whose ``sets`` (sid, n, h) have a Jaccard similarity of 4/5 or more, checked on the whole sets."""
+    sizes = sets.select("sid", "n")
     for k in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}")), k)
     pairs = pairs.where(F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * PART)
     for k in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
+        pairs = pairs.join(sets.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(shared * WHOLE >= (len(both) - shared) * PART)
@@ -153,22 +175,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "h_a", "h_b").mapInArrow(check, "a long, b long")
 
 
-def linked(table: DataFrame) -> DataFrame:
-    """(node, root) of every sid of ``table`` (sid, n, keys, h) that is linked to another; root is the smallest it can reach.
+def linked(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of every sid that is linked to another; root is the smallest it can reach.
 
-    Sets that meet under a key are compared with the smallest of them. A key whose members are then not all in one component
-    is open, and only members of different components still need comparing: a few rounds with one more member each where that
-    leaves many pairs, then all of them. So no link between components goes unseen, and a crowd of near copies costs one
-    comparison a member.
+    Candidates are ``pairs`` (a, b) and all that share a key of ``members`` (key, sid, lo). Members are compared with the
+    smallest of their key (lo). A key whose members are then not all in one component is open, and only members of different
+    components still need comparing: a few rounds with one more member each where that leaves many pairs, then all of them. So
+    no link between components goes unseen, and a crowd of near copies costs one comparison a member.
     """
-    spark = table.sparkSession
-    posts = table.select("sid", F.explode("keys").alias("key"))
-    crowds = posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    crowds, crowds_at = written(crowds)
-    members, members_at = written(posts.join(crowds.where("c > 2").select("key", "lo"), "key").select("key", "sid", "lo").distinct())
-    pairs = crowds.where("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(members.where("sid > lo").select(F.col("sid").alias("a"), F.col("lo").alias("b"))).distinct()
-    edges, path = written(verified(pairs, table))
-    paths = [crowds_at, members_at, path]
+    spark = pairs.sparkSession
+    first = pairs.unionByName(members.where("sid > lo").select(F.col("sid").alias("a"), F.col("lo").alias("b"))).distinct()
+    edges, path = written(verified(first, sets))
+    paths = [path]
     roots = cut_lineage(components(edges))
     for k in range(ROUNDS + 1):
         now = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
@@ -178,22 +196,46 @@ def linked(table: DataFrame) -> DataFrame:
         size = open_.agg(F.count("*").alias("n"), F.sum(F.col("c").cast("double")).alias("pairs")).first()
         if not size.n:
             break
-        if k < ROUNDS and size.pairs > SPARSE * size.n:
-            met = open_.where("root < lead.root").select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
-        else:
+        last = k == ROUNDS or size.pairs <= SPARSE * size.n
+        if last:
             other = open_.select("key", F.col("sid").alias("y"), F.col("root").alias("of"))
             met = open_.select("key", F.col("sid").alias("x"), "root").join(other, "key").where("root < of").select("x", "y")
-        more, path = written(verified(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), table))
+        else:
+            met = open_.where("root < lead.root").select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
+        more, path = written(verified(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), sets))
         paths.append(path)
         edges = edges.unionByName(more)
         roots = cut_lineage(components(edges))
-        if k == ROUNDS or size.pairs <= SPARSE * size.n:
+        if last:
             break
     for path in paths:
         drop(spark, path)
     return roots
 
 
+def components_of(table: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, root) as :func:`linked` has them, from the prints ``table`` (doc_id, sid, low) of ``docs``."""
+    spark = docs.sparkSession
+    posts = table.select("sid", F.explode("low").alias("key"))
+    met, met_at = written(posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("lo < hi"))
+    # Keys of three rows and more are joined back, with the smallest sid of the small ones.
+    back, back_at = written(posts.join(met.where("c > 2"), "key").select("key", "sid", F.when(F.col("c") <= CROWD, F.col("lo")).alias("lo")).distinct())
+    two = met.where("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    known = two.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(False).alias("by_parts")).unionByName(back.select("sid", F.col("lo").isNull().alias("by_parts")))
+    known = known.groupBy("sid").agg(F.max("by_parts").alias("by_parts"))
+    # The text of one document of each set; a repeated id is told apart by its set.
+    wanted = cut_lineage(table.select("sid", "doc_id").join(known, "sid").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("by_parts").alias("by_parts")))
+    texts = docs.select(F.col(doc_id).alias("own"), whole_text(text).alias("text")).join(wanted, F.col("own").eqNullSafe(F.col("first")))
+    sets, sets_at = written(whole_sets(texts).dropDuplicates(["sid"]))
+    parts = sets.select("sid", F.explode("keys").alias("key"))
+    crowds = parts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo")
+    by_parts, parts_at = written(parts.join(crowds, "key").select("key", "sid", "lo"))
+    roots = linked(two, back.where("lo IS NOT NULL").unionByName(by_parts), sets.select("sid", "n", "h"))
+    for path in (met_at, back_at, sets_at, parts_at):
+        drop(spark, path)
+    return roots
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row each; all columns as they were.
 
@@ -203,7 +245,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     table gives no rows.
     """
     table, path = written(prints(docs, doc_id, text))
-    roots = linked(table.select("sid", "n", "keys", "h"))
+    roots = components_of(table, docs, doc_id, text)
     tied = cut_lineage(table.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root")))
     drop(docs.sparkSession, path)
     first = tied.groupBy("root").agg(F.min("doc_id").alias("first"))
