@@ -1,9 +1,9 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
-Sets of a similarity of 4/5 or more share one of their smallest hashes, a fifth of each set and one more: most pairs meet there.
-Under a hash that many sets have, mostly from a passage they share, its sets are not compared; they meet again by parts. Such
-two sets differ in at most a ninth of their joint size, so cut into more parts than that by hash they agree in a whole part.
-Parts of about four shingles agree by a shared passage far more seldom than single shingles do. No pair is left out.
+Sets of a similarity of 4/5 or more share some of their smallest hashes, three tenths of each set: most pairs meet there. Under
+a hash that many sets have, mostly from a passage they share, its sets are not compared; sets with many such hashes meet again
+by parts. Two near sets differ in at most a ninth of their joint size, so cut into more parts than that by hash they agree in a
+whole part. Parts of about four shingles agree by a shared passage far more seldom than single shingles do. No pair is left out.
 """
 
 from __future__ import annotations
@@ -125,57 +125,119 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [hashes(t) for t in part.column("text").to_pylist()]
 
 
-def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sid, low) of each row: its set's identity (64 bits) and the smallest hashes by which it is found."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches):
-            low = [h[: len(h) - -(-len(h) * PART // WHOLE) + 1] for h in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([identity(h) for h in sets], pa.int64()), _lists(low)], names=["doc_id", "sid", "low"])
-
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sid long, low array<long>")
-
+def prefix(n: int) -> int:
+    """How many of the smallest hashes of a set of size ``n`` it is found by.
 
-def whole_sets(texts: DataFrame) -> DataFrame:
-    """(sid, n, h, keys) of the rows of ``texts`` (sid, text, by_parts) whose text has that identity: the whole set as bytes, and
-    the keys of its parts if ``by_parts`` asks for them.
+    Two sets of a similarity of 4/5 share one of their n - ceil(4n/5) + 1 smallest hashes, whatever the order. With ``spare``
+    more they share that many more, all of them among the smallest of both.
     """
+    return min(n, n + 1 - -(-n * PART // WHOLE) + spare(n))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[tuple[int, int, int]]] = {}
-        for part, sets in _slices(batches):
-            own = pa.array([identity(h) for h in sets], pa.int64())
-            keys = [signatures(h, known) if len(h) and asked else h[:0] for h, asked in zip(sets, part.column("by_parts").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([own, pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary()), _lists(keys)], names=["sid", "n", "h", "keys"])
-            yield out.filter(pa.compute.equal(own, part.column("sid")))
 
-    return texts.select("sid", "text", "by_parts").mapInArrow(scan, "sid long, n int, h binary, keys array<long>")
+def spare(n: int) -> int:
+    return n // 10
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose ``sets`` (sid, n, h) have a Jaccard similarity of 4/5 or more, checked on the whole sets."""
-    sizes = sets.select("sid", "n")
-    for k in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}")), k)
-    pairs = pairs.where(F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * PART)
-    for k in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
+def _lists(of: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, dtype=U)]).view(np.int64)))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
-                both = np.concatenate([np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared * WHOLE >= (len(both) - shared) * PART)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "h_a", "h_b").mapInArrow(check, "a long, b long")
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches and the sets of their texts, fewer rows at once where texts are long."""
+    for batch in batches:
+        step = max(1, min(512, (1 << 24) * batch.num_rows // (batch.column("text").nbytes + 1)))
+        for s in range(0, batch.num_rows, step):
+            part = batch.slice(s, step)
+            yield part, [hashes(t) for t in part.column("text").to_pylist()]
 
 
-def linked(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sid, n, low) of each row: its set's identity (64 bits), its size and the smallest hashes by which it is found."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([identity(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), _lists([h[: prefix(len(h))] for h in sets])], names=["doc_id", "sid", "n", "low"])
+
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sid long, n int, low array<long>")
+
+
+class Sets:
+    """The distinct sets of ``docs``: (sid, n, low, first) with one document of each, and their whole hashes on demand."""
+
+    def __init__(self, docs: DataFrame, table: DataFrame, doc_id: str, text: str) -> None:
+        first = table.groupBy("sid").agg(F.min("doc_id").alias("first"))
+        self.rows, self.path = written(table.select("sid", "n", "low").dropDuplicates(["sid"]).join(first, "sid"))
+        self.texts = docs.select(F.col(doc_id).alias("own"), whole_text(text).alias("text"))
+        # A repeated id is told apart by its set; only then can a set come up twice.
+        self.repeated = not table.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
+
+    def whole(self, sids: DataFrame) -> DataFrame:
+        """(sid, h, keys) of ``sids`` (sid, by_parts): the whole set as bytes, and the keys of its parts if asked for."""
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[int, list[tuple[int, int, int]]] = {}
+            for part, sets in _slices(batches):
+                own = pa.array([identity(h) for h in sets], pa.int64())
+                keys = [signatures(h, known) if len(h) and asked else h[:0] for h, asked in zip(sets, part.column("by_parts").to_pylist(), strict=True)]
+                whole = pa.array([b"" if asked else h.tobytes() for h, asked in zip(sets, part.column("by_parts").to_pylist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, whole, _lists(keys)], names=["sid", "h", "keys"]).filter(pa.compute.equal(own, part.column("sid")))
+
+        wanted = self.rows.select("sid", "first").join(sids, "sid")
+        texts = self.texts.join(wanted, F.col("own").eqNullSafe(F.col("first"))).select("sid", "text", "by_parts")
+        out = texts.mapInArrow(scan, "sid long, h binary, keys array<long>")
+        return out.dropDuplicates(["sid"]) if self.repeated else out
+
+    def verified(self, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The rows of ``pairs`` (a, b) with a Jaccard similarity of 4/5 or more, as a table, and the tables it is made of.
+
+        Sizes and smallest hashes rule most out: of two sets, no more than the hashes shared up to the smaller of their last
+        ones, and the rest of the one that has less left, can be common. What remains is checked on the whole sets.
+        """
+        for k in ("a", "b"):
+            pairs = pairs.join(self.rows.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(f"low_{k}")), k)
+            if k == "b":
+                pairs = pairs.where(F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * PART)
+
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b")), *(batch.column(c) for c in ("low_a", "low_b")), strict=True):
+                    x, y = (v.values.to_numpy().view(U) for v in (x, y))
+                    if not len(x) or not len(y):
+                        keep.append(n == m)
+                        continue
+                    # The lists are sorted as unsigned numbers.
+                    end = min(x[-1], y[-1])
+                    i, j = int(np.searchsorted(x, end, side="right")), int(np.searchsorted(y, end, side="right"))
+                    both = np.concatenate([x[:i], y[:j]])
+                    both.sort()
+                    most = int((both[1:] == both[:-1]).sum()) + min(n - i, m - j)
+                    keep.append(most * WHOLE >= (n + m - most) * PART)
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
+                    both = np.concatenate([np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y)])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep.append(shared * WHOLE >= (len(both) - shared) * PART)
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        left, left_at = written(pairs.mapInArrow(possible, "a long, b long"))
+        wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("by_parts", F.lit(False))
+        whole, whole_at = written(self.whole(wanted).select("sid", "h"))
+        for k in ("a", "b"):
+            left = left.join(whole.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
+        edges, path = written(left.select("a", "b", "h_a", "h_b").mapInArrow(check, "a long, b long"))
+        for done in (left_at, whole_at):
+            drop(self.rows.sparkSession, done)
+        return edges, [path]
+
+
+def linked(pairs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
     """(node, root) of every sid that is linked to another; root is the smallest it can reach.
 
     Candidates are ``pairs`` (a, b) and all that share a key of ``members`` (key, sid, lo). Members are compared with the
@@ -183,10 +245,7 @@ def linked(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     components still need comparing: a few rounds with one more member each where that leaves many pairs, then all of them. So
     no link between components goes unseen, and a crowd of near copies costs one comparison a member.
     """
-    spark = pairs.sparkSession
-    first = pairs.unionByName(members.where("sid > lo").select(F.col("sid").alias("a"), F.col("lo").alias("b"))).distinct()
-    edges, path = written(verified(first, sets))
-    paths = [path]
+    edges, paths = sets.verified(pairs.unionByName(members.where("sid > lo").select(F.col("sid").alias("a"), F.col("lo").alias("b"))).distinct())
     roots = cut_lineage(components(edges))
     for k in range(ROUNDS + 1):
         now = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
@@ -202,36 +261,35 @@ def linked(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
             met = open_.select("key", F.col("sid").alias("x"), "root").join(other, "key").where("root < of").select("x", "y")
         else:
             met = open_.where("root < lead.root").select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
-        more, path = written(verified(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), sets))
-        paths.append(path)
+        more, path = sets.verified(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        paths += path
         edges = edges.unionByName(more)
         roots = cut_lineage(components(edges))
         if last:
             break
     for path in paths:
-        drop(spark, path)
+        drop(sets.rows.sparkSession, path)
     return roots
 
 
-def components_of(table: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, root) as :func:`linked` has them, from the prints ``table`` (doc_id, sid, low) of ``docs``."""
-    spark = docs.sparkSession
-    posts = table.select("sid", F.explode("low").alias("key"))
-    met, met_at = written(posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("lo < hi"))
-    # Keys of three rows and more are joined back, with the smallest sid of the small ones.
-    back, back_at = written(posts.join(met.where("c > 2"), "key").select("key", "sid", F.when(F.col("c") <= CROWD, F.col("lo")).alias("lo")).distinct())
+def components_of(sets: Sets) -> DataFrame:
+    """(node, root) as :func:`linked` has them.
+
+    Two near sets share more than ``spare`` of their smallest hashes. If those are all crowded, both have at least as many
+    crowded ones as the smaller one spares, a fifth less than the larger one might: such sets meet by their parts.
+    """
+    spark = sets.rows.sparkSession
+    posts = sets.rows.select("sid", "n", F.explode("low").alias("key"))
+    met, met_at = written(posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("c > 1"))
     two = met.where("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    known = two.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(False).alias("by_parts")).unionByName(back.select("sid", F.col("lo").isNull().alias("by_parts")))
-    known = known.groupBy("sid").agg(F.max("by_parts").alias("by_parts"))
-    # The text of one document of each set; a repeated id is told apart by its set.
-    wanted = cut_lineage(table.select("sid", "doc_id").join(known, "sid").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("by_parts").alias("by_parts")))
-    texts = docs.select(F.col(doc_id).alias("own"), whole_text(text).alias("text")).join(wanted, F.col("own").eqNullSafe(F.col("first")))
-    sets, sets_at = written(whole_sets(texts).dropDuplicates(["sid"]))
-    parts = sets.select("sid", F.explode("keys").alias("key"))
-    crowds = parts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo")
-    by_parts, parts_at = written(parts.join(crowds, "key").select("key", "sid", "lo"))
-    roots = linked(two, back.where("lo IS NOT NULL").unionByName(by_parts), sets.select("sid", "n", "h"))
-    for path in (met_at, back_at, sets_at, parts_at):
+    back, back_at = written(posts.join(met.where("c > 2"), "key").select("key", "sid", "n", "c", "lo"))
+    crowded = back.where(F.col("c") > CROWD).groupBy("sid", "n").agg(F.count("*").alias("q")).where(F.col("q") > F.floor(F.col("n") * PART / (10 * WHOLE))).select("sid", F.lit(True).alias("by_parts"))
+    parts, parts_at = written(sets.whole(crowded).select("sid", F.explode("keys").alias("key")))
+    ends = parts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo")
+    by_parts, by_at = written(parts.join(ends, "key").select("key", "sid", "lo"))
+    drop(spark, parts_at)
+    roots = linked(two, back.where(F.col("c") <= CROWD).select("key", "sid", "lo").unionByName(by_parts), sets)
+    for path in (met_at, back_at, by_at):
         drop(spark, path)
     return roots
 
@@ -245,7 +303,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     table gives no rows.
     """
     table, path = written(prints(docs, doc_id, text))
-    roots = components_of(table, docs, doc_id, text)
+    sets = Sets(docs, table, doc_id, text)
+    roots = components_of(sets)
+    drop(docs.sparkSession, sets.path)
     tied = cut_lineage(table.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root")))
     drop(docs.sparkSession, path)
     first = tied.groupBy("root").agg(F.min("doc_id").alias("first"))
