@@ -29,7 +29,7 @@ WIDTH = 5
 #: Similarity from which two texts are near copies: 4 / 5.
 PART, WHOLE = 4, 5
 #: A hash of more than this many rows brings its sets to the second meeting, by parts.
-CROWD = 64
+CROWD = 16
 #: Crowds whose open pairs are more than this many a member are first compared with one member at a time.
 SPARSE = 256
 #: Rounds of that before all open pairs are compared.
@@ -237,31 +237,45 @@ class Sets:
         return edges, [path]
 
 
+def may_link(n, i, m, j):
+    """Whether two sets of sizes ``n`` and ``m`` can be near if a hash is the i-th smallest of one and the j-th of the other, from 0,
+    and no smaller one is shared but crowded ones; a null place (a key of a part) rules nothing out.
+    """
+    crowded = F.floor(F.least(n, m) * PART / (10 * WHOLE))
+    enough = (F.least(n - i, m - j) + crowded) * (PART + WHOLE) >= PART * (n + m)
+    return (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART) & F.coalesce(enough, F.lit(True))
+
+
+def _pair(x, y) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
 def linked(pairs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
     """(node, root) of every sid that is linked to another; root is the smallest it can reach.
 
-    Candidates are ``pairs`` (a, b) and all that share a key of ``members`` (key, sid, lo). Members are compared with the
-    smallest of their key (lo). A key whose members are then not all in one component is open, and only members of different
-    components still need comparing: a few rounds with one more member each where that leaves many pairs, then all of them. So
-    no link between components goes unseen, and a crowd of near copies costs one comparison a member.
+    Candidates are ``pairs`` (a, b) and all that share a key of ``members`` (key, sid, n, i, lo) and may link there. Members are
+    compared with the smallest of their key (lo). A key whose members are then not all in one component is open, and only
+    members of different components still need comparing: a few rounds with one more member each where that leaves many pairs,
+    then all of them. So no link between components goes unseen, and a crowd of near copies costs one comparison a member.
     """
-    edges, paths = sets.verified(pairs.unionByName(members.where("sid > lo").select(F.col("sid").alias("a"), F.col("lo").alias("b"))).distinct())
+    led = members.where((F.col("sid") > F.col("lo.sid")) & may_link(F.col("n"), F.col("i"), F.col("lo.n"), F.col("lo.i")))
+    edges, paths = sets.verified(pairs.unionByName(led.select(F.col("sid").alias("a"), F.col("lo.sid").alias("b"))).distinct())
     roots = cut_lineage(components(edges))
     for k in range(ROUNDS + 1):
-        now = members.select("key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-        ends = now.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("c"), F.max(F.struct("root", "sid")).alias("lead")).where("first < last")
-        open_, path = written(now.join(ends, "key").select("key", "sid", "root", "c", "lead"))
+        now = members.select("key", "sid", "n", "i").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "i", F.coalesce("root", "sid").alias("root"))
+        ends = now.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("c"), F.max(F.struct("root", "sid", "n", "i")).alias("lead")).where("first < last")
+        open_, path = written(now.join(ends, "key").select("key", "sid", "n", "i", "root", "c", "lead"))
         paths.append(path)
         size = open_.agg(F.count("*").alias("n"), F.sum(F.col("c").cast("double")).alias("pairs")).first()
         if not size.n:
             break
         last = k == ROUNDS or size.pairs <= SPARSE * size.n
         if last:
-            other = open_.select("key", F.col("sid").alias("y"), F.col("root").alias("of"))
-            met = open_.select("key", F.col("sid").alias("x"), "root").join(other, "key").where("root < of").select("x", "y")
+            other = open_.select("key", F.col("sid").alias("y"), F.col("root").alias("of"), F.col("n").alias("m"), F.col("i").alias("j"))
+            met = open_.select("key", F.col("sid").alias("x"), "root", "n", "i").join(other, "key").where((F.col("root") < F.col("of")) & may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
         else:
-            met = open_.where("root < lead.root").select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
-        more, path = sets.verified(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+            met = open_.where((F.col("root") < F.col("lead.root")) & may_link(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"))).select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
+        more, path = sets.verified(met.select(*_pair("x", "y")).distinct())
         paths += path
         edges = edges.unionByName(more)
         roots = cut_lineage(components(edges))
@@ -279,16 +293,18 @@ def components_of(sets: Sets) -> DataFrame:
     crowded ones as the smaller one spares, a fifth less than the larger one might: such sets meet by their parts.
     """
     spark = sets.rows.sparkSession
-    posts = sets.rows.select("sid", "n", F.explode("low").alias("key"))
-    met, met_at = written(posts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("c > 1"))
-    two = met.where("c = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    back, back_at = written(posts.join(met.where("c > 2"), "key").select("key", "sid", "n", "c", "lo"))
+    posts = sets.rows.select("sid", "n", F.posexplode("low").alias("i", "key"))
+    one = F.struct("sid", "n", "i")
+    met, met_at = written(posts.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("c")).where("c > 1"))
+    two = met.where((F.col("c") == 2) & may_link(F.col("lo.n"), F.col("lo.i"), F.col("hi.n"), F.col("hi.i"))).select(F.col("hi.sid").alias("a"), F.col("lo.sid").alias("b"))
+    back, back_at = written(posts.join(met.where("c > 2").select("key", "c", "lo"), "key").select("key", "sid", "n", "i", "c", "lo"))
     crowded = back.where(F.col("c") > CROWD).groupBy("sid", "n").agg(F.count("*").alias("q")).where(F.col("q") > F.floor(F.col("n") * PART / (10 * WHOLE))).select("sid", F.lit(True).alias("by_parts"))
-    parts, parts_at = written(sets.whole(crowded).select("sid", F.explode("keys").alias("key")))
-    ends = parts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key", "lo")
-    by_parts, by_at = written(parts.join(ends, "key").select("key", "sid", "lo"))
+    parts, parts_at = written(sets.whole(crowded).select("sid", F.explode("keys").alias("key")).join(sets.rows.select("sid", "n"), "sid"))
+    ends = parts.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max("sid").alias("hi")).where("lo.sid < hi")
+    nowhere = F.lit(None).cast("int")
+    by_parts, by_at = written(parts.join(ends.select("key", F.struct("lo.sid", "lo.n", nowhere.alias("i")).alias("lo")), "key").select("key", "sid", "n", nowhere.alias("i"), "lo"))
     drop(spark, parts_at)
-    roots = linked(two, back.where(F.col("c") <= CROWD).select("key", "sid", "lo").unionByName(by_parts), sets)
+    roots = linked(two.distinct(), back.where(F.col("c") <= CROWD).select("key", "sid", "n", "i", "lo").unionByName(by_parts), sets)
     for path in (met_at, back_at, by_at):
         drop(spark, path)
     return roots
