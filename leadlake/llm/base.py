@@ -14,6 +14,9 @@ from ..session import cut_lineage, shared_folder
 # Executors may lack this package: functions that run in tasks travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Whether Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,11 +55,21 @@ def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and its path. Unlike a checkpoint the plan keeps nothing of how it was made,
-    so that loops plan each round from scratch; the caller drops tables that are no longer read.
+    so that loops plan each round from scratch; the caller drops tables that are no longer read. The shuffles of the write are
+    removed with it, since nothing reads them again; otherwise they stay until the driver happens to collect garbage.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, path: str) -> None:

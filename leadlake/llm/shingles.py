@@ -17,11 +17,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .base import components, drop, free_name, whole_text, written
+from .simhash import fingerprint, leaders
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -138,55 +139,64 @@ def spare(n: int) -> int:
     return n // 10
 
 
-def _lists(of: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, of)]), pa.int32()), pa.array(np.concatenate([*of, np.zeros(0, dtype=U)]).view(np.int64)))
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Parts of the batches and the sets of their texts, fewer rows at once where texts are long."""
-    for batch in batches:
-        step = max(1, min(512, (1 << 24) * batch.num_rows // (batch.column("text").nbytes + 1)))
-        for s in range(0, batch.num_rows, step):
-            part = batch.slice(s, step)
-            yield part, [hashes(t) for t in part.column("text").to_pylist()]
-
-
-def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sid, n, low) of each row: its set's identity (64 bits), its size and the smallest hashes by which it is found."""
+def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simhash: bool = False) -> DataFrame:
+    """(doc_id, fp, sid, n, low) of each row: its SimHash if asked for (else null), its set's identity (64 bits), its size and the
+    smallest hashes by which it is found.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([identity(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), _lists([h[: prefix(len(h))] for h in sets])], names=["doc_id", "sid", "n", "low"])
+            fps = [fingerprint(t) for t in part.column("text").to_pylist()] if simhash else [None] * len(sets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64()), pa.array([identity(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), _lists([h[: prefix(len(h))] for h in sets])], names=["doc_id", "fp", "sid", "n", "low"])
+
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, sid long, n int, low array<long>")
+
 
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sid long, n int, low array<long>")
+def _own(text: Column) -> Column:
+    """Text -> identity of its set. Not pure to the planner, so that no join makes it run twice."""
+    return F.pandas_udf(_identities, "long").asNondeterministic()(text)
 
 
 class Sets:
-    """The distinct sets of ``docs``: (sid, n, low, first) with one document of each, and their whole hashes on demand."""
+    """The distinct sets of some rows of ``table``: (sid, n, low, first) with their smallest doc_id, and their whole hashes on demand.
 
-    def __init__(self, docs: DataFrame, table: DataFrame, doc_id: str, text: str) -> None:
-        first = table.groupBy("sid").agg(F.min("doc_id").alias("first"))
-        self.rows, self.path = written(table.select("sid", "n", "low").dropDuplicates(["sid"]).join(first, "sid"))
+    ``table`` has all rows of ``docs`` (doc_id, sid, n, low, row) and ``rows`` (doc_id, sid, row) those that count.
+    """
+
+    def __init__(self, docs: DataFrame, table: DataFrame, rows: DataFrame, doc_id: str, text: str) -> None:
+        least = rows.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("at"))
+        chosen, chosen_at = written(least.select(F.col("at.row").alias("row"), F.col("at.doc_id").alias("first")))
+        self.rows, self.path = written(table.select("row", "sid", "n", "low").join(chosen, "row").drop("row"))
+        drop(docs.sparkSession, chosen_at)
         self.texts = docs.select(F.col(doc_id).alias("own"), whole_text(text).alias("text"))
+        self.repeats = table.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("same"))
         # A repeated id is told apart by its set; only then can a set come up twice.
-        self.repeated = not table.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
+        self.repeated = not self.repeats.limit(1).isEmpty()
 
-    def whole(self, sids: DataFrame) -> DataFrame:
-        """(sid, h, keys) of ``sids`` (sid, by_parts): the whole set as bytes, and the keys of its parts if asked for."""
+    def whole(self, sids: DataFrame) -> tuple[DataFrame, str]:
+        """(sid, n, h, keys) of ``sids`` (sid, by_parts) as a table: the whole set as bytes, or the keys of its parts if asked for."""
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[int, list[tuple[int, int, int]]] = {}
             for part, sets in _slices(batches):
+                asked = part.column("by_parts").to_pylist()
                 own = pa.array([identity(h) for h in sets], pa.int64())
-                keys = [signatures(h, known) if len(h) and asked else h[:0] for h, asked in zip(sets, part.column("by_parts").to_pylist(), strict=True)]
-                whole = pa.array([b"" if asked else h.tobytes() for h, asked in zip(sets, part.column("by_parts").to_pylist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own, whole, _lists(keys)], names=["sid", "h", "keys"]).filter(pa.compute.equal(own, part.column("sid")))
-
-        wanted = self.rows.select("sid", "first").join(sids, "sid")
-        texts = self.texts.join(wanted, F.col("own").eqNullSafe(F.col("first"))).select("sid", "text", "by_parts")
-        out = texts.mapInArrow(scan, "sid long, h binary, keys array<long>")
-        return out.dropDuplicates(["sid"]) if self.repeated else out
+                keys = [signatures(h, known) if len(h) and parts else h[:0] for h, parts in zip(sets, asked, strict=True)]
+                whole = pa.array([b"" if parts else h.tobytes() for h, parts in zip(sets, asked, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own, pa.array([len(h) for h in sets], pa.int32()), whole, _lists(keys)], names=["sid", "n", "h", "keys"]).filter(pa.compute.equal(own, part.column("sid")))
+
+        # Ids alone, and written, so that the planner knows their size before it moves any text.
+        wanted, wanted_at = written(self.rows.select("sid", "first").join(sids, "sid"))
+        if self.repeated:
+            near = self.texts.join(wanted.select("first"), F.col("own").eqNullSafe(F.col("first")), "left_semi")
+            texts = near.withColumn("sid", _own(F.col("text"))).join(wanted, "sid").select("sid", "text", "by_parts")
+        else:
+            texts = self.texts.join(wanted, F.col("own").eqNullSafe(F.col("first"))).select("sid", "text", "by_parts")
+        out = texts.mapInArrow(scan, "sid long, n int, h binary, keys array<long>")
+        out = written(out.dropDuplicates(["sid"]) if self.repeated else out)
+        drop(self.rows.sparkSession, wanted_at)
+        return out
 
     def verified(self, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
         """The rows of ``pairs`` (a, b) with a Jaccard similarity of 4/5 or more, as a table, and the tables it is made of.
@@ -228,7 +238,7 @@ class Sets:
 
         left, left_at = written(pairs.mapInArrow(possible, "a long, b long"))
         wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("by_parts", F.lit(False))
-        whole, whole_at = written(self.whole(wanted).select("sid", "h"))
+        whole, whole_at = self.whole(wanted)
         for k in ("a", "b"):
             left = left.join(whole.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
         edges, path = written(left.select("a", "b", "h_a", "h_b").mapInArrow(check, "a long, b long"))
@@ -299,7 +309,8 @@ def components_of(sets: Sets) -> DataFrame:
     two = met.where((F.col("c") == 2) & may_link(F.col("lo.n"), F.col("lo.i"), F.col("hi.n"), F.col("hi.i"))).select(F.col("hi.sid").alias("a"), F.col("lo.sid").alias("b"))
     back, back_at = written(posts.join(met.where("c > 2").select("key", "c", "lo"), "key").select("key", "sid", "n", "i", "c", "lo"))
     crowded = back.where(F.col("c") > CROWD).groupBy("sid", "n").agg(F.count("*").alias("q")).where(F.col("q") > F.floor(F.col("n") * PART / (10 * WHOLE))).select("sid", F.lit(True).alias("by_parts"))
-    parts, parts_at = written(sets.whole(crowded).select("sid", F.explode("keys").alias("key")).join(sets.rows.select("sid", "n"), "sid"))
+    whole, parts_at = sets.whole(crowded)
+    parts = whole.select("sid", "n", F.explode("keys").alias("key"))
     ends = parts.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max("sid").alias("hi")).where("lo.sid < hi")
     nowhere = F.lit(None).cast("int")
     by_parts, by_at = written(parts.join(ends.select("key", F.struct("lo.sid", "lo.n", nowhere.alias("i")).alias("lo")), "key").select("key", "sid", "n", nowhere.alias("i"), "lo"))
@@ -310,33 +321,43 @@ def components_of(sets: Sets) -> DataFrame:
     return roots
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row each; all columns as they were.
 
     Words are lower-cased (A-Z); texts link at a Jaccard similarity of 0.8 or more of their sets of five-word shingles, null,
     empty and blank texts are copies of each other. Very long texts are read whole. Equal sets are told by 64 bits, links are
     checked on the whole sets. A component without any doc_id keeps one of its rows, and of repeated rows one stays; an empty
     table gives no rows.
+
+    With a ``radius``, one row of each SimHash component (:func:`simhash.leaders`) first, then one of each component by shingles
+    of what is left. Texts are read once for both, and ids alone tell what is left.
     """
-    table, path = written(prints(docs, doc_id, text))
-    sets = Sets(docs, table, doc_id, text)
+    spark = docs.sparkSession
+    table, path = written(prints(docs, doc_id, text, radius is not None).withColumn("row", F.monotonically_increasing_id()))
+    rows, left_at = table.select("doc_id", "sid", "row"), None
+    if radius is not None:
+        left, left_at = written(leaders(table.select("doc_id", "fp", "row"), radius=radius))
+        rows = rows.join(left, "row", "left_semi")
+    sets = Sets(docs, table, rows, doc_id, text)
     roots = components_of(sets)
-    drop(docs.sparkSession, sets.path)
-    tied = cut_lineage(table.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root")))
-    drop(docs.sparkSession, path)
-    first = tied.groupBy("root").agg(F.min("doc_id").alias("first"))
-    repeated = tied.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    stay = tied.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "sid", "root").distinct()
-    stay = stay.join(repeated.withColumnRenamed("doc_id", "same"), F.col("doc_id").eqNullSafe(F.col("same"))).select("doc_id", "sid", "root", "rows")
-    names = {c: free_name(docs, f"_{c}") for c in stay.columns}
-    stay = cut_lineage(stay.select(*(F.col(c).alias(n) for c, n in names.items())))
+    ends = sets.rows.select("sid", "first").join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min(F.struct(F.col("first").isNull(), "first", "sid")).alias("at"))
+    stay = ends.select("root", F.col("at.first").alias("first"), F.col("at.sid").alias("sid"))
+    if sets.repeated:
+        stay = stay.join(sets.repeats, F.col("first").eqNullSafe(F.col("same")), "left_semi").withColumn("more", F.lit(True)).unionByName(stay.join(sets.repeats, F.col("first").eqNullSafe(F.col("same")), "left_anti").withColumn("more", F.lit(False)))
+    else:
+        stay = stay.withColumn("more", F.lit(False))
+    names = {c: free_name(docs, f"_{c}") for c in ("root", "first", "sid", "more")}
+    # The result reads only this table of ids.
+    stay, _ = written(stay.select(*(F.col(c).alias(n) for c, n in names.items())))
+    for done in filter(None, (sets.path, path, left_at)):
+        drop(spark, done)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names["doc_id"]))
-    once = docs.join(stay.where(F.col(names["rows"]) == 1), same).select(*columns)
-    many = stay.where(F.col(names["rows"]) > 1)
-    if many.isEmpty():
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(names["first"]))
+    once = docs.join(stay.where(~F.col(names["more"])), same, "left_semi").select(*columns)
+    if not sets.repeated:
         return once
     # Several rows have this id: the set tells which of them it was.
-    sid = F.pandas_udf(_identities, "long")(whole_text(text))
-    more = docs.join(many, same).where(sid == F.col(names["sid"])).dropDuplicates([names["root"]]).select(*columns)
+    own, many = free_name(docs, "_own"), stay.where(names["more"])
+    near = docs.join(many, same, "left_semi").withColumn(own, _own(whole_text(text)))
+    more = near.join(many, same & (F.col(own) == F.col(names["sid"]))).dropDuplicates([names["root"]]).select(*columns)
     return reduce(DataFrame.unionByName, [once, more])

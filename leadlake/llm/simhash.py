@@ -82,6 +82,15 @@ def linked(prints: DataFrame, radius: int = 2) -> DataFrame:
     return tied.join(ids, "root").select("fp", "root", "component_id")
 
 
+def leaders(prints: DataFrame, row: str = "row", radius: int = 2) -> DataFrame:
+    """``row`` of one row of each component of ``prints`` (doc_id, fp, row): the smallest doc_id, then the smallest row; rows
+    without a doc_id only where the component has no other. Copies collapse to their fingerprint before any join.
+    """
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("at"))
+    ends = least.join(linked(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("at").alias("at"))
+    return ends.select(F.col(f"at.{row}").alias(row))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", radius: int = 2) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
