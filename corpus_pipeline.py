@@ -13,8 +13,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import bpe, classifier, mixing, rules, shingles, simhash
-from leadlake.llm.base import table, written
+from leadlake.llm import bpe, classifier, mixing, rules, shingles
+from leadlake.llm.base import table
 from leadlake.session import shared_folder
 
 
@@ -35,9 +35,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest doc_id: of each SimHash component first, then of each component of
     what is left whose five-word shingles have a Jaccard similarity of 0.8 or more, which 2 bits of a fingerprint seldom show.
+    One reading of the texts serves both.
     """
-    first, _ = written(simhash.one_of_each(docs))
-    return shingles.one_of_each(first)
+    return shingles.one_of_each(docs, radius=2)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: float = KEEP) -> DataFrame:
