@@ -384,9 +384,10 @@ def str_6(t):
 SELECT purpose, run_id, least(rn, 100)::INT AS kept, coalesce(accuracy < a4 * 0.9, false) AS declining FROM r""")
 def str_7(t):
     path = scratch(t)
-    t.runs().coalesce(1).write.parquet(f"{path}/in")
+    t.runs().write.parquet(f"{path}/in")
     schema = t.spark.read.parquet(f"{path}/in").schema
-    return sunk(t, ST.monitored_runs(ST.read_table(t.spark, f"{path}/in", schema)), path)
+    ST.monitored_runs(ST.read_table(t.spark, f"{path}/in", schema), f"{path}/out", f"{path}/cp").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out/runs").drop("batch")
 
 
 @query("str_8", ["predictions"], f"SELECT model_type, count(*) FILTER (WHERE {since('created_at', '2024-01-30 00:00:00', 1)}) AS new_rows, count(*) FILTER (WHERE {since('created_at', '2024-01-30 00:00:00', 1)}) >= 100 AS due FROM predictions GROUP BY 1")

@@ -225,3 +225,23 @@ def test_admission_counts_accepted_requests_only(spark, tmp_path):
         out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
         got = {r.event_id: r.accepted for r in spark.read.schema(out.schema).parquet(f"{path}/out").collect()}
         assert got == {i: a for i, a in want.items() if i < 1000}
+
+
+def test_monitored_runs_do_not_depend_on_batches_or_partitions(spark, tmp_path):
+    """The history of each purpose goes on over micro-batches; the first purpose has most of the runs."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 41 == 0 else "big" if i % 5 else "small", None if i % 13 == 0 else rng.uniform(0.5, 1.0)) for i in range(400)]
+    want, before = set(), {}
+    for i, purpose, value in rows:
+        own = before.setdefault(purpose, [])
+        own.append(value)
+        known = own[-5:]
+        want.add((purpose, i, min(len(own), 100), len(known) == 5 and None not in (known[0], known[4]) and known[4] < known[0] * 0.9))
+    for name, cuts in (("one", [0, 400]), ("three", [0, 150, 153, 400])):
+        path = f"{tmp_path}/{name}"
+        for a, b in zip(cuts, cuts[1:]):
+            batch = spark.createDataFrame(rows[a:b], "run_id long, purpose string, accuracy double")
+            batch.repartition(3).write.mode("append").parquet(f"{path}/in")
+            ST.monitored_runs(ST.read_table(spark, f"{path}/in", batch.schema), f"{path}/out", f"{path}/cp").awaitTermination()
+        got = [tuple(r) for r in spark.read.parquet(f"{path}/out/runs").select("purpose", "run_id", "kept", "declining").collect()]
+        assert len(got) == 400 and set(got) == want
