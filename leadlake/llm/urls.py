@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of a time cell: an interval is listed once in each cell it touches, a capture looks into its own.
+#: Seconds of a time cell: an interval is listed once in each cell that captures ask about, a capture looks into its own.
 CELL = 30 * 86400
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
@@ -33,6 +33,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     return known.withColumn("until", F.lead("at").over(w)).where("action = 'add' AND (until IS NULL OR until > at)").select("pattern", F.col("at").alias("since"), "until")
 
 
+def in_cells(spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pattern, cell, since, until): the intervals that touch a cell of ``asked`` (pattern, cell), and those that open in any.
+
+    Intervals of a pattern do not overlap, so at the start of a cell at most one is running: the last one opened before. A
+    running interval costs one row for each cell in which captures ask for it, however long it runs.
+    """
+    spans = spans.select("pattern", F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until"))
+    opened = spans.withColumn("cell", F.floor(F.unix_timestamp("since") / CELL))
+    marks = spans.select("pattern", F.col("since").alias("at"), F.struct("since", "until").alias("span"), F.lit(None).cast("long").alias("cell")).unionByName(
+        asked.select("pattern", F.timestamp_seconds(F.col("cell") * CELL).alias("at"), F.lit(None).cast("struct<since:timestamp,until:timestamp>").alias("span"), "cell"))
+    # Of an interval and a cell at the same instant either order is right: that interval opens in the cell.
+    before = Window.partitionBy("pattern").orderBy("at", F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = marks.withColumn("span", F.last("span", ignorenulls=True).over(before)).where("cell IS NOT NULL AND span.since < at AND (span.until IS NULL OR span.until > at)")
+    return opened.unionByName(running.select("pattern", "span.since", "span.until", "cell"))
+
+
 def filtered(captures: DataFrame, entries: DataFrame, page_id: str = "page_id", url: str = "url", fetched: str | Column = "fetched_at") -> DataFrame:
     """One row for each row of ``captures``: page_id, host, fetched_at, n_active, pattern, blocked.
 
@@ -47,14 +63,8 @@ def filtered(captures: DataFrame, entries: DataFrame, page_id: str = "page_id",
     seconds = F.unix_timestamp(F.col("fetched_at").cast("timestamp"))
     rows = captures.select(F.col(page_id).alias("page_id"), host(url).alias("host"), (F.col(fetched) if isinstance(fetched, str) else fetched).cast("timestamp").alias("fetched_at"))
     asked = rows.where("host IS NOT NULL AND fetched_at IS NOT NULL").select("host", "fetched_at").distinct()
-    last = asked.agg(F.max("fetched_at")).first()[0]
-    listed = intervals(entries)
-    if last is not None:
-        listed = listed.where(F.col("since") <= F.lit(last))
-    start = F.floor(F.unix_timestamp("since") / CELL)
-    end = F.floor(F.unix_timestamp(F.least(F.coalesce("until", F.lit(last).cast("timestamp")), F.lit(last).cast("timestamp"))) / CELL)
-    listed = listed.select("pattern", "since", "until", F.explode(F.sequence(start, F.greatest(start, end))).alias("cell"))
     looks = asked.select("host", "fetched_at", F.floor(seconds / CELL).alias("cell"), F.explode(domains(F.col("host"))).alias("pattern"))
+    listed = in_cells(intervals(entries), looks.select("pattern", "cell").distinct())
     active = looks.join(listed, ["pattern", "cell"]).where("since <= fetched_at AND (until IS NULL OR fetched_at < until)")
     found = active.groupBy("host", "fetched_at").agg(F.countDistinct("pattern").alias("n_active"), F.max_by("pattern", F.length("pattern")).alias("pattern"))
     return rows.join(found, ["host", "fetched_at"], "left").select("page_id", "host", "fetched_at", F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), "pattern", F.col("pattern").isNotNull().alias("blocked"))
