@@ -161,6 +161,17 @@ def test_url_lists_by_time(spark):
     assert urls.filtered(pages.limit(0), entries).count() == 0 and not urls.filtered(pages, entries.limit(0)).where("blocked").count()
 
 
+def test_url_lists_and_a_far_future_fetch(spark):
+    """One capture of year 9999 costs one row a running entry; intervals over many cells hold in the middle and end in time."""
+    entries = spark.createDataFrame([("a.com", "add", "2010-01-01"), ("a.com", "remove", "2020-06-15"), ("a.com", "add", "2021-01-01"), ("b.com", "add", "1960-01-01"), ("b.com", "remove", "1980-01-01")], "pattern string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    shots = [(1, "a.com", "9999-12-31", 1), (2, "a.com", "2015-05-05", 1), (3, "a.com", "2020-06-14", 1), (4, "a.com", "2020-06-16", 0), (5, "a.com", "2009-12-31", 0), (6, "b.com", "1965-01-01", 1), (7, "b.com", "1990-01-01", 0), (8, "b.com", "9999-12-31", 0)]
+    pages = spark.createDataFrame([(i, f"http://{h}/", d) for i, h, d, _ in shots], "page_id long, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    # Hours of 9999 are beyond Python's dates in some zones, so times stay in the table.
+    assert sorted(map(tuple, urls.filtered(pages, entries).select("page_id", "n_active").collect())) == [(i, n) for i, _, _, n in shots]
+    asked = spark.createDataFrame([("a.com", 0), ("a.com", 600), ("a.com", 97000), ("b.com", -50), ("b.com", -122)], "pattern string, cell long")
+    assert urls.in_cells(urls.intervals(entries), asked).count() == 3 + 3
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -287,3 +298,48 @@ def test_vector_recall_and_blocks(spark, monkeypatch):
 
 def test_every_operator_has_its_query():
     assert sorted(k.split("_")[0] for k in queries.QUERIES if k != "rule_ablations") == sorted(f"op{n}" for n in range(1, 14))
+
+
+def around(rng, n, dim, mean):
+    """Unit vectors whose mean cosine is ``mean``."""
+    u = rng.normal(size=(n, dim))
+    x = np.sqrt(1 - mean) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(mean)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8])
+def test_pivots_of_vectors_around_a_common_direction(mean):
+    """Fitted on 4 * 1024 vectors: partners just above the threshold are found, and few other pairs are compared."""
+    rng = np.random.default_rng(5)
+    index = pivots._fitted(around(rng, 4096, 64, mean), 1024, 2, 0.93)
+    x = around(rng, 3000, 64, mean)
+    side = rng.normal(size=x.shape)
+    side -= np.sum(side * x, axis=1, keepdims=True) * x
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    near = [pivots._closest(pivots._around(z, index.middle), index.pivots, index.nearest) for z in (x, y)]
+    assert len(index.pivots) > 900 and np.mean((near[0][:, :, None] == near[1][:, None, :]).sum(axis=(1, 2)) >= 2) >= 0.93
+    on = np.zeros((len(x), len(index.pivots)))
+    np.put_along_axis(on, near[0], 1, 1)
+    assert np.mean(on @ on.T >= 2) < 0.02
+
+
+def test_pivots_are_fewer_where_the_nearest_do_not_suffice():
+    """Around a direction nearly as close as the threshold fewer pivots keep the rate."""
+    rng = np.random.default_rng(7)
+    index = pivots._fitted(around(rng, 4096, 64, 0.9), 1024, 2, 0.93)
+    assert index.found >= pivots.FOUND and len(index.pivots) < 1024
+
+
+@pytest.mark.parametrize("shared", [2, 3])
+def test_lists_count_each_pair_once(spark, monkeypatch, shared):
+    """Few pivots, so that most pairs meet in many lists; links equal brute force."""
+    monkeypatch.setattr(pivots, "SHARED", shared)
+    monkeypatch.setattr(pivots, "LARGE", ())
+    rng = np.random.default_rng(6)
+    x = np.repeat(around(rng, 40, 8, 0.5), 4, axis=0) + 0.1 * rng.normal(size=(160, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: int(n) for i, n in enumerate((u @ u.T >= 0.93).sum(axis=1) - 1)}
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(df).collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.95 * sum(want.values()) > 0
