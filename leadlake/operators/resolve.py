@@ -18,6 +18,7 @@ Every step is checkpointed and the loops run to their fix points.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -415,11 +416,62 @@ def _tile_top(k: int, threshold: float):
     return run
 
 
+#: Most clusters that vectors are dealt into; their centres and radii are all the driver holds.
+CENTRES = 256
+
+
+def _near_centre(centres: np.ndarray):
+    """Adds the nearest centre of each vector and the angle to it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sim = np.vstack(pdf["unit"].to_numpy()) @ centres.T
+                yield pdf.assign(cluster=sim.argmax(axis=1).astype("int32"), angle=np.arccos(np.clip(sim.max(axis=1), -1, 1)))
+
+    return run
+
+
+def meeting_clusters(centres: np.ndarray, radii: np.ndarray, floor: float) -> list[tuple[int, int]]:
+    """Pairs of clusters, each both ways and with itself, that may hold a pair with a score of ``floor`` or more.
+
+    Two vectors are no closer than the angle between their centres less both radii. The slack covers the rounding of scores
+    to six digits and of the angles.
+    """
+    apart = np.arccos(np.clip(centres @ centres.T, -1, 1)) - radii[:, None] - radii[None, :] - 1e-6
+    best = np.maximum(np.cos(np.clip(apart, 0, np.pi)), 0)
+    return [(int(a), int(b)) for a, b in np.argwhere(best + 1e-6 >= floor)]
+
+
+def _clustered_pairs(distinct: DataFrame, tiles: int, tile_rows: int, k: int, threshold: float) -> DataFrame:
+    """The k best pairs of distinct unit vectors: tiles with themselves first, then those pairs of tiles that can beat them."""
+    spark, schema = distinct.sparkSession, "id1 long, id2 long, score double"
+    centres = np.array([r.unit for r in distinct.orderBy(F.xxhash64("id"), "id").select("unit").limit(min(tiles, CENTRES)).collect()])
+    placed = cut_lineage(distinct.mapInPandas(_near_centre(centres), "id long, unit array<double>, cluster int, angle double"))
+    radii, parts, starts = np.zeros(len(centres)), {}, {}
+    for r in placed.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).orderBy("cluster").collect():
+        radii[r.cluster], starts[r.cluster], parts[r.cluster] = r.radius, sum(parts.values()), -(-r.n // tile_rows)
+    own = spark.createDataFrame([(c, starts[c], parts[c]) for c in parts], "cluster int, start int, parts int")
+    # A cluster of any size is cut into tiles of bounded size.
+    tile = F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = placed.join(own, "cluster").select("id", "unit", "cluster", tile.alias("tile"))
+    alone = dealt.withColumns({"ti": F.col("tile"), "tj": F.col("tile")}).groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), schema)
+    best = alone.orderBy(F.desc("score"), "id1", "id2").limit(k).collect()
+    floor = best[-1].score if len(best) == k else threshold
+    meet = [(a, starts[b], parts[b]) for a, b in meeting_clusters(centres, radii, floor) if a in parts and b in parts]
+    others = spark.createDataFrame(meet, "cluster int, start int, parts int")
+    spread = dealt.join(others, "cluster").withColumn("other", F.explode(F.sequence("start", F.col("start") + F.col("parts") - 1))).where("other <> tile")
+    spread = spread.select("id", "unit", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    across = spread.groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), schema)
+    return across.unionByName(spark.createDataFrame(best, schema))
+
+
 def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, tile_rows: int = 4096) -> DataFrame:
     """ER-7: the k most similar pairs (score desc, ids) at or above the threshold, exact.
 
-    Equal vectors collapse to their lowest ids first. Distinct vectors are dealt into tiles of bounded size; each pair of
-    tiles is one small matrix product that returns at most k pairs, so no pair list is ever built.
+    Equal vectors collapse to their lowest ids first. Distinct vectors are dealt by their nearest centre into tiles of bounded
+    size; a pair of tiles is one small matrix product that returns at most k pairs, so no pair list is ever built. Tiles are
+    compared with themselves first; two tiles meet only if the angle between their centres, less both radii, can beat the
+    k-th score found so far.
     """
     v = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
@@ -433,10 +485,11 @@ def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, t
     distinct = kept.where("rn = 1").select("id", "unit")
     n = distinct.count()
     tiles = max(1, -(-n // tile_rows))
-    dealt = distinct.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
-        "id", "unit", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    found = spread.groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), "id1 long, id2 long, score double")
+    if tiles == 1:
+        whole = distinct.withColumns({"tile": F.lit(0), "ti": F.lit(0), "tj": F.lit(0)})
+        found = whole.groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), "id1 long, id2 long, score double")
+    else:
+        found = _clustered_pairs(distinct, tiles, tile_rows, k, threshold)
     best = found.orderBy(F.desc("score"), "id1", "id2").limit(k)
     # Expand each vector pair to the ids that share its vectors.
     rep = kept.where("rn = 1").select("unit", F.col("id").alias("rep"))

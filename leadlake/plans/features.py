@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import features as X
@@ -438,13 +439,47 @@ def embedding_pairs(t, threshold):
     return ER.top_similar_pairs(t.raw("embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("vector")), 20, threshold)
 
 
-for key, th in [("er_7", 0.3), ("jn_11", 0.3), ("srt_8", 0.2)]:
-    query(key, [], PAIRS.format(th))(lambda t, th=th: embedding_pairs(t, th))
+@query("er_7_vectors", [], PAIRS.format(0.3))
+def er_7_vectors(t):
+    """The same on the raw vectors of a table."""
+    return embedding_pairs(t, 0.3)
 
 
-@query("snk_16", [], f"SELECT id1 AS lead_id_1, id2 AS lead_id_2, score AS similarity_score, 0.8::DOUBLE AS confidence, round(score * 100, 4) AS business_relevance FROM ({PAIRS.format(0.3)})")
+MATCHING = lines(*[when(f"abs(a.{f} - b.{f}) < {tol}", n) for n, f, tol in [
+    ("email_quality", "email_quality_score", 20), ("seniority_level", "seniority_score", 25), ("industry_sector", "industry_relevance", 20), ("company_size", "company_size_score", 20), ("geographic_region", "location_score", 25)]],
+    when("abs(a.methods - b.methods) <= 1", "contact_completeness"), sep=",")
+LEAD_PAIRS = f"""(SELECT p.id1, p.id2, p.score, {MATCHING} AS matching FROM
+ (SELECT id1, id2, score FROM (SELECT a.id AS id1, b.id AS id2, round(greatest(0, least(1, list_cosine_similarity(a.vector, b.vector))), 6) AS score FROM fea a JOIN fea b ON a.id < b.id) WHERE score >= 0.7 ORDER BY score DESC, id1, id2 LIMIT 20) p
+ JOIN fea a ON a.id = p.id1 JOIN fea b ON b.id = p.id2)"""
+
+
+def lead_pairs(t):
+    """The twenty most similar pairs of leads by their feature vectors, and what they have in common."""
+    f = cut_lineage(feats(t).select("id", feature_struct().alias("a")))
+    pairs = ER.top_similar_pairs(f.select("id", "a.vector"), 20, 0.7, tile_rows=512)
+    both = pairs.join(f.withColumnRenamed("id", "id1"), "id1").join(f.select(F.col("id").alias("id2"), F.col("a").alias("b")), "id2")
+    return both.select("id1", "id2", "score", F.array_join(X.matching_features("a", "b"), ",").alias("matching"))
+
+
+@query("er_7", BASE, f"SELECT * FROM {LEAD_PAIRS}", XF)
+def er_7(t):
+    return lead_pairs(t)
+
+
+@query("jn_11", BASE, f"SELECT id1, id2, score FROM {LEAD_PAIRS}", XF)
+def jn_11(t):
+    return lead_pairs(t).select("id1", "id2", "score")
+
+
+@query("srt_8", BASE, f"SELECT id1, id2, score, row_number() OVER (ORDER BY score DESC, id1, id2) AS rank FROM {LEAD_PAIRS}", XF)
+def srt_8(t):
+    """Twenty rows, so the window over all of them is small."""
+    return lead_pairs(t).select("id1", "id2", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id1", "id2")).cast("bigint").alias("rank"))
+
+
+@query("snk_16", BASE, f"SELECT id1 AS lead_id_1, id2 AS lead_id_2, score AS similarity_score, matching AS matching_features, 0.8::DOUBLE AS confidence, round(score * 100, 4) AS business_relevance FROM {LEAD_PAIRS}", XF)
 def snk_16(t):
-    return embedding_pairs(t, 0.3).select(F.col("id1").alias("lead_id_1"), F.col("id2").alias("lead_id_2"), F.col("score").alias("similarity_score"), F.lit(0.8).alias("confidence"), F.round(F.col("score") * 100, 4).alias("business_relevance"))
+    return lead_pairs(t).select(F.col("id1").alias("lead_id_1"), F.col("id2").alias("lead_id_2"), F.col("score").alias("similarity_score"), F.col("matching").alias("matching_features"), F.lit(0.8).alias("confidence"), F.round(F.col("score") * 100, 4).alias("business_relevance"))
 
 
 @query("er_8")

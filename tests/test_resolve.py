@@ -127,6 +127,21 @@ def test_top_pairs_equal_brute_force(spark, tile_rows):
     assert [(i, j) for _, i, j in got] == [(i, j) for _, i, j in want]
 
 
+def test_clustered_tiles_that_cannot_win_do_not_meet(spark):
+    """Eight clusters far apart, one of them cut into several tiles: the pairs of brute force, and few cluster pairs meet."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(8)
+    v = np.repeat(centres, [100, *[20] * 7], axis=0) + 0.05 * rng.normal(size=(240, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(np.clip(u @ u.T, 0, 1), 6)
+    want = sorted(((-s[i, j], i, j) for i in range(240) for j in range(i + 1, 240) if s[i, j] >= 0.7))[:20]
+    got = [(-r.score, r.id1, r.id2) for r in ER.top_similar_pairs(df, 20, 0.7, 16).collect()]
+    assert [(i, j) for _, i, j in got] == [(i, j) for _, i, j in want]
+    radii = np.array([max(np.arccos(np.clip(u[a:b] @ centres[c], -1, 1))) for c, (a, b) in enumerate(zip([0, *range(100, 240, 20)], range(100, 241, 20)))])
+    assert set(ER.meeting_clusters(centres, radii, -want[-1][0])) == {(c, c) for c in range(8)}
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.8])
 def test_groups_of_each_tenant_equal_its_own_scan(spark, threshold):
     rows = make_rows(4)
