@@ -53,13 +53,23 @@ SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("fulfilment", "fulfillment"), ("favour", "favor"), ("copyright owner", "copyright holder"),
     ("per cent", "percent"), ("http://", "https://"), ("version 2.0", "version 2"), ("version 3.0", "version 3"), ("creative commons", "cc"),
 ]
-#: A line that only says who holds the copyright, or that all rights are reserved.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*((copyright|copr\.?|©|\(c\))[^a-z\n]*[0-9(©][^\n]*|all rights reserved\.?[^a-z0-9\n]*)"
+#: Lines of a wrapped licence sentence that happen to begin like a copyright line; they are marked with KEEP and stay.
+SENTENCE = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]+(notice|holder|owner|law|licen|statement|interest|and|or|in|is|of|on|to|for|as)([^a-z]|[a-z]*[^a-z]))"
+KEEP = "\x01"
+#: A line that says who holds the copyright, with or without a year or a sign, or that all rights are reserved.
+COPYRIGHT = r"(^|\n)[^a-z0-9\n\x01]*((portions[ \t]+)?(copyright|copr\.)([^a-z\n][^\n]*)?|(©|\(c\))[^\n]*|all rights reserved\.?[^a-z0-9\n]*)"
+PARAGRAPH = r"\n[ \t\r]*\n"
+#: Paragraphs of a known text that a longer document may hold one after the other.
+RUNS = range(2, 7)
 
 
 def canonical(text: Column) -> Column:
-    """One spelling of a text: lower case, without copyright lines, equivalent spellings, letters and digits only."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
+    """One spelling of a text: lower case, without copyright lines, equivalent spellings, letters and digits only.
+
+    A line that begins with "copyright", "portions copyright", "(c)" or the sign goes whatever follows, but for the words of
+    SENTENCE: there it is a wrapped line of a licence.
+    """
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), SENTENCE, f"$1{KEEP}$2"), COPYRIGHT, "$1")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -69,10 +79,24 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def runs(text: Column) -> Column:
+    """Digests of the runs of two to six paragraphs of a text, from those of its paragraphs; paragraphs without a word, such as
+    copyright lines, do not count.
+    """
+    marks = F.filter(F.transform(F.split(text, PARAGRAPH), digest), lambda d: d != F.sha2(F.lit("").cast("binary"), 256))
+    of = lambda n: F.when(F.size(marks) >= n, F.transform(F.sequence(F.lit(1), F.size(marks) - n + 1), lambda i: F.sha2(F.array_join(F.slice(marks, i, n), "").cast("binary"), 256)))
+    return F.array_distinct(F.concat(*[F.coalesce(of(n), F.array().cast("array<string>")) for n in RUNS]))
+
+
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id) of known texts, one row each; of two licences with one digest the first by name stays."""
+    """(digest, license_id) of known texts and of them as runs of paragraphs; of two licences with one digest the first by name
+    stays.
+    """
     rows = spark.createDataFrame([(n, t) for n, t in (TEXTS if texts is None else texts)], "license_id string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    # The run of all paragraphs of a text is the last of its runs.
+    whole = rows.select(digest(F.col("text")).alias("digest"), "license_id")
+    parts = rows.where(F.size(runs(F.col("text"))) > 0).select(F.element_at(runs(F.col("text")), -1).alias("digest"), "license_id")
+    return whole.unionByName(parts).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", catalog: DataFrame | None = None) -> DataFrame:
@@ -80,7 +104,8 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", catalog
 
     digest is the canonical digest of the whole text, license_id the known text it equals (null: none). Every line and every
     paragraph that speaks of a licence, copyright or permission is a text of its own as well: notices names the licences
-    these equal, sorted and joined by commas, n_notices counts them. A catalogue of your own (digest, license_id) should
+    these equal, sorted and joined by commas, n_notices counts them. In a document that is no known text itself, runs of two
+    to six paragraphs that are a known text are notices too; known texts of more paragraphs are found as whole texts only. A catalogue of your own (digest, license_id) should
     keep to texts with one of these words. Null and empty texts have the digest of empty text and no notices; repeated rows
     are kept; an empty table gives no rows; other columns of ``docs`` are not read. Only built-in functions run.
 
@@ -91,9 +116,13 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", catalog
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).withColumn("digest", digest(F.col("text")))
     low = F.lower("text")
     speaks = low.contains("licen") | low.contains("permi") | low.contains("copyright")
-    parts = rows.where(speaks).select(F.sha2(F.col("text").cast("binary"), 256).alias("whole"), F.explode(F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n[ \t\r]*\n")))).alias("part"))
+    spoken = rows.where(speaks)
+    parts = spoken.select(F.sha2(F.col("text").cast("binary"), 256).alias("whole"), F.explode(F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", PARAGRAPH)))).alias("part"))
     part = F.lower("part")
-    parts = parts.where(part.contains("licen") | part.contains("permi") | part.contains("copyright")).select("whole", digest(F.col("part")).alias("digest")).distinct()
-    found = parts.join(catalog, "digest").groupBy("whole").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
+    parts = parts.where(part.contains("licen") | part.contains("permi") | part.contains("copyright")).select("whole", digest(F.col("part")).alias("digest"), F.lit(False).alias("run"))
+    texts = spoken.select(F.sha2(F.col("text").cast("binary"), 256).alias("whole"), F.explode(runs(F.col("text"))).alias("digest"), F.lit(True).alias("run"))
+    parts = parts.unionByName(texts).distinct()
+    found = parts.join(catalog, "digest").groupBy("whole").agg(F.collect_set(F.when(~F.col("run"), F.col("license_id"))).alias("single"), F.collect_set("license_id").alias("every"))
     named = rows.select("doc_id", "digest", F.sha2(F.col("text").cast("binary"), 256).alias("whole")).join(catalog, "digest", "left").join(found, "whole", "left")
+    named = named.withColumn("notices", F.sort_array(F.when(F.col("license_id").isNull(), F.col("every")).otherwise(F.col("single"))))
     return named.select("doc_id", "digest", "license_id", F.coalesce(F.size("notices"), F.lit(0)).cast("long").alias("n_notices"), F.array_join(F.coalesce("notices", F.array().cast("array<string>")), ",").alias("notices"))

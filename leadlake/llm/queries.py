@@ -114,18 +114,25 @@ def _text(s: str) -> str:
 
 def _license_sql() -> str:
     def canonical(x: str) -> str:
-        out = f"regexp_replace(lower({x}), {_text(licenses.COPYRIGHT)}, '\\1', 'g')"
+        out = f"regexp_replace(lower({x}), {_text(licenses.SENTENCE)}, '\\1' || chr(1) || '\\2', 'g')"
+        out = f"regexp_replace({out}, {_text(licenses.COPYRIGHT)}, '\\1', 'g')"
         for old, new in licenses.SPELLINGS:
             out = f"replace({out}, {_text(old)}, {_text(new)})"
         return f"sha256(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
 
+    def marks(x: str) -> str:
+        return f"list_filter(list_transform(regexp_split_to_array({x}, '\\n[ \\t\\r]*\\n'), lambda p: {canonical('p')}), lambda s: s <> sha256(''))"
+
     texts = ", ".join(f"({_text(n)}, {_text(t)})" for n, t in licenses.TEXTS)
     speaks = lambda c: f"(contains(lower({c}), 'licen') OR contains(lower({c}), 'permi') OR contains(lower({c}), 'copyright'))"
     return f"""
-WITH cat AS (SELECT {canonical("t")} AS digest, min(n) AS license_id FROM (VALUES {texts}) v(n, t) GROUP BY 1),
+WITH texts AS (SELECT n, t, {marks("t")} AS m FROM (VALUES {texts}) v(n, t)),
+cat AS (SELECT digest, min(n) AS license_id FROM (SELECT {canonical("t")} AS digest, n FROM texts UNION ALL SELECT sha256(array_to_string(m, '')), n FROM texts WHERE len(m) BETWEEN 2 AND 6) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
 p AS (SELECT r, unnest(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\\n[ \\t\\r]*\\n'))) AS part FROM d WHERE {speaks("x")}),
-f AS (SELECT r, list_sort(list(DISTINCT license_id)) AS l FROM p JOIN cat ON cat.digest = {canonical("part")} WHERE {speaks("part")} GROUP BY r)
+h AS (SELECT r, license_id, false AS run FROM p JOIN cat ON cat.digest = {canonical("part")} WHERE {speaks("part")}
+ UNION ALL SELECT r, license_id, true FROM (SELECT r, n, unnest(range(1, len(m) - n + 2)) AS i, m FROM (SELECT r, {marks("x")} AS m FROM d WHERE {speaks("x")}), (VALUES (2), (3), (4), (5), (6)) v(n)) JOIN cat ON cat.digest = sha256(array_to_string(m[i:i + n - 1], ''))),
+f AS (SELECT r, list_sort(list(DISTINCT license_id)) AS l FROM h JOIN d USING (r) WHERE NOT run OR {canonical("x")} NOT IN (SELECT digest FROM cat) GROUP BY r)
 SELECT doc_id, {canonical("x")} AS digest, cat.license_id, coalesce(len(l), 0)::BIGINT AS n_notices, coalesce(array_to_string(l, ','), '') AS notices
 FROM d LEFT JOIN f USING (r) LEFT JOIN cat ON cat.digest = {canonical("x")}"""
 

@@ -149,6 +149,22 @@ def test_held_out_labels_are_not_read(spark, docs, sf_dir):
     assert sorted(map(tuple, classifier.scored(docs, labels).collect())) == sorted(map(tuple, classifier.scored(docs, other).collect()))
 
 
+def test_copyright_lines_of_every_form(spark):
+    forms = ["Copyright The Foo Authors", "Copyright Jane Doe 2020", "Portions Copyright (c) 2020 X", "(c) Jane", "© 2020 Jane", " * Copyright 2020, Jane. All rights reserved.", "Copyright"]
+    wrapped = licenses.BSD_2.replace("above copyright notice", "above\ncopyright notice").replace("THE COPYRIGHT HOLDERS", "THE\nCOPYRIGHT HOLDERS")
+    other = [licenses.MIT.replace("The above copyright", "The\ncopyright"), licenses.MIT + "\n\nCopyrighted by nobody"]
+    rows = spark.createDataFrame([(i, f"MIT License\n\n{f}\n\n{licenses.MIT}") for i, f in enumerate(forms)] + [(10, wrapped), *((20 + i, t) for i, t in enumerate(other))], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scanned(rows).collect()}
+    assert got == {**dict.fromkeys(range(len(forms)), "MIT"), 10: "BSD-2-Clause", 20: None, 21: None}
+
+
+def test_whole_licences_inside_documents(spark):
+    """Runs of paragraphs as long as a known text; a changed paragraph, a missing one or another order is none."""
+    a, b, c = licenses.MIT.split("\n\n")
+    rows = spark.createDataFrame([(1, f"A readme.\n\n{licenses.MIT}\n\nMore."), (2, f"Intro\n\nMIT License\n\nCopyright Jane\n \n{a}\n\n{b}\n\n{c}\n\n{licenses.ZLIB}"), (3, f"Intro\n\n{a}\n\n{c}"), (4, f"Intro\n\n{b}\n\n{a}\n\n{c}"), (5, licenses.BSD_3 + "\n\nEnd")], "doc_id long, text string")
+    assert {r.doc_id: (r.license_id, r.notices) for r in licenses.scanned(rows).collect()} == {1: (None, "MIT"), 2: (None, "MIT,Zlib"), 3: (None, ""), 4: (None, ""), 5: (None, "BSD-3-Clause")}
+
+
 def test_url_lists_by_time(spark):
     at = lambda d: f"2024-01-{d:02d} 00:00:00"
     entries = spark.createDataFrame([("A.com", "add", at(5)), ("a.com", "remove", at(10)), ("a.com", "add", at(20)), ("x.a.com", "add", at(8)), ("x.a.com", "add", at(9)), ("x.a.com", "remove", at(12)), ("b.com", "add", at(3)), ("b.com", "remove", at(3)), (None, "add", at(1)), ("c.com", "block", at(1))], "pattern string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
