@@ -18,30 +18,15 @@ def top_per_key(df: DataFrame, keys, order, k: int, rank: str = "rn") -> DataFra
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def batch_rank(df: DataFrame, score: str = "score", key: str = "id", bucket: int = 65536) -> DataFrame:
-    """WIN-3: 1-based rank by score desc, then id, and the percentile ``round((1 - i/n) * 100, 1)``.
+def batch_rank(df: DataFrame, score: str = "score", key: str = "id") -> DataFrame:
+    """WIN-3: 1-based rank by score desc, then id, and the percentile ``round((1 - i/n) * 100, 1)``; null scores come last.
 
-    Three bounded steps: counts per (score, id bucket); offsets over scores (at most one row per distinct score) and
-    over buckets inside a score; row numbers inside one cell. A score shared by a third of the table is spread over
-    its id buckets.
+    Ranks are positions in range partitions of (score, id), so neither a score shared by a third of the table nor sparse or
+    hashed ids put more into one task than its range.
     """
-    cell = F.floor(F.col(key) / bucket).alias("_cell")
-    cells = df.groupBy(F.col(score).alias("_score"), cell).agg(F.count("*").alias("_n"))
-    totals = cells.groupBy("_score").agg(F.sum("_n").alias("_m"))
-    # One row per distinct score: the only unpartitioned window, over a histogram.
-    hist = totals.select("_score", F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"),
-                         F.sum("_m").over(Window.partitionBy()).alias("_total"))
-    inside = cells.select("_score", "_cell", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_score").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    offsets = inside.join(hist, "_score").select("_score", "_cell", (F.col("_above") + F.col("_before")).alias("_offset"), "_total")
-    rows = df.withColumn("_score", F.col(score)).withColumn("_cell", F.floor(F.col(key) / bucket))
-    local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_score", "_cell").orderBy(key)))
-    ranked = local.join(offsets, ["_score", "_cell"])
-    rank = (F.col("_offset") + F.col("_rn")).cast("bigint")
-    return ranked.withColumns({
-        "batch_rank": rank,
-        "percentile": F.round((1 - (rank - 1) / F.col("_total")) * 100, 1),
-    }).drop("_score", "_cell", "_rn", "_offset", "_total")
+    placed = number_rows(df, [F.desc(score), F.col(key)])
+    rank = F.col("position").cast("bigint")
+    return placed.withColumns({"batch_rank": rank, "percentile": F.round((1 - (rank - 1) / F.col("_total")) * 100, 1)}).drop("position", "_total")
 
 
 def rank_scored(scored: DataFrame, score: str = "score", key: str = "id") -> DataFrame:

@@ -245,7 +245,7 @@ RANK = "SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS batch_r
 
 @query("win_3", ["leads"], RANK)
 def win_3(t):
-    return W.batch_rank(t.leads(dates=False).select("id", "score"), bucket=512)
+    return W.batch_rank(t.leads(dates=False).select("id", "score"))
 
 
 PICKS = ", ".join(f"s[floor(n * {p}::DOUBLE)::INT + 1] AS {k}" for k, p in W.PERCENTILES.items())

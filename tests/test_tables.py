@@ -29,11 +29,19 @@ def test_rank_and_percentile(spark):
 
 def test_rank_with_one_hot_score(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 50.0).otherwise((F.col("id") % 40).cast("double")).alias("score"))
-    got = [r.id for r in W.batch_rank(df, bucket=16).orderBy("batch_rank").collect()]
+    got = [r.id for r in W.batch_rank(df).orderBy("batch_rank").collect()]
     want = [r.id for r in df.orderBy(F.desc("score"), "id").collect()]
     assert got == want
 
 
+def test_rank_with_sparse_ids(spark):
+    """Hashed ids, one of them repeated, and null scores."""
+    df = spark.range(600).select(F.xxhash64(F.least("id", F.lit(598))).alias("id"), F.when(F.col("id") % 3 == 0, 50.0).when(F.col("id") % 50 > 0, F.col("id") % 7 * 1.0).alias("score"))
+    got = W.batch_rank(df).orderBy("batch_rank").select("score", "id", "batch_rank").collect()
+    want = df.orderBy(F.desc("score"), "id").collect()
+    assert [(r.id, r.score) for r in got] == [(r.id, r.score) for r in want] and [r.batch_rank for r in got] == list(range(1, 601))
+
+
 def test_index_percentiles(spark):
     r = W.index_percentiles(spark.range(1, 11).select(F.col("id").cast("double").alias("score"))).first()
     assert (r.p95, r.p90, r.p75, r.p50, r.p25, r.p10, r.median_score) == (10, 10, 8, 6, 3, 2, 6)
