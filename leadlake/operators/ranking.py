@@ -22,11 +22,12 @@ def batch_rank(df: DataFrame, score: str = "score", key: str = "id") -> DataFram
     """WIN-3: 1-based rank by score desc, then id, and the percentile ``round((1 - i/n) * 100, 1)``; null scores come last.
 
     Ranks are positions in range partitions of (score, id), so neither a score shared by a third of the table nor sparse or
-    hashed ids put more into one task than its range.
+    hashed ids put more into one task than its range. Tenths are rounded as whole numbers of the double itself: Spark rounds
+    the decimal text of 26.549999999999997 down, where tenfold it is 265.5.
     """
     placed = number_rows(df, [F.desc(score), F.col(key)])
     rank = F.col("position").cast("bigint")
-    return placed.withColumns({"batch_rank": rank, "percentile": F.round((1 - (rank - 1) / F.col("_total")) * 100, 1)}).drop("position", "_total")
+    return placed.withColumns({"batch_rank": rank, "percentile": F.round((1 - (rank - 1) / F.col("_total")) * 100 * 10) / 10}).drop("position", "_total")
 
 
 def rank_scored(scored: DataFrame, score: str = "score", key: str = "id") -> DataFrame:

@@ -267,3 +267,14 @@ def test_words_end_at_letters_beyond_ascii_and_vertical_tabs_are_no_blanks(spark
         got = [r[0] for r in rows.orderBy("page_id").select(X.all_matches(F.col("html"), pattern)).collect()]
         assert got == [r[0] for r in con.execute("SELECT regexp_extract_all(html, ?) FROM p ORDER BY page_id", [pattern]).fetchall()], pattern
     assert [r[0] for r in rows.orderBy("page_id").select(X.location(F.col("html"))).collect()][:4] == ["License, This", "Austin, TX 78701", "Paris, France", ""]
+
+
+def test_percentiles_round_the_double_itself(spark):
+    """Rank 110,176 of 150,000 is 26.549999999999997, which SQL rounds to 26.6."""
+    from leadlake.operators.ranking import batch_rank
+
+    n = 6000
+    rows = spark.range(1, n + 1).withColumn("score", -F.col("id").cast("double"))
+    got = {r.batch_rank: r.percentile for r in batch_rank(rows).collect()}
+    want = duckdb.sql(f"SELECT i, round((1 - (i - 1)::DOUBLE / {n}) * 100, 1) FROM range(1, {n + 1}) t(i)").fetchall()
+    assert got == dict(want)
