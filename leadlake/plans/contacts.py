@@ -8,6 +8,7 @@ from ..functions import emails as M
 from ..functions import extract as X
 from ..functions.exprs import present
 from ..functions.rules import EMAIL_PATTERN
+from ..session import spread
 from .registry import query
 from .sqltext import case, has, lit, one_of
 
@@ -20,7 +21,8 @@ VALID = f"regexp_matches(email, {lit(EMAIL_PATTERN)})"
 
 def people(t):
     c = t.companies().where("domain <> ''").select(F.col("id").alias("company_id"), "domain")
-    return M.contact_names(t.leads(dates=False).select("id", "first_name", "last_name", "email", "company_id").join(c, "company_id"))
+    leads = spread(t.leads(dates=False).select("id", "first_name", "last_name", "email", "company_id"), "id")
+    return M.contact_names(leads.join(c, "company_id"))
 
 
 def named(t):
@@ -56,7 +58,7 @@ FROM (SELECT id, first, last, c.ord AS ord, c.email AS email, split_part(c.email
 
 def variation_rows(t):
     p = named(t)
-    return p.select("id", F.posexplode(M.variations(p)).alias("i", "v")).select("id", "v.email", "v.confidence", (F.col("i") + 1).cast("bigint").alias("rank"), "v.pattern_type")
+    return p.select("id", F.posexplode(M.variations()).alias("i", "v")).select("id", "v.email", "v.confidence", (F.col("i") + 1).cast("bigint").alias("rank"), "v.pattern_type")
 
 
 for key in ("eml_3", "srt_10"):

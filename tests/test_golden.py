@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import clean as C
 from leadlake.functions import emails as M
+from leadlake.session import spread
 from leadlake.functions import features as X
 from leadlake.functions import priority as P
 from leadlake.functions import quality as Q
@@ -159,3 +160,21 @@ def test_prepare_never_yields_null(spark):
     df = leads(spark, {"id": 1}).withColumn("company", F.lit(None).cast(leads(spark, ENGINE[0]).schema["company"].dataType))
     r = prepare(df, AS_OF).first().asDict()
     assert all(v is not None for k, v in r.items() if k.startswith("w_") and k != "w_age")
+
+
+def test_best_address_is_found_without_sorting_all_candidates(spark):
+    """Many templates a contact: grouped by hash within the contact's partition, one exchange in all."""
+    rows = [(i, f"a{chr(97 + i % 26)}", f"b{chr(97 + i % 7)}", "x.org") for i in range(200)] + [(900, "zoe", "li", "no tld")]
+    people = spread(spark.createDataFrame(rows, "id long, first string, last string, domain string"), "id")
+    best = M.best_candidate(people)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange") == 1
+    got = {r.id: (r.email, r.confidence) for r in best.collect()}
+    assert got == {i: (f"{f}.{l}@x.org", 65) for i, f, l, _ in rows[:200]}
+
+
+def test_variations_keep_template_order_and_drop_malformed_addresses(spark):
+    p = spark.createDataFrame([(1, "ann", "lee", "x.org"), (2, "ann", "lee", "no tld")], "id long, first string, last string, domain string")
+    got = {r.id: [(v.ord, v.email, v.confidence, v.pattern_type) for v in r.v] for r in p.select("id", M.variations().alias("v")).collect()}
+    assert got[2] == [] and got[1][:3] == [(0, "ann.lee@x.org", 70, "first.last"), (1, "annlee@x.org", 65, "firstlast"), (8, "ann-lee@x.org", 55, "other")]
+    assert len(got[1]) == 15
