@@ -60,11 +60,24 @@ def _both(f: str) -> Column:
     return (a != "") & (b != "")
 
 
-def _bound(f: str) -> Column:
-    """Upper bound of a text ratio from the lengths alone."""
+def _bound(f: str, edits: bool = False) -> Column:
+    """Upper bound of a rounded text ratio from the lengths alone or, with ``edits``, from the edit distance, which bounds
+    insertions and deletions from below."""
     a, b = _pair(f)
     la, lb = F.length(a), F.length(b)
-    return F.when(_both(f), F.least(F.lit(1.0), F.least(la, lb) * 2.0 / (la + lb) + 0.005)).otherwise(0.0)
+    apart = F.levenshtein(a, b) if edits else F.abs(la - lb)
+    return F.when(~_both(f), 0.0).when(a == b, 1.0).otherwise(F.least(F.lit(1.0), 1 - apart / (la + lb) + 0.005))
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether a pair with near or equal e-mails can reach ``threshold``: lengths first, then edit distances field by field, so
+    that most pairs are settled by the cheap tests."""
+    k, texts = PAIR_WEIGHTS, ["name", "linkedin", "company", "title"]
+    pa, pb = _pair("phone")
+    given = F.when(_both("email"), k["email"]).otherwise(0.0) + F.when(_both("phone") & (pa == pb), k["phone"]).otherwise(0.0)
+    stages = [[], ["name"], ["name", "linkedin"], texts]
+    tops = [given + reduce(lambda x, y: x + y, [_bound(f, f in exact) * k[f] for f in texts]) for exact in stages]
+    return reduce(lambda x, y: x & y, [top >= threshold - 1e-9 for top in tops])
 
 
 def score_pairs(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -219,6 +232,14 @@ def near_values(values: DataFrame, cut: float, split: bool) -> DataFrame:
     return pairs.unionByName(met)
 
 
+def _given(p: DataFrame, loss: float) -> DataFrame:
+    """Leads that have every field whose whole weight is more than a pair may lose."""
+    for f in FIELDS:
+        if f != "phone" and PAIR_WEIGHTS[f] > loss + 1e-9:
+            p = p.where(F.col(f) != "")
+    return p
+
+
 def _scopes(p: DataFrame, threshold: float) -> DataFrame:
     """(id, email, scope): within which leads their e-mails can be equal or similar for the pair to reach ``threshold``.
 
@@ -226,17 +247,17 @@ def _scopes(p: DataFrame, threshold: float) -> DataFrame:
     rounded ratio of 1 - loss / .25 or more: such pairs share a name or a pair of near names. If it is more, the tenant is all
     they share; if there is none, they share their phone (or, see :func:`blocks`, e-mail and name).
     """
-    keys = [p.where("phone <> ''").select("id", "email", _key(F.lit("p"), F.col("tenant"), F.col("phone")).alias("scope"))]
+    keys = [_given(p.where("phone <> ''"), 1 - threshold).select("id", "email", _key(F.lit("p"), F.col("tenant"), F.col("phone")).alias("scope"))]
     loss = 1 - PAIR_WEIGHTS["phone"] - threshold
     if loss > 1e-9 and loss < 0.1:
-        named = p.where("name <> ''")
+        named = _given(p.where("name <> ''"), loss)
         keys.append(named.select("id", "email", _key(F.lit("n"), F.col("tenant"), F.col("name")).alias("scope")))
         # A ratio rounds up by at most half a percent.
         near = near_values(named.select(F.col("tenant").alias("scope"), F.col("name").alias("value")).distinct(), loss / PAIR_WEIGHTS["name"] + 0.005 + 1e-9, False)
         near = cut_lineage(near.select(F.col("scope").alias("tenant"), _key(F.lit("m"), F.col("scope"), F.col("a"), F.col("b")).alias("scope"), F.explode(F.array("a", "b")).alias("name")))
         keys.append(named.join(near, ["tenant", "name"]).select("id", "email", "scope"))
     elif loss > 1e-9:
-        keys.append(p.select("id", "email", _key(F.lit("t"), F.col("tenant")).alias("scope")))
+        keys.append(_given(p, loss).select("id", "email", _key(F.lit("t"), F.col("tenant")).alias("scope")))
     out = keys[0]
     for k in keys[1:]:
         out = out.unionByName(k)
@@ -245,7 +266,8 @@ def _scopes(p: DataFrame, threshold: float) -> DataFrame:
 
 def blocks(p: DataFrame, threshold: float) -> DataFrame:
     """(key, id) memberships; keys of a single member are dropped. Any two that reach ``threshold`` share a key, and all that
-    share a key have equal or similar e-mails, found once for each pair of distinct addresses of a scope.
+    share a key have equal or similar e-mails, found once for each pair of distinct addresses of a scope. Keys are hashes: two
+    that collide only propose more pairs.
     """
     if threshold < FLOOR:
         raise ValueError(f"thresholds below {FLOOR} have no lossless e-mail block")
@@ -255,13 +277,15 @@ def blocks(p: DataFrame, threshold: float) -> DataFrame:
     shared = cut_lineage(scoped.join(scoped.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1").select("scope"), "scope", "left_semi"))
     equal = shared.select("id", _key(F.lit("e"), F.col("scope"), F.col("email")).alias("key"))
     if threshold >= 1 - PAIR_WEIGHTS["phone"] - 1e-9:
-        # A rounded ratio of 100 means equality below 200 characters in total; longer names share one key.
-        long_name = F.when(F.length("name") >= 99, F.lit("*")).otherwise(F.col("name"))
-        equal = equal.unionByName(given.select("id", _key(F.lit("a"), F.col("tenant"), F.col("email"), long_name).alias("key")))
+        # Without equal phones nothing else may be lost. A rounded ratio of 100 means equality below 200 characters in total;
+        # longer texts share one key.
+        texts = [F.when(F.length(f) >= 99, F.lit("*")).otherwise(F.col(f)) for f in FIELDS if f != "phone"]
+        equal = equal.unionByName(_given(given, 0.0).select("id", _key(F.lit("a"), F.col("tenant"), *texts).alias("key")))
     near = near_values(shared.select("scope", F.col("email").alias("value")).distinct(), EMAIL_CUT, True)
     near = near.select("scope", _key(F.lit("s"), F.col("scope"), F.col("a"), F.col("b")).alias("key"), F.explode(F.array("a", "b")).alias("email"))
     sizes = equal.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return equal.join(sizes, "key", "left_semi").unionByName(shared.join(near, ["scope", "email"]).select("id", "key")).select("key", "id")
+    members = equal.join(sizes, "key", "left_semi").unionByName(shared.join(near, ["scope", "email"]).select("id", "key"))
+    return members.select(F.xxhash64("key").alias("key"), "id")
 
 
 def _as(p: DataFrame, name: str, key: str) -> DataFrame:
@@ -273,9 +297,17 @@ STAR_ROUNDS = 2
 SPARSE = 16
 
 
-def _scored(live: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    full = pairs.join(_as(live, "a", "leader"), "leader").join(_as(live, "b", "id"), "id")
-    return score_pairs(full, threshold).select("leader", "id", "score", "confidence", "matching_fields")
+def _scored(live: DataFrame, lower: DataFrame, upper: DataFrame, threshold: float) -> DataFrame:
+    """Scores of the pairs of ``lower`` (key, leader) and ``upper`` (key, id, held) under a key that reach ``threshold``, of a
+    member held by a leader only those with a lower one.
+
+    The compared fields come with the members, so that pairs are tested and scored where they meet and only those that reach
+    the threshold are shuffled.
+    """
+    a, b = lower.join(_as(live, "a", "leader"), "leader"), upper.join(_as(live, "b", "id"), "id")
+    met = b.join(a, "key").where("id > leader AND (held IS NULL OR leader < held)").where(_may_reach(threshold))
+    scored = score_pairs(met.select("leader", "id", "a", "b"), threshold).select("leader", "id", "score", "confidence", "matching_fields")
+    return scored.dropDuplicates(["leader", "id"])
 
 
 def _lowest_independent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,19 +345,18 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | No
         leaders = cut_lineage(leaders)
         # At most one leader per block and round: joining on the key yields one comparison per member.
         reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"))
-        pairs = members.join(reach, "key").where("id > leader").select("leader", "id").distinct()
-        won = cut_lineage(_scored(live, pairs, threshold))
+        won = cut_lineage(_scored(live, reach, members.withColumn("held", F.lit(None).cast("long")), threshold))
         claims = won if claims is None else claims.unionByName(won)
         undecided = cut_lineage(undecided.join(leaders, F.col("id") == F.col("leader"), "left_anti").join(won.select("id"), "id", "left_anti"))
     if not undecided.isEmpty():
         # The rest is sparse: masses of near copies were claimed above. A pair matters only if its lower side can still
         # lead and its upper side is free or held by a later leader.
-        lower = members.join(undecided, "id", "left_semi").select("key", F.col("id").alias("leader"))
-        upper = members
+        free = members if claims is None else members.join(undecided, "id", "left_semi")
+        lower = free.select("key", F.col("id").alias("leader"))
+        upper = members.withColumn("held", F.lit(None).cast("long"))
         if claims is not None:
             upper = members.join(claims.groupBy("id").agg(F.min("leader").alias("held")), "id", "left")
-        pairs = upper.join(lower, "key").where("id > leader" + ("" if claims is None else " AND (held IS NULL OR leader < held)")).select("leader", "id").distinct()
-        edges = cut_lineage(_scored(live, pairs, threshold))
+        edges = cut_lineage(_scored(live, lower, upper, threshold))
         led = _lowest_independent(edges, undecided)
         settled = edges.join(led, "leader", "left_semi")
         claims = settled if claims is None else claims.unionByName(settled)

@@ -232,3 +232,20 @@ def test_two_thousand_leads_with_one_phone(spark, threshold):
                 if b["id"] > a["id"] and b["id"] not in want and brute_score(a, b) >= threshold:
                     want[b["id"]] = a["id"]
     assert len(want) > 300 and got == want
+
+
+def test_pairs_without_equal_phones_need_all_other_fields_at_the_highest_threshold(spark):
+    """Copies that differ in phone and title share no block at .85, where they cannot reach it."""
+    row = lambda i, title: (i, "t", "ann@x.org", "ann lee", f"555{i:04}", "in/ann", "x", title)
+    p = spark.createDataFrame([row(i, f"title {i}") for i in range(30)] + [row(i, "cto") for i in (40, 41)],
+                              "id long, tenant string, email string, name string, phone string, linkedin string, company string, title string")
+    assert sorted(r.id for r in ER.blocks(p, 0.85).collect()) == [40, 41]
+
+
+def test_edit_distance_bounds_the_rounded_ratio_from_above(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab. ") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    rows = spark.createDataFrame(list(zip(words[::2], words[1::2])), "x string, y string")
+    bound = rows.select("x", "y", F.struct(F.col("x").alias("name")).alias("a"), F.struct(F.col("y").alias("name")).alias("b")).select("x", "y", ER._bound("name", True).alias("top"), ER._bound("name").alias("rough"))
+    for r in bound.collect():
+        assert indel_ratio(r.x, r.y) / 100 <= r.top + 1e-9 and r.top <= r.rough + 1e-9
