@@ -473,6 +473,18 @@ def meeting_clusters(centres: np.ndarray, radii: np.ndarray, floor: float) -> li
     return [(int(a), int(b)) for a, b in np.argwhere(best + 1e-6 >= floor)]
 
 
+def _pairs_of_low(distinct: DataFrame, low: int, upto: int, n: int, tile_rows: int, k: int, threshold: float) -> DataFrame:
+    """The k best pairs of distinct unit vectors of which one has an id up to ``upto``; ``low`` of the ``n`` have."""
+    # Tiles of the low ones come first and meet all tiles, the others only those.
+    first, rest = -(-low // tile_rows), -(-(n - low) // tile_rows)
+    at = F.xxhash64("id")
+    tile = F.when(F.col("id") <= upto, F.pmod(at, F.lit(first))).otherwise(F.pmod(at, F.lit(max(rest, 1))) + first).cast("int")
+    last = F.when(F.col("id") <= upto, first + rest - 1).otherwise(first - 1)
+    met = distinct.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    met = met.select("id", "unit", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    return met.groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), "id1 long, id2 long, score double")
+
+
 def _clustered_pairs(distinct: DataFrame, tiles: int, tile_rows: int, k: int, threshold: float) -> DataFrame:
     """The k best pairs of distinct unit vectors: tiles with themselves first, then those pairs of tiles that can beat them."""
     spark, schema = distinct.sparkSession, "id1 long, id2 long, score double"
@@ -492,7 +504,7 @@ def _clustered_pairs(distinct: DataFrame, tiles: int, tile_rows: int, k: int, th
     others = spark.createDataFrame(meet, "cluster int, start int, parts int")
     spread = dealt.join(others, "cluster").withColumn("other", F.explode(F.sequence("start", F.col("start") + F.col("parts") - 1))).where("other <> tile")
     spread = spread.select("id", "unit", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    across = spread.groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), schema)
+    across = spread.groupBy("ti", "tj").applyInPandas(_tile_top(k, floor), schema)
     return across.unionByName(spark.createDataFrame(best, schema))
 
 
@@ -503,6 +515,9 @@ def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, t
     size; a pair of tiles is one small matrix product that returns at most k pairs, so no pair list is ever built. Tiles are
     compared with themselves first; two tiles meet only if the angle between their centres, less both radii, can beat the
     k-th score found so far.
+
+    Equal vectors have the highest score there is. Once they make k pairs, a pair of others can only come before the last of
+    these if its lower id is no higher: the vectors with such an id, mostly few, are compared with all, and nothing else is.
     """
     v = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
@@ -516,7 +531,15 @@ def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, t
     distinct = kept.where("rn = 1").select("id", "unit")
     n = distinct.count()
     tiles = max(1, -(-n // tile_rows))
-    if tiles == 1:
+    equal = same.orderBy("id1", "id2").limit(k).collect() if tiles > 1 else []
+    low, upto = n, None
+    if len(equal) == k:
+        # Only pairs at the highest score are left to find.
+        upto, threshold = equal[-1].id1, max(threshold, 1.0)
+        low = distinct.where(F.col("id") <= upto).count()
+    if upto is not None and low * 8 <= n:
+        found = _pairs_of_low(distinct, low, upto, n, tile_rows, k, threshold)
+    elif tiles == 1:
         whole = distinct.withColumns({"tile": F.lit(0), "ti": F.lit(0), "tj": F.lit(0)})
         found = whole.groupBy("ti", "tj").applyInPandas(_tile_top(k, threshold), "id1 long, id2 long, score double")
     else:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import rules as R
-from ..functions.record import prepare
+from ..functions.record import prepare, with_company
 from ..functions.similarity import ratio, sequence_ratio
 from ..operators import aggregates as A
 from ..operators import ranking as W
 from ..operators import resolve as ER
 from ..operators.ranking import number_rows
 from ..operators.tables import adjacent_pairs
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..sources.bindings import AS_OF, EVENTS_AS_OF
 from .quality import REPORT
 from .quality import X as QX
@@ -455,7 +455,8 @@ LEAD_PAIRS = f"""(SELECT p.id1, p.id2, p.score, {MATCHING} AS matching FROM
 
 def lead_pairs(t):
     """The twenty most similar pairs of leads by their feature vectors, and what they have in common."""
-    f = cut_lineage(feats(t).select("id", feature_struct().alias("a")))
+    rows = with_company(spread(t.leads(), "id"), t.companies())
+    f = cut_lineage(X.with_features(rows, AS_OF).select("id", feature_struct().alias("a")))
     pairs = ER.top_similar_pairs(f.select("id", "a.vector"), 20, 0.7, tile_rows=512)
     both = pairs.join(f.withColumnRenamed("id", "id1"), "id1").join(f.select(F.col("id").alias("id2"), F.col("a").alias("b")), "id2")
     return both.select("id1", "id2", "score", F.array_join(X.matching_features("a", "b"), ",").alias("matching"))

@@ -142,6 +142,26 @@ def test_clustered_tiles_that_cannot_win_do_not_meet(spark):
     assert set(ER.meeting_clusters(centres, radii, -want[-1][0])) == {(c, c) for c in range(8)}
 
 
+@pytest.mark.parametrize("first", [0, 150])
+def test_enough_equal_vectors_bound_the_pairs_to_compare(spark, monkeypatch, first):
+    """Copies make more than k pairs: brute force's pairs, near ones that round to 1 among them, without all tiles meeting."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 5)).round(1)
+    for i in range(first, first + 40, 2):
+        v[i + 200] = v[i]
+        v[i + 1] = v[(i * 7) % 399] + 1e-6
+    v[301] = v[first + 3] + 2e-6
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(np.clip(u @ u.T, 0, 1), 6)
+    want = sorted(((-s[i, j], i, j) for i in range(400) for j in range(i + 1, 400) if s[i, j] >= 0.7))[:5]
+    if not first:
+        monkeypatch.setattr(ER, "_clustered_pairs", None)
+    got = [(-r.score, r.id1, r.id2) for r in ER.top_similar_pairs(df, 5, 0.7, 8).collect()]
+    assert got == want
+    assert any(not np.array_equal(v[i], v[j]) for _, i, j in want)
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.8])
 def test_groups_of_each_tenant_equal_its_own_scan(spark, threshold):
     rows = make_rows(4)
