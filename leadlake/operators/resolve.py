@@ -429,8 +429,9 @@ def _tile_top(k: int, threshold: float):
         if len(left) and len(right):
             b, bid = np.vstack(right["unit"].to_numpy()), right["id"].to_numpy()
             # Row slabs keep the product small next to the tile itself.
-            for s in range(0, len(left), 512):
-                part = left.iloc[s:s + 512]
+            step = max(1, min(512, (1 << 21) // len(right)))
+            for s in range(0, len(left), step):
+                part = left.iloc[s:s + step]
                 sim = np.round(np.clip(np.vstack(part["unit"].to_numpy()) @ b.T, 0, 1), 6)
                 aid = part["id"].to_numpy()
                 ok = sim >= threshold
@@ -508,7 +509,16 @@ def _clustered_pairs(distinct: DataFrame, tiles: int, tile_rows: int, k: int, th
     return across.unionByName(spark.createDataFrame(best, schema))
 
 
-def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, tile_rows: int = 4096) -> DataFrame:
+#: Tiles that vectors are dealt into where nothing else is asked for: each vector is copied to the tiles it meets, so their number
+#: must not grow with the table. A tile has at least SMALL_TILE rows and, beyond that, at most LARGE_TILE numbers (16 MB).
+TILES, SMALL_TILE, LARGE_TILE = 16, 4096, 1 << 21
+
+
+def rows_of_tile(n: int, width: int) -> int:
+    return max(SMALL_TILE, min(-(-n // TILES), LARGE_TILE // max(width, 1)))
+
+
+def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, tile_rows: int | None = None) -> DataFrame:
     """ER-7: the k most similar pairs (score desc, ids) at or above the threshold, exact.
 
     Equal vectors collapse to their lowest ids first. Distinct vectors are dealt by their nearest centre into tiles of bounded
@@ -529,7 +539,8 @@ def top_similar_pairs(vectors: DataFrame, k: int = 20, threshold: float = 0.7, t
     a, b = kept.select("unit", F.col("id").alias("id1")), kept.select("unit", F.col("id").alias("id2"))
     same = a.join(b, "unit").where("id1 < id2").select("id1", "id2", F.lit(1.0).alias("score"))
     distinct = kept.where("rn = 1").select("id", "unit")
-    n = distinct.count()
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("unit")), F.lit(0)).alias("width")).first()
+    n, tile_rows = size.n, tile_rows or rows_of_tile(size.n, size.width)
     tiles = max(1, -(-n // tile_rows))
     equal = same.orderBy("id1", "id2").limit(k).collect() if tiles > 1 else []
     low, upto = n, None

@@ -142,6 +142,24 @@ def test_clustered_tiles_that_cannot_win_do_not_meet(spark):
     assert set(ER.meeting_clusters(centres, radii, -want[-1][0])) == {(c, c) for c in range(8)}
 
 
+def test_vectors_are_copied_no_more_often_in_larger_tables():
+    """16 tiles for 64 numbers a vector up to half a million vectors; wide vectors keep small tiles."""
+    assert [-(-n // ER.rows_of_tile(n, 64)) for n in (1_000, 10_000, 125_000, 500_000)] == [1, 3, 16, 16]
+    assert ER.rows_of_tile(10_000_000, 64) == 32768 and ER.rows_of_tile(10_000_000, 4096) == 4096
+
+
+@pytest.mark.parametrize("small", [8, 64])
+def test_default_tiles_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(ER, "SMALL_TILE", small)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 6)).round(2)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(np.clip(u @ u.T, 0, 1), 6)
+    want = sorted(((-s[i, j], i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.7))[:20]
+    assert [(-r.score, r.id1, r.id2) for r in ER.top_similar_pairs(df, 20, 0.7).collect()] == want
+
+
 @pytest.mark.parametrize("first", [0, 150])
 def test_enough_equal_vectors_bound_the_pairs_to_compare(spark, monkeypatch, first):
     """Copies make more than k pairs: brute force's pairs, near ones that round to 1 among them, without all tiles meeting."""
