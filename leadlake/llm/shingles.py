@@ -1,9 +1,10 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
 Sets of a similarity of 4/5 or more share some of their smallest hashes, three tenths of each set: most pairs meet there. Under
-a hash that many sets have, mostly from a passage they share, its sets are not compared; sets with many such hashes meet again
-by parts. Two near sets differ in at most a ninth of their joint size, so cut into more parts than that by hash they agree in a
-whole part. Parts of about four shingles agree by a shared passage far more seldom than single shingles do. No pair is left out.
+a hash that many sets have, mostly from a passage they share, its sets are not compared; sets with many such hashes meet again,
+under the hashes of the whole set that are rarest among them: sorted by that, two near sets share one of the first fifth. A text
+that shares a passage only, or has changes of its own, has hashes of its own there, and the place of the shared one tells that it
+can't be near. No pair is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -29,8 +30,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 5
 #: Similarity from which two texts are near copies: 4 / 5.
 PART, WHOLE = 4, 5
-#: A hash of more than this many rows brings its sets to the second meeting, by parts.
+#: A hash of more than this many rows brings its sets to the second meeting, by rarity.
 CROWD = 16
+#: Keeps the keys of the second meeting apart from those of the first.
+ASIDE = 0x2545F4914F6CDD1D
 #: Crowds whose open pairs are more than this many a member are first compared with one member at a time.
 SPARSE = 256
 #: Rounds of that before all open pairs are compared.
@@ -92,7 +95,8 @@ def meetings(n: int) -> list[tuple[int, int, int]]:
 
 
 def signatures(h: np.ndarray, known: dict[int, list[tuple[int, int, int]]]) -> np.ndarray:
-    """The keys of a set: one for each part that is not empty, in each of its :func:`meetings`.
+    """Keys of a set by parts: one for each part that is not empty, in each of its :func:`meetings`. Near sets share one, but so do
+    many that only have a passage in common, so :func:`one_of_each` goes by rarity (:func:`rarest`) instead.
 
     Empty parts agree with everybody's, so they have no key as long as more parts than can differ are not empty; a set with
     fewer has keys for its empty parts too, and meets under them the sets that have as few.
@@ -175,24 +179,23 @@ class Sets:
         self.repeated = not self.repeats.limit(1).isEmpty()
 
     def whole(self, sids: DataFrame) -> tuple[DataFrame, str]:
-        """(sid, n, h, keys) of ``sids`` (sid, by_parts) as a table: the whole set as bytes, or the keys of its parts if asked for."""
+        """(sid, n, h, keys) of ``sids`` (sid, listed) as a table: the whole set as bytes, or as a list of keys if asked for."""
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[int, list[tuple[int, int, int]]] = {}
             for part, sets in _slices(batches):
-                asked = part.column("by_parts").to_pylist()
+                asked = part.column("listed").to_pylist()
                 own = pa.array([identity(h) for h in sets], pa.int64())
-                keys = [signatures(h, known) if len(h) and parts else h[:0] for h, parts in zip(sets, asked, strict=True)]
-                whole = pa.array([b"" if parts else h.tobytes() for h, parts in zip(sets, asked, strict=True)], pa.binary())
+                keys = [h if listed else h[:0] for h, listed in zip(sets, asked, strict=True)]
+                whole = pa.array([b"" if listed else h.tobytes() for h, listed in zip(sets, asked, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own, pa.array([len(h) for h in sets], pa.int32()), whole, _lists(keys)], names=["sid", "n", "h", "keys"]).filter(pa.compute.equal(own, part.column("sid")))
 
         # Ids alone, and written, so that the planner knows their size before it moves any text.
         wanted, wanted_at = written(self.rows.select("sid", "first").join(sids, "sid"))
         if self.repeated:
             near = self.texts.join(wanted.select("first"), F.col("own").eqNullSafe(F.col("first")), "left_semi")
-            texts = near.withColumn("sid", _own(F.col("text"))).join(wanted, "sid").select("sid", "text", "by_parts")
+            texts = near.withColumn("sid", _own(F.col("text"))).join(wanted, "sid").select("sid", "text", "listed")
         else:
-            texts = self.texts.join(wanted, F.col("own").eqNullSafe(F.col("first"))).select("sid", "text", "by_parts")
+            texts = self.texts.join(wanted, F.col("own").eqNullSafe(F.col("first"))).select("sid", "text", "listed")
         out = texts.mapInArrow(scan, "sid long, n int, h binary, keys array<long>")
         out = written(out.dropDuplicates(["sid"]) if self.repeated else out)
         drop(self.rows.sparkSession, wanted_at)
@@ -237,7 +240,7 @@ class Sets:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         left, left_at = written(pairs.mapInArrow(possible, "a long, b long"))
-        wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("by_parts", F.lit(False))
+        wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct().withColumn("listed", F.lit(False))
         whole, whole_at = self.whole(wanted)
         for k in ("a", "b"):
             left = left.join(whole.select(F.col("sid").alias(k), F.col("h").alias(f"h_{k}")), k)
@@ -247,13 +250,24 @@ class Sets:
         return edges, [path]
 
 
-def may_link(n, i, m, j):
-    """Whether two sets of sizes ``n`` and ``m`` can be near if a hash is the i-th smallest of one and the j-th of the other, from 0,
-    and no smaller one is shared but crowded ones; a null place (a key of a part) rules nothing out.
+def may_link(n, left, m, left_m):
+    """Whether two sets of sizes ``n`` and ``m`` can be near that have no more than ``left`` and ``left_m`` hashes to share: those
+    from the key on where they meet, as no smaller one is shared.
     """
-    crowded = F.floor(F.least(n, m) * PART / (10 * WHOLE))
-    enough = (F.least(n - i, m - j) + crowded) * (PART + WHOLE) >= PART * (n + m)
-    return (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART) & F.coalesce(enough, F.lit(True))
+    return (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART) & (F.least(left, left_m) * (PART + WHOLE) >= PART * (n + m))
+
+
+def rarest(posts: DataFrame) -> DataFrame:
+    """(key, sid, n, left) of the hashes by which sets meet, of all hashes (sid, n, key) of some sets.
+
+    In the order of how many of these sets have them, two near sets share one of their n - ceil(4n/5) + 1 first hashes. Hashes of
+    one set alone come first and bring nobody together, but count as not shared.
+    """
+    often = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("sid")
+    # From the last place on, so that what is left to share needs no count of the hashes before.
+    placed = posts.join(often, "key").withColumn("left", F.row_number().over(own.orderBy(F.desc("c"), F.desc("key"))))
+    return placed.where(F.col("left") >= F.ceil(F.col("n") * PART / WHOLE)).select("key", "sid", "n", "left")
 
 
 def _pair(x, y) -> list:
@@ -263,28 +277,33 @@ def _pair(x, y) -> list:
 def linked(pairs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
     """(node, root) of every sid that is linked to another; root is the smallest it can reach.
 
-    Candidates are ``pairs`` (a, b) and all that share a key of ``members`` (key, sid, n, i, lo) and may link there. Members are
-    compared with the smallest of their key (lo). A key whose members are then not all in one component is open, and only
-    members of different components still need comparing: a few rounds with one more member each where that leaves many pairs,
-    then all of them. So no link between components goes unseen, and a crowd of near copies costs one comparison a member.
+    Candidates are ``pairs`` (a, b) and all that share a key of ``members`` (key, sid, n, left, lo) and may link there. Members are
+    compared with one of their key (lo). A key whose members are then not all in one component is open, but for those with too
+    little left to share for the sizes there, and only members of different components still need comparing: a few rounds with
+    one more member each where that leaves many pairs, then all of them. So no link between components goes unseen, and a crowd
+    of near copies costs one comparison a member.
     """
-    led = members.where((F.col("sid") > F.col("lo.sid")) & may_link(F.col("n"), F.col("i"), F.col("lo.n"), F.col("lo.i")))
-    edges, paths = sets.verified(pairs.unionByName(led.select(F.col("sid").alias("a"), F.col("lo.sid").alias("b"))).distinct())
+    led = members.where((F.col("sid") != F.col("lo.sid")) & may_link(F.col("n"), F.col("left"), F.col("lo.n"), F.col("lo.left")))
+    edges, paths = sets.verified(pairs.unionByName(led.select(*_pair(F.col("sid"), F.col("lo.sid")))).distinct())
     roots = cut_lineage(components(edges))
+    # The largest set that one may link to.
+    reach = F.floor(F.col("left") * (PART + WHOLE) / PART) - F.col("n")
     for k in range(ROUNDS + 1):
-        now = members.select("key", "sid", "n", "i").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "i", F.coalesce("root", "sid").alias("root"))
-        ends = now.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("c"), F.max(F.struct("root", "sid", "n", "i")).alias("lead")).where("first < last")
-        open_, path = written(now.join(ends, "key").select("key", "sid", "n", "i", "root", "c", "lead"))
-        paths.append(path)
-        size = open_.agg(F.count("*").alias("n"), F.sum(F.col("c").cast("double")).alias("pairs")).first()
+        now = members.select("key", "sid", "n", "left").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "left", F.coalesce("root", "sid").alias("root"))
+        sizes = now.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("n").alias("least"), F.max(reach).alias("most")).where("first < last")
+        able, able_at = written(now.join(sizes, "key").where((reach >= F.col("least")) & (F.col("n") <= F.col("most"))).select("key", "sid", "n", "left", "root"))
+        ends, ends_at = written(able.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("c"), F.max(F.struct("root", "left", "sid", "n")).alias("lead")).where("first < last").select("key", "c", "lead"))
+        paths += [able_at, ends_at]
+        size = ends.agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs")).first()
         if not size.n:
             break
+        open_ = able.join(ends, "key")
         last = k == ROUNDS or size.pairs <= SPARSE * size.n
         if last:
-            other = open_.select("key", F.col("sid").alias("y"), F.col("root").alias("of"), F.col("n").alias("m"), F.col("i").alias("j"))
-            met = open_.select("key", F.col("sid").alias("x"), "root", "n", "i").join(other, "key").where((F.col("root") < F.col("of")) & may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j")))
+            other = open_.select("key", F.col("sid").alias("y"), F.col("root").alias("of"), F.col("n").alias("m"), F.col("left").alias("left_m"))
+            met = open_.select("key", F.col("sid").alias("x"), "root", "n", "left").join(other, "key").where((F.col("root") < F.col("of")) & may_link(F.col("n"), F.col("left"), F.col("m"), F.col("left_m")))
         else:
-            met = open_.where((F.col("root") < F.col("lead.root")) & may_link(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"))).select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
+            met = open_.where((F.col("root") < F.col("lead.root")) & may_link(F.col("n"), F.col("left"), F.col("lead.n"), F.col("lead.left"))).select(F.col("sid").alias("x"), F.col("lead.sid").alias("y"))
         more, path = sets.verified(met.select(*_pair("x", "y")).distinct())
         paths += path
         edges = edges.unionByName(more)
@@ -299,23 +318,25 @@ def linked(pairs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
 def components_of(sets: Sets) -> DataFrame:
     """(node, root) as :func:`linked` has them.
 
-    Two near sets share more than ``spare`` of their smallest hashes. If those are all crowded, both have at least as many
-    crowded ones as the smaller one spares, a fifth less than the larger one might: such sets meet by their parts.
+    Two near sets share more than ``spare`` of their smallest hashes, each more than 2/25 of its own size. Either they share one
+    that is not crowded after no more crowded ones than that, which ``spare`` bounds from either size, or both have more crowded
+    ones than that: such sets meet by their rarest hashes.
     """
     spark = sets.rows.sparkSession
-    posts = sets.rows.select("sid", "n", F.posexplode("low").alias("i", "key"))
-    one = F.struct("sid", "n", "i")
+    posts = sets.rows.select("sid", "n", F.posexplode("low").alias("i", "key")).select("key", "sid", "n", (F.col("n") - F.col("i") + F.floor(F.col("n") / 10)).alias("left"))
+    one = F.struct("sid", "n", "left")
     met, met_at = written(posts.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("c")).where("c > 1"))
-    two = met.where((F.col("c") == 2) & may_link(F.col("lo.n"), F.col("lo.i"), F.col("hi.n"), F.col("hi.i"))).select(F.col("hi.sid").alias("a"), F.col("lo.sid").alias("b"))
-    back, back_at = written(posts.join(met.where("c > 2").select("key", "c", "lo"), "key").select("key", "sid", "n", "i", "c", "lo"))
-    crowded = back.where(F.col("c") > CROWD).groupBy("sid", "n").agg(F.count("*").alias("q")).where(F.col("q") > F.floor(F.col("n") * PART / (10 * WHOLE))).select("sid", F.lit(True).alias("by_parts"))
-    whole, parts_at = sets.whole(crowded)
-    parts = whole.select("sid", "n", F.explode("keys").alias("key"))
-    ends = parts.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max("sid").alias("hi")).where("lo.sid < hi")
-    nowhere = F.lit(None).cast("int")
-    by_parts, by_at = written(parts.join(ends.select("key", F.struct("lo.sid", "lo.n", nowhere.alias("i")).alias("lo")), "key").select("key", "sid", "n", nowhere.alias("i"), "lo"))
-    drop(spark, parts_at)
-    roots = linked(two.distinct(), back.where(F.col("c") <= CROWD).select("key", "sid", "n", "i", "lo").unionByName(by_parts), sets)
+    two = met.where((F.col("c") == 2) & may_link(F.col("lo.n"), F.col("lo.left"), F.col("hi.n"), F.col("hi.left"))).select(F.col("hi.sid").alias("a"), F.col("lo.sid").alias("b"))
+    back, back_at = written(posts.join(met.where("c > 2").select("key", "c", "lo"), "key").select("key", "sid", "n", "left", "c", "lo"))
+    crowded = back.where(F.col("c") > CROWD).groupBy("sid", "n").agg(F.count("*").alias("q")).where(F.col("q") > F.floor(F.col("n") * PART / (10 * WHOLE))).select("sid", F.lit(True).alias("listed"))
+    whole, whole_at = sets.whole(crowded)
+    rare, rare_at = written(rarest(whole.select("sid", "n", F.explode("keys").alias("key"))))
+    # The one with most left to share has the fewest changes of its own: most of a crowd of near copies link to it.
+    lead = rare.groupBy("key").agg(F.max(F.struct("left", "sid", "n")).alias("lo"), F.count("*").alias("c")).where("c > 1")
+    by_rarity, by_at = written(rare.join(lead, "key").select(F.col("key").bitwiseXOR(F.lit(ASIDE)).alias("key"), "sid", "n", F.col("left").cast("long").alias("left"), F.struct("lo.sid", "lo.n", F.col("lo.left").cast("long").alias("left")).alias("lo")))
+    for done in (whole_at, rare_at):
+        drop(spark, done)
+    roots = linked(two.distinct(), back.where(F.col("c") <= CROWD).select("key", "sid", "n", "left", "lo").unionByName(by_rarity), sets)
     for path in (met_at, back_at, by_at):
         drop(spark, path)
     return roots

@@ -67,6 +67,36 @@ def test_crowds_in_which_no_text_links_to_all(spark, size):
     assert sorted(r.doc_id for r in shingles.one_of_each(df).collect()) == brute_kept(df.collect())
 
 
+@pytest.mark.parametrize("size", [150, 450])
+def test_copies_out_of_reach_are_not_compared_with_their_crowd(spark, monkeypatch, size):
+    """A third of a crowd has so many changes of its own that it links to none; pairs to check grow with the texts, not their square."""
+    rng, base = random.Random(size), [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(size):
+        words = list(base)
+        for at in rng.sample(range(10, 140, 7), (1, 2, 4)[k % 3]):
+            words[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, whole = [], shingles.Sets.verified
+    monkeypatch.setattr(shingles.Sets, "verified", lambda self, pairs: (seen.append(pairs.count()), whole(self, pairs))[1])
+    assert sorted(r.doc_id for r in shingles.one_of_each(df).collect()) == brute_kept(df.collect())
+    assert sum(seen) <= 4 * size
+
+
+def test_link_whose_first_shared_hashes_are_crowded_for_one_of_them_only(spark):
+    """Nine crowded hashes are many for the text of 100 shingles, few for that of 125 that holds all of them."""
+    words = [f"w{k}" for k in range(129)]
+    small = " ".join(words[:104])
+    of = {int(shingles.hashes(" ".join(words[k : k + 5]))[0]): words[k : k + 5] for k in range(100)}
+    first = [of[int(h)] for h in shingles.hashes(small)[:9]]
+    rows = [(1, " ".join(words)), (2, small)]
+    rows += [(10 + k, " ".join(w for j, five in enumerate(first) for w in [*five, *(f"y{k}_{j}_{i}" for i in range(6))])) for k in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_kept(df.collect())
+    assert sorted(r.doc_id for r in shingles.one_of_each(df).collect()) == want and 2 not in want
+
+
 def test_every_near_pair_shares_a_key():
     rng = np.random.default_rng(4)
     for _ in range(2000):
