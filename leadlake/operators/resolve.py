@@ -5,18 +5,20 @@ later unclaimed lead whose pair score reaches the threshold. Here:
 
 * leads with the same compared fields collapse to one profile, so a mass of copies is one row;
 * without the e-mail term a pair scores at most .60, so e-mails must be equal or of a rounded ratio above .9; without equal
-  phones at most .85 is left, so between .75 and .85 the names must be near as well. Similar values are found once for each
-  pair of distinct ones, by an exact partition index for edit distance, and only inside such a scope (phone, name or pair of
-  near names); below .75 the scope is the tenant, down to a floor below which the call is refused;
-* where blocks are dense, first rounds elect the lowest undecided profile of all its blocks and compare it with the members of
-  those blocks: one comparison per member, never all pairs of a block, which claims masses of near copies. What is left is
-  sparse; its candidate pairs are filtered by length and edit distance, scored, and settled by rounds over the edges.
-
-Every step is checkpointed and the loops run to their fix points.
+  phones at most .85 is left, so between .75 and .85 the names must be near as well. Only leads of such a scope meet (phone,
+  name or pair of near names); below .75 the scope is the tenant, down to a floor below which the call is refused;
+* the leads of a scope meet in tiles of bounded size. Each carries lengths and a few bits for the characters of its texts, so
+  that nearly all pairs are settled by arithmetic on numbers where they meet; only ids of pairs that reach the threshold leave
+  the task. Scopes too large for that are first divided by an exact partition index for the edit distance of e-mails;
+* where pairs are many the scan goes by ranges of ids, the lowest first: its leaders claim what they reach among the later ones,
+  and what is claimed is met by nobody any more. Within a range the pairs are settled by rounds over the edges.
+
+Every step is written down and the loops run to their fix points.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator
 from functools import reduce
@@ -26,12 +28,13 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clean import match_phone
 from ..functions.exprs import compact, say
 from ..functions.rules import PAIR_WEIGHTS
-from ..functions.similarity import ratio
-from ..session import cut_lineage
+from ..functions.similarity import indel_ratio, ratio
+from ..session import cut_lineage, drop, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,34 +72,9 @@ def _bound(f: str, edits: bool = False) -> Column:
     return F.when(~_both(f), 0.0).when(a == b, 1.0).otherwise(F.least(F.lit(1.0), 1 - apart / (la + lb) + 0.005))
 
 
-def _may_reach(threshold: float) -> Column:
-    """Whether a pair with near or equal e-mails can reach ``threshold``: lengths first, then edit distances field by field, so
-    that most pairs are settled by the cheap tests."""
-    k, texts = PAIR_WEIGHTS, ["name", "linkedin", "company", "title"]
-    pa, pb = _pair("phone")
-    given = F.when(_both("email"), k["email"]).otherwise(0.0) + F.when(_both("phone") & (pa == pb), k["phone"]).otherwise(0.0)
-    stages = [[], ["name"], ["name", "linkedin"], texts]
-    tops = [given + reduce(lambda x, y: x + y, [_bound(f, f in exact) * k[f] for f in texts]) for exact in stages]
-    return reduce(lambda x, y: x & y, [top >= threshold - 1e-9 for top in tops])
-
-
-def score_pairs(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
-    """ER-1 over rows with structs ``a`` and ``b``: field scores, total, matching fields and confidence.
-
-    With a threshold, rows whose length bound or edit distance already rules them out never reach the Arrow ratio.
-    """
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """ER-1 over rows with structs ``a`` and ``b``: field scores, total, matching fields and confidence."""
     k = PAIR_WEIGHTS
-    if threshold is not None:
-        ea, eb = _pair("email")
-        pa, pb = _pair("phone")
-        reach = F.floor((F.length(ea) + F.length(eb)) * 0.095).cast("int")
-        # Indel distance bounds the unit-cost distance from above.
-        near = (ea == eb) | ((F.abs(F.length(ea) - F.length(eb)) <= reach) & (F.levenshtein(ea, eb) <= reach))
-        email = F.when(~_both("email"), 0.0).when(ea == eb, 1.0).when(near, 0.99).otherwise(0.0)
-        top = email * k["email"] + F.when(_both("phone") & (pa == pb), k["phone"]).otherwise(0.0)
-        for f in ("name", "linkedin", "company", "title"):
-            top = top + _bound(f) * k[f]
-        pairs = pairs.where(top >= threshold - 1e-9)
 
     def fuzzy(f):
         a, b = _pair(f)
@@ -110,12 +88,11 @@ def score_pairs(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
     for f, x in k.items():
         total = total + F.col(f"s_{f}") * x
     given = sum((F.when(F.col(f"s_{f}") > 0, 1).otherwise(0) for f in FIELDS), F.lit(0))
-    s = s.withColumn("score", total).withColumns({
+    return s.withColumn("score", total).withColumns({
         "confidence": F.least(F.lit(0.95), given / 6.0 * F.col("score")),
         "matching_fields": compact(
             F.when(F.col("s_email") == 1.0, "email").when(F.col("s_email") > 0, "email_similar"), say(F.col("s_name") > 0.8, "name"), say(F.col("s_phone") > 0, "phone"),
             say(_both("linkedin") & (F.col("a.linkedin") == F.col("b.linkedin")), "linkedin"), say(F.col("s_company") > 0.8, "company"), say(F.col("s_title") > 0.7, "title"))})
-    return s if threshold is None else s.where(F.col("score") >= threshold)
 
 
 def self_score() -> Column:
@@ -241,73 +218,246 @@ def _given(p: DataFrame, loss: float) -> DataFrame:
 
 
 def _scopes(p: DataFrame, threshold: float) -> DataFrame:
-    """(id, email, scope): within which leads their e-mails can be equal or similar for the pair to reach ``threshold``.
+    """``p`` with the columns scope and phoned: within which leads a partner can be for the pair to reach ``threshold``, and
+    whether all of the scope share their phone.
 
-    Without equal phones at most .85 - threshold may be lost on the rest. If that is less than .1, the names are given and of a
-    rounded ratio of 1 - loss / .25 or more: such pairs share a name or a pair of near names. If it is more, the tenant is all
-    they share; if there is none, they share their phone (or, see :func:`blocks`, e-mail and name).
+    Without equal phones at most .85 - threshold may be lost on the rest. If that is nothing, all other texts are equal. If it is
+    less than .1, the names are given and of a rounded ratio of 1 - loss / .25 or more: such pairs share a name or a pair of near
+    names. If it is more, the tenant is all they share.
     """
-    keys = [_given(p.where("phone <> ''"), 1 - threshold).select("id", "email", _key(F.lit("p"), F.col("tenant"), F.col("phone")).alias("scope"))]
+    def scoped(rows, *key):
+        return rows.withColumns({"scope": _key(*key), "phoned": F.lit(key[0] is PHONED)})
+
+    PHONED, tenant = F.lit("p"), F.col("tenant")
+    keys = [scoped(_given(p.where("phone <> ''"), 1 - threshold), PHONED, tenant, F.col("phone"))]
     loss = 1 - PAIR_WEIGHTS["phone"] - threshold
-    if loss > 1e-9 and loss < 0.1:
+    if loss <= 1e-9:
+        # A rounded ratio of 100 means equality below 200 characters in total; longer texts share one key.
+        texts = [F.when(F.length(f) >= 99, F.lit("*")).otherwise(F.col(f)) for f in FIELDS if f != "phone"]
+        keys.append(scoped(_given(p, 0.0), F.lit("a"), tenant, *texts))
+    elif loss < 0.1:
         named = _given(p.where("name <> ''"), loss)
-        keys.append(named.select("id", "email", _key(F.lit("n"), F.col("tenant"), F.col("name")).alias("scope")))
+        keys.append(scoped(named, F.lit("n"), tenant, F.col("name")))
         # A ratio rounds up by at most half a percent.
         near = near_values(named.select(F.col("tenant").alias("scope"), F.col("name").alias("value")).distinct(), loss / PAIR_WEIGHTS["name"] + 0.005 + 1e-9, False)
-        near = cut_lineage(near.select(F.col("scope").alias("tenant"), _key(F.lit("m"), F.col("scope"), F.col("a"), F.col("b")).alias("scope"), F.explode(F.array("a", "b")).alias("name")))
-        keys.append(named.join(near, ["tenant", "name"]).select("id", "email", "scope"))
-    elif loss > 1e-9:
-        keys.append(_given(p, loss).select("id", "email", _key(F.lit("t"), F.col("tenant")).alias("scope")))
-    out = keys[0]
-    for k in keys[1:]:
-        out = out.unionByName(k)
-    return out
+        near = cut_lineage(near.select(F.col("scope").alias("tenant"), "a", "b", F.explode(F.array("a", "b")).alias("name")))
+        keys.append(scoped(named.join(near, ["tenant", "name"]), F.lit("m"), tenant, F.col("a"), F.col("b")).drop("a", "b"))
+    else:
+        keys.append(scoped(_given(p, loss), F.lit("t"), tenant))
+    return reduce(DataFrame.unionByName, keys)
+
+
+#: Leads of a scope that meet throughout, at some 20 ns a pair; more of them meet by equal and by near e-mails.
+LARGE_SCOPE = 1 << 18
 
 
 def blocks(p: DataFrame, threshold: float) -> DataFrame:
-    """(key, id) memberships; keys of a single member are dropped. Any two that reach ``threshold`` share a key, and all that
-    share a key have equal or similar e-mails, found once for each pair of distinct addresses of a scope. Keys are hashes: two
-    that collide only propose more pairs.
+    """``p`` once for each of its blocks, with the columns key and phoned; keys of a single member are dropped. Any two that reach
+    ``threshold`` share a key, and with equal phones one with ``phoned``. Keys are hashes: two that collide only propose more pairs.
     """
     if threshold < FLOOR:
         raise ValueError(f"thresholds below {FLOOR} have no lossless e-mail block")
-    given = p.where("email <> ''")
-    scoped = _scopes(given, threshold)
-    # Scopes of one lead pair nobody.
-    shared = cut_lineage(scoped.join(scoped.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1").select("scope"), "scope", "left_semi"))
-    equal = shared.select("id", _key(F.lit("e"), F.col("scope"), F.col("email")).alias("key"))
-    if threshold >= 1 - PAIR_WEIGHTS["phone"] - 1e-9:
-        # Without equal phones nothing else may be lost. A rounded ratio of 100 means equality below 200 characters in total;
-        # longer texts share one key.
-        texts = [F.when(F.length(f) >= 99, F.lit("*")).otherwise(F.col(f)) for f in FIELDS if f != "phone"]
-        equal = equal.unionByName(_given(given, 0.0).select("id", _key(F.lit("a"), F.col("tenant"), *texts).alias("key")))
-    near = near_values(shared.select("scope", F.col("email").alias("value")).distinct(), EMAIL_CUT, True)
-    near = near.select("scope", _key(F.lit("s"), F.col("scope"), F.col("a"), F.col("b")).alias("key"), F.explode(F.array("a", "b")).alias("email"))
-    sizes = equal.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = equal.join(sizes, "key", "left_semi").unionByName(shared.join(near, ["scope", "email"]).select("id", "key"))
-    return members.select(F.xxhash64("key").alias("key"), "id")
+    scoped = _scopes(p.where("email <> ''"), threshold)
+    sizes = cut_lineage(scoped.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1"))
+    members = scoped.join(sizes.where(F.col("n") <= LARGE_SCOPE).select("scope"), "scope", "left_semi").withColumn("key", F.xxhash64("scope")).drop("scope")
+    large = sizes.where(F.col("n") > LARGE_SCOPE).select("scope")
+    if large.isEmpty():
+        return members
+    wide = scoped.join(large, "scope", "left_semi")
+    equal = wide.withColumn("key", F.xxhash64(_key(F.lit("e"), F.col("scope"), F.col("email")))).drop("scope")
+    near = near_values(wide.select("scope", F.col("email").alias("value")).distinct(), EMAIL_CUT, True)
+    near = near.select("scope", F.xxhash64(_key(F.lit("s"), F.col("scope"), F.col("a"), F.col("b"))).alias("key"), F.explode(F.array("a", "b")).alias("email"))
+    return members.unionByName(equal).unionByName(wide.join(near, ["scope", "email"]).drop("scope"))
+
+
+#: Texts whose characters are counted in a signature: ten digits up to three of each, 17 groups of other characters up to two.
+SIGNED = ["email", "name", "linkedin"]
+CAPS = np.array([3] * 10 + [2] * 17, dtype=np.uint64)
+STARTS = np.concatenate([[0], np.cumsum(CAPS)[:-1]]).astype(np.uint64)
+
+
+def _signatures(texts: pd.Series) -> pd.Series:
+    """A bit for each of the first few characters of a kind, so that two texts are at least as many insertions and deletions
+    apart as their bits differ."""
+    size = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    kind = np.where((chars >= 48) & (chars < 58), chars - 48, 10 + chars % 17)
+    counts = np.bincount(np.repeat(np.arange(len(size)), size) * len(CAPS) + kind, minlength=len(size) * len(CAPS)).reshape(len(size), len(CAPS))
+    bits = ((np.uint64(1) << np.minimum(counts.astype(np.uint64), CAPS)) - np.uint64(1)) << STARTS
+    return pd.Series(np.bitwise_or.reduce(bits, axis=1).view(np.int64))
+
+
+def with_signatures(p: DataFrame) -> DataFrame:
+    """``p`` with the signatures of its longer texts."""
+    signature = F.pandas_udf(_signatures, T.LongType())
+    return p.withColumns({f"s_{f}": signature(f) for f in SIGNED})
+
+
+#: Members of a tile, pairs that a task compares and that are compared at once, and text ratios that a task keeps.
+TILE, TASK_PAIRS, SLAB, KEPT_RATIOS = 8192, 20_000_000, 1 << 19, 1 << 20
+TEXTS = [f for f in FIELDS if f != "phone"]
+
+
+def _candidates(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, apart: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of ``left`` and one of ``right``, that can reach ``threshold`` by lengths and signatures alone; with
+    ``apart`` the two sides have no row in common and either id may be the lower one."""
+    ids, n, sign, most = rows["id"], rows["n_email"], rows["s_email"], int(EMAIL_CUT * 1000)
+    found = []
+    for at in range(0, len(left), step := max(1, SLAB // len(right))):
+        part = left[at:at + step]
+        gap = np.maximum(np.bitwise_count(sign[part][:, None] ^ sign[right][None, :]), np.abs(n[part][:, None] - n[right][None, :]))
+        met = gap * 1000 <= (n[part][:, None] + n[right][None, :]) * most
+        met &= (ids[part][:, None] != ids[right][None, :]) if apart else (ids[part][:, None] < ids[right][None, :])
+        i, j = np.nonzero(met)
+        if not len(i):
+            continue
+        i, j = part[i], right[j]
+        alike = (rows["phone"][i] == rows["phone"][j]) & (rows["phone"][i] != "")
+        # Pairs with equal phones meet under their phone.
+        keep = alike | ~rows["phoned"][i]
+        keep &= rows["phoned"][i] | ~alike
+        top = np.where(alike, PAIR_WEIGHTS["phone"], 0.0)
+        for f in TEXTS:
+            x, y = rows[f"n_{f}"][i], rows[f"n_{f}"][j]
+            gap = np.abs(x - y)
+            if f in SIGNED:
+                gap = np.maximum(gap, np.bitwise_count(rows[f"s_{f}"][i] ^ rows[f"s_{f}"][j]))
+            top += np.where((x > 0) & (y > 0), np.minimum(1.0, 1.005 - gap / np.maximum(x + y, 1)), 0.0) * PAIR_WEIGHTS[f]
+        keep &= top >= threshold - 1e-9
+        found.append((i[keep], j[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
+
+
+def _pair_score(rows: dict[str, np.ndarray], i: int, j: int, seen: dict, threshold: float) -> float:
+    """The score of :func:`score_pairs`, or 0 as soon as the pair cannot reach ``threshold``."""
+    total, left = 0.0, 1.0
+    for f, weight in PAIR_WEIGHTS.items():
+        x, y = rows[f][i], rows[f][j]
+        if not x or not y:
+            s = 0.0
+        elif x == y:
+            s = 1.0
+        elif f == "phone":
+            s = 0.0
+        else:
+            s = seen.get((x, y))
+            if s is None:
+                s = seen[x, y] = indel_ratio(x, y) / 100.0
+            if f == "email" and s <= 0.9:
+                s = 0.0
+        total += s * weight
+        left -= weight
+        if total + left < threshold - 1e-9:
+            return 0.0
+    return total
+
+
+def _tile_pairs(threshold: float):
+    """(leader, id) of the pairs of each tile (key, ti, tj) that reach ``threshold``; the rows of a tile follow each other. A row
+    is on the left (side 0), on the right (1) or, where a tile meets itself, on both (2)."""
+    def pairs(rows: dict[str, np.ndarray], seen: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+        side = rows["side"]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right):
+            return []
+        i, j = _candidates(rows, left, right, bool(rows["apart"][0]), threshold)
+        ok = np.fromiter((_pair_score(rows, a, b, seen, threshold) >= threshold for a, b in zip(i.tolist(), j.tolist())), dtype=bool, count=len(i))
+        x, y = rows["id"][i[ok]], rows["id"][j[ok]]
+        if len(seen) > KEPT_RATIOS:
+            seen.clear()
+        return [(np.minimum(x, y), np.maximum(x, y))]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, rest = {}, []
+        for pdf in itertools.chain(batches, [None]):
+            out = []
+            if pdf is not None and not len(pdf):
+                continue
+            held = pd.concat(rest, ignore_index=True) if rest and (pdf is None or not _same_tile(rest[-1], pdf)) else None
+            if pdf is not None:
+                at = pdf[["key", "ti", "tj"]].to_numpy()
+                starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+                if held is not None or not rest:
+                    whole, rest = starts[:-1], [pdf.iloc[starts[-2]:]]
+                elif len(starts) == 2:
+                    rest.append(pdf)
+                    continue
+                else:
+                    # The first rows end the tile that is held.
+                    held = pd.concat([*rest, pdf.iloc[:starts[1]]], ignore_index=True)
+                    whole, rest = starts[1:-1], [pdf.iloc[starts[-2]:]]
+                tiles = [(a, b) for a, b in zip(whole, whole[1:]) if b - a > 1]
+                if tiles:
+                    rows = _columns(pdf)
+                    for a, b in tiles:
+                        out += pairs({c: v[a:b] for c, v in rows.items()}, seen)
+            if held is not None and len(held) > 1:
+                out += pairs(_columns(held), seen)
+            if out:
+                yield pd.DataFrame({"leader": np.concatenate([x for x, _ in out]), "id": np.concatenate([y for _, y in out])})
+
+    return run
 
-def _as(p: DataFrame, name: str, key: str) -> DataFrame:
-    return p.select(F.col("id").alias(key), F.struct("id", *FIELDS).alias(name))
 
+def _same_tile(a: pd.DataFrame, b: pd.DataFrame) -> bool:
+    return all(a[c].iloc[-1] == b[c].iloc[0] for c in ("key", "ti", "tj"))
 
-# Rounds of one-leader-per-block comparison before the remaining pairs are listed, where blocks hold more pairs than SPARSE a member.
-STAR_ROUNDS = 2
-SPARSE = 16
 
+def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a tile and the lengths of its texts."""
+    # numpy counts the bits of absolute values.
+    rows = {c: pdf[c].to_numpy().view(np.uint64) if c.startswith("s_") else pdf[c].to_numpy() for c in pdf.columns}
+    return rows | {f"n_{f}": np.fromiter(map(len, rows[f]), dtype=np.int32, count=len(pdf)) for f in TEXTS}
 
-def _scored(live: DataFrame, lower: DataFrame, upper: DataFrame, threshold: float) -> DataFrame:
-    """Scores of the pairs of ``lower`` (key, leader) and ``upper`` (key, id, held) under a key that reach ``threshold``, of a
-    member held by a leader only those with a lower one.
 
-    The compared fields come with the members, so that pairs are tested and scored where they meet and only those that reach
-    the threshold are shuffled.
-    """
-    a, b = lower.join(_as(live, "a", "leader"), "leader"), upper.join(_as(live, "b", "id"), "id")
-    met = b.join(a, "key").where("id > leader AND (held IS NULL OR leader < held)").where(_may_reach(threshold))
-    scored = score_pairs(met.select("leader", "id", "a", "b"), threshold).select("leader", "id", "score", "confidence", "matching_fields")
-    return scored.dropDuplicates(["leader", "id"])
+def _tiled(members: DataFrame, name: str) -> DataFrame:
+    """``members`` with the number of their tile in their block, as column ``name``, and of how many, as ``name`` + "s"."""
+    many = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).cast("int").alias(f"{name}s"))
+    # At most one row for each TILE members.
+    out = members.join(F.broadcast(many), "key", "left").withColumn(f"{name}s", F.coalesce(f"{name}s", F.lit(1)))
+    return out.withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.col(f"{name}s")).cast("int"))
+
+
+def _met(rows: DataFrame, pairs: float, threshold: float) -> DataFrame:
+    """(leader, id) of the rows that meet in a tile (key, ti, tj) and reach ``threshold``."""
+    at = ["key", "ti", "tj"]
+    tasks = int(min(max(pairs / TASK_PAIRS, rows.sparkSession.sparkContext.defaultParallelism), 4096))
+    dealt = rows.select(*at, "side", "apart", "phoned", "id", *FIELDS, *[f"s_{f}" for f in SIGNED]).repartition(tasks, *at).sortWithinPartitions(*at)
+    return dealt.mapInPandas(_tile_pairs(threshold), "leader long, id long")
+
+
+def _pairs_of(members: DataFrame) -> float:
+    """Pairs of members that meet in a block."""
+    size = members.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.expr("CAST(n AS DOUBLE) * (n - 1) / 2")).alias("pairs")).first()
+    return size.pairs or 0.0
+
+
+def _pairs_among(members: DataFrame, threshold: float) -> DataFrame:
+    """(leader, id) of the members of a block that reach ``threshold`` with each other."""
+    # Each tile meets itself and the others.
+    rows = _tiled(members, "t").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("ts") - 1)))
+    side = F.when(F.col("t") == F.col("u"), 2).when(F.col("t") < F.col("u"), 0).otherwise(1)
+    rows = rows.withColumns({"ti": F.least("t", "u"), "tj": F.greatest("t", "u"), "side": side, "apart": F.col("t") != F.col("u")})
+    return _met(rows, _pairs_of(members), threshold)
+
+
+def _pairs_between(leaders: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(leader, id) of the members of a block that reach ``threshold``, one of ``leaders`` and a later one of ``others``."""
+    counts = [side.groupBy("key").agg(F.count("*").alias(n)) for side, n in ((leaders, "n"), (others, "m"))]
+    pairs = counts[0].join(counts[1], "key").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
+    a, b = _tiled(leaders, "t"), _tiled(others, "u")
+    counted = lambda side, n: F.broadcast(side.where(f"{n}s > 1").select("key", f"{n}s").distinct())
+    # A few rows as well: blocks of several tiles.
+    left = a.join(counted(b, "u"), "key", "left").withColumn("us", F.coalesce("us", F.lit(1)))
+    left = left.withColumns({"ti": F.col("t"), "tj": F.explode(F.sequence(F.lit(0), F.col("us") - 1)), "side": F.lit(0), "apart": F.lit(False)})
+    right = b.join(counted(a, "t"), "key", "left").withColumn("ts", F.coalesce("ts", F.lit(1)))
+    right = right.withColumns({"ti": F.explode(F.sequence(F.lit(0), F.col("ts") - 1)), "tj": F.col("u"), "side": F.lit(1), "apart": F.lit(False)})
+    columns = ["key", "ti", "tj", "side", "apart", "phoned", "id", *FIELDS, *[f"s_{f}" for f in SIGNED]]
+    return _met(left.select(*columns).unionByName(right.select(*columns)), pairs, threshold)
+
+
+#: Shares of the leads at which the ranges of the scan end, and the pairs from which it goes by ranges.
+RANGES, MANY_PAIRS = (1 / 16, 1 / 4), 20_000_000
 
 
 def _lowest_independent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -331,35 +481,30 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | No
     rows = cut_lineage(profiles(leads, tenant))
     classes = rows.groupBy("tenant", *FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # Copies that do not reach the threshold among themselves reach it with nobody.
-    live = cut_lineage(classes.where(self_score() >= threshold))
-    members = cut_lineage(blocks(live, threshold))
-    undecided = cut_lineage(members.select("id").distinct())
+    live, _ = written(with_signatures(classes.where(self_score() >= threshold)))
+    members, at = written(blocks(live.where("id IS NOT NULL"), threshold).drop("tenant", "copies"))
+    ends = live.approxQuantile("id", list(RANGES), 0.01) if _pairs_of(members) > MANY_PAIRS else []
     claims = None
-    size = members.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.expr("CAST(n AS DOUBLE) * (n - 1) / 2")).alias("pairs")).first()
-    for _ in range(STAR_ROUNDS if size.n and size.pairs > SPARSE * size.n else 0):
-        if undecided.isEmpty():
-            break
-        open_members = members.join(undecided, "id", "left_semi")
-        lowest = open_members.groupBy("key").agg(F.min("id").alias("low"))
-        leaders = open_members.join(lowest, "key").groupBy("id").agg(F.min((F.col("low") == F.col("id")).cast("int")).alias("ok")).where("ok = 1").select(F.col("id").alias("leader"))
-        leaders = cut_lineage(leaders)
-        # At most one leader per block and round: joining on the key yields one comparison per member.
-        reach = members.join(leaders, F.col("id") == F.col("leader"), "left_semi").select("key", F.col("id").alias("leader"))
-        won = cut_lineage(_scored(live, reach, members.withColumn("held", F.lit(None).cast("long")), threshold))
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        def inside(rows, low=low, high=high):
+            rows = rows if low is None else rows.where(F.col("id") > low)
+            return rows if high is None else rows.where(F.col("id") <= high)
+
+        free = members if claims is None else members.join(claims.select("id"), "id", "left_anti")
+        edges, listed = written(_pairs_among(inside(free), threshold))
+        nodes = cut_lineage((edges.select(F.col("leader").alias("id")) if high is None else inside(free).select("id")).union(edges.select("id")).distinct())
+        if nodes.isEmpty():
+            continue
+        led = _lowest_independent(edges, nodes)
+        won = edges.join(led, "leader", "left_semi")
+        if high is not None:
+            met = _pairs_between(free.join(led, F.col("id") == F.col("leader"), "left_semi"), free.where(F.col("id") > high), threshold)
+            won = won.unionByName(met)
+        # The first leader has it; ranges after this one no longer meet it.
+        won, _ = written(won.groupBy("id").agg(F.min("leader").alias("leader")).select("leader", "id"))
+        drop(rows.sparkSession, listed)
         claims = won if claims is None else claims.unionByName(won)
-        undecided = cut_lineage(undecided.join(leaders, F.col("id") == F.col("leader"), "left_anti").join(won.select("id"), "id", "left_anti"))
-    if not undecided.isEmpty():
-        # The rest is sparse: masses of near copies were claimed above. A pair matters only if its lower side can still
-        # lead and its upper side is free or held by a later leader.
-        free = members if claims is None else members.join(undecided, "id", "left_semi")
-        lower = free.select("key", F.col("id").alias("leader"))
-        upper = members.withColumn("held", F.lit(None).cast("long"))
-        if claims is not None:
-            upper = members.join(claims.groupBy("id").agg(F.min("leader").alias("held")), "id", "left")
-        edges = cut_lineage(_scored(live, lower, upper, threshold))
-        led = _lowest_independent(edges, undecided)
-        settled = edges.join(led, "leader", "left_semi")
-        claims = settled if claims is None else claims.unionByName(settled)
+    drop(rows.sparkSession, at)
     cls = live.select("tenant", *FIELDS, F.col("id").alias("class_id"))
     expanded = rows.join(cls, ["tenant", *FIELDS]).select(F.col("id").alias("duplicate_lead_id"), "class_id")
     own = live.where("copies > 1").select(F.col("id").alias("class_id"), self_score().alias("score"), *FIELDS)
@@ -368,8 +513,9 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | No
     if claims is None:
         grouped = own
     else:
-        best = claims.groupBy("id").agg(F.min_by(F.struct("leader", "score", "confidence", "matching_fields"), "leader").alias("c"))
-        best = best.select(F.col("id").alias("class_id"), F.col("c.leader").alias("primary_lead_id"), "c.score", "c.confidence", "c.matching_fields")
+        side = lambda name, key: live.select(F.col("id").alias(key), F.struct(*FIELDS).alias(name))
+        scored = score_pairs(claims.join(side("a", "leader"), "leader").join(side("b", "id"), "id"))
+        best = scored.select(F.col("id").alias("class_id"), F.col("leader").alias("primary_lead_id"), "score", "confidence", "matching_fields")
         grouped = own.join(best.select("class_id"), "class_id", "left_anti").unionByName(best)
     out = expanded.join(grouped, "class_id").where(F.col("duplicate_lead_id") != F.col("primary_lead_id"))
     return out.select("primary_lead_id", "duplicate_lead_id", "score", "confidence", "matching_fields")

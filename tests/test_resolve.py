@@ -5,6 +5,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,47 @@ def test_edit_distance_bounds_the_rounded_ratio_from_above(spark):
     bound = rows.select("x", "y", F.struct(F.col("x").alias("name")).alias("a"), F.struct(F.col("y").alias("name")).alias("b")).select("x", "y", ER._bound("name", True).alias("top"), ER._bound("name").alias("rough"))
     for r in bound.collect():
         assert indel_ratio(r.x, r.y) / 100 <= r.top + 1e-9 and r.top <= r.rough + 1e-9
+
+
+def one_phone(n, seed=15):
+    """Leads of one placeholder phone with numbered addresses, nearly all of which are near each other."""
+    rng = random.Random(seed)
+    rows = make_rows(seed, n)
+    for r in rows:
+        r |= {"email": f"{rng.choice(['test', 'Test.'])}{rng.randrange(3000):04}@10minutemail.com", "phone": "1111111111"}
+    return rows
+
+
+def test_members_of_blocks_do_not_grow_with_near_addresses(spark):
+    """A lead is listed once for its phone and for its name and near names, not once for each near address."""
+    p = ER.profiles(spark.createDataFrame(one_phone(400), SCHEMA))
+    assert ER.blocks(p, 0.85).count() <= 2 * 400
+    assert ER.blocks(p, 0.8).count() <= 8 * 400
+
+
+@pytest.mark.parametrize("threshold,large,batch", [(0.8, 1 << 18, 7), (0.85, 1 << 18, 1000), (0.8, 20, 1000)])
+def test_tiles_and_ranges_give_the_sequential_scan(spark, monkeypatch, threshold, large, batch):
+    """Many tiles, ranges of ids and batches that cut tiles, and scopes divided by near addresses: the groups of brute force."""
+    rows = one_phone(120) + make_rows(16, 60)
+    for i, r in enumerate(rows):
+        r["id"] = i
+    for name, value in (("TILE", 16), ("SLAB", 64), ("MANY_PAIRS", 0), ("LARGE_SCOPE", large)):
+        monkeypatch.setattr(ER, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        # A lead without an id pairs with nobody.
+        df = spark.createDataFrame([*rows, rows[3] | {"id": None}], SCHEMA)
+        got = {r.duplicate_lead_id: r.primary_lead_id for r in ER.duplicate_groups(df, threshold).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_groups(rows, threshold)
+    assert len(want) > 20 and got == want
+
+
+def test_signatures_bound_the_edits():
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("aabcz019.@é") for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["zyxwv98765" * 8]
+    signs = ER._signatures(pd.Series(texts)).to_numpy().view(np.uint64)
+    for _ in range(3000):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert np.bitwise_count(signs[i] ^ signs[j]) <= len(texts[i]) + len(texts[j]) - 2 * lcs_length(texts[i], texts[j])
