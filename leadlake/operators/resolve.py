@@ -34,7 +34,7 @@ from ..functions.clean import match_phone
 from ..functions.exprs import compact, say
 from ..functions.rules import PAIR_WEIGHTS
 from ..functions.similarity import indel_ratio, ratio
-from ..session import cut_lineage, drop, written
+from ..session import cut_lineage, drop, spread, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -478,7 +478,8 @@ def duplicate_groups(leads: DataFrame, threshold: float = 0.85, tenant: str | No
 
     With ``tenant`` the scan runs over the leads of each of its values by themselves, all in the same job.
     """
-    rows = cut_lineage(profiles(leads, tenant))
+    read = ["id", *([tenant] if tenant else []), "first_name", "last_name", "email", "phone", "linkedin_url", "title"]
+    rows = cut_lineage(profiles(spread(leads.select(*read, F.struct("company.name").alias("company")), "id"), tenant))
     classes = rows.groupBy("tenant", *FIELDS).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # Copies that do not reach the threshold among themselves reach it with nobody.
     live, _ = written(with_signatures(classes.where(self_score() >= threshold)))

@@ -332,3 +332,13 @@ def test_signatures_bound_the_edits():
     for _ in range(3000):
         i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
         assert np.bitwise_count(signs[i] ^ signs[j]) <= len(texts[i]) + len(texts[j]) - 2 * lcs_length(texts[i], texts[j])
+
+
+def test_leads_are_dealt_before_their_texts_are_normalised(spark, monkeypatch):
+    """A file of short rows is one task, which would normalise all texts by itself."""
+    seen, dealt, normalised = [], ER.spread, ER.profiles
+    monkeypatch.setattr(ER, "spread", lambda df, *keys: seen.append(keys) or dealt(df, *keys))
+    monkeypatch.setattr(ER, "profiles", lambda df, tenant=None: seen.append("profiles") or normalised(df, tenant))
+    rows = make_rows(18, 20)
+    got = {r.duplicate_lead_id: r.primary_lead_id for r in ER.duplicate_groups(spark.createDataFrame(rows, SCHEMA), 0.8).collect()}
+    assert seen == [("id",), "profiles"] and got == brute_groups(rows, 0.8)
